@@ -1,0 +1,234 @@
+"""An append-only table with snapshots, time travel and additive schema changes, on plain Parquet.
+
+Layout below the table's root::
+
+    data/batch_id=N/txn_month=YYYY-MM-01/*.parquet    rows of snapshot N
+    log/version=V/*.parquet                           one row per change, in order
+
+A change is visible once its log row is written, and the data is written before it. A batch whose
+job died has no log row: readers never list its folder, and the next append writes over it. One
+writer at a time is assumed; readers are unaffected by a running append.
+
+Data is month-partitioned by a column derived from the time column, so readers name months and
+whole directories are skipped. Reading a version lists only the folders of its snapshots.
+"""
+
+from __future__ import annotations
+
+import json
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    DataType,
+    DateType,
+    IntegerType,
+    LongType,
+    MapType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampType,
+)
+
+from cartwright.functions import calendar
+from cartwright.operators import quality
+from cartwright.operators.sinks import rebalanced
+
+MONTH = "txn_month"
+BATCH = "batch_id"
+CODEC = "zstd"
+LOG_SCHEMA = StructType([
+    StructField("version", IntegerType()),
+    StructField("operation", StringType()),
+    StructField("snapshot_id", LongType()),
+    StructField("parent_id", LongType()),
+    StructField("committed_at", TimestampType()),
+    StructField("schema_id", IntegerType()),
+    StructField("schema_json", StringType()),
+    StructField("summary", MapType(StringType(), StringType())),
+])
+
+
+class State(NamedTuple):
+    version: int
+    snapshot_id: int | None
+    schema_id: int
+    schema: StructType
+    snapshots: list[Row]
+
+
+class VersionedTable:
+    def __init__(self, spark: SparkSession, root: str, time_column: str = "txn_timestamp"):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.time_column = time_column
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, schema: StructType,
+               time_column: str = "txn_timestamp") -> VersionedTable:
+        """An empty table with schema 0."""
+        made = cls(spark, root, time_column)
+        made._commit(1, "create", None, None, 0, schema, {})
+        return made
+
+    # Log -----------------------------------------------------------------------------------------
+
+    def _commit(self, version: int, operation: str, snapshot_id: int | None, parent_id: int | None,
+                schema_id: int, schema: StructType, summary: dict[str, str]) -> None:
+        pairs = [F.lit(text) for item in summary.items() for text in item]
+        values = {
+            "operation": F.lit(operation),
+            "snapshot_id": F.lit(snapshot_id),
+            "parent_id": F.lit(parent_id),
+            "committed_at": F.current_timestamp(),
+            "schema_id": F.lit(schema_id),
+            "schema_json": F.lit(schema.json()),
+            "summary": F.create_map(*pairs),
+        }
+        row = self.spark.range(0, 1, 1, 1).select(
+            *[values[f.name].cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields if f.name in values]
+        )
+        row.write.mode("overwrite").parquet(f"{self.root}/log/version={version}")
+
+    def log(self) -> DataFrame:
+        """One row per change: creation, appends and schema changes."""
+        return self.spark.read.schema(LOG_SCHEMA).parquet(f"{self.root}/log")
+
+    def snapshots(self) -> DataFrame:
+        """One row per append, with its commit time and a summary map."""
+        return self.log().where("snapshot_id IS NOT NULL").select(
+            "snapshot_id", "parent_id", "committed_at", "operation", "schema_id", "summary"
+        )
+
+    def history(self) -> DataFrame:
+        """Snapshots by commit time, with the table's size after each."""
+        return self.snapshots().select(
+            "snapshot_id",
+            "committed_at",
+            "operation",
+            F.col("summary")["total-records"].alias("total_records"),
+        ).orderBy("committed_at", "snapshot_id")
+
+    def first_snapshot(self) -> int:
+        oldest = self.snapshots().orderBy("committed_at", "snapshot_id").limit(1)
+        return oldest.collect()[0]["snapshot_id"]
+
+    def _state(self, snapshot_id: int | None = None) -> State:
+        """The newest state, or the state just after ``snapshot_id``. Reads the log, one row per change."""
+        rows = self.log().orderBy("version").collect()
+        snapshots = [r for r in rows if r["snapshot_id"] is not None]
+        if snapshot_id is not None:
+            snapshots = [r for r in snapshots if r["snapshot_id"] <= snapshot_id]
+            if not snapshots or snapshots[-1]["snapshot_id"] != snapshot_id:
+                raise ValueError(f"{self.root} has no snapshot {snapshot_id}")
+            rows = [snapshots[-1]]
+        newest = rows[-1]
+        return State(
+            rows[-1]["version"],
+            snapshots[-1]["snapshot_id"] if snapshots else None,
+            newest["schema_id"],
+            StructType.fromJson(json.loads(newest["schema_json"])),
+            snapshots,
+        )
+
+    # Changes -------------------------------------------------------------------------------------
+
+    def append(self, batch: DataFrame) -> int:
+        """Adds the rows as one snapshot and returns its id.
+
+        Columns are matched by name and cast to the table's types; a value that does not fit is an
+        error. A table column the batch lacks is NULL; a batch column the table lacks is an error.
+        """
+        state = self._state()
+        unknown = set(batch.columns) - set(state.schema.names)
+        if unknown:
+            raise ValueError(f"columns not in the table: {sorted(unknown)}")
+        rows = batch.select(*[
+            (F.col(f.name) if f.name in batch.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in state.schema.fields
+        ]).withColumn(MONTH, calendar.month_start(F.col(self.time_column)))
+        snapshot_id = (state.snapshot_id or 0) + 1
+        path = self._batch_path(snapshot_id)
+        rebalanced(rows, MONTH).write.mode("overwrite").option("compression", CODEC).partitionBy(
+            MONTH
+        ).parquet(path)
+        earlier = state.snapshots[-1]["summary"] if state.snapshots else {}
+        self._commit(
+            state.version + 1, "append", snapshot_id, state.snapshot_id, state.schema_id,
+            state.schema, self._summary(path, state.schema, earlier),
+        )
+        return snapshot_id
+
+    def add_column(self, name: str, kind: DataType) -> int:
+        """A new nullable column at the end. Writes a log row only; returns the new schema's id."""
+        state = self._state()
+        if name in state.schema.names:
+            raise ValueError(f"column {name} exists")
+        schema = StructType([*state.schema.fields, StructField(name, kind, True)])
+        last = state.snapshot_id
+        self._commit(state.version + 1, "add column", None, last, state.schema_id + 1, schema, {})
+        return state.schema_id + 1
+
+    def _batch_path(self, snapshot_id: int) -> str:
+        return f"{self.root}/data/{BATCH}={snapshot_id}"
+
+    def _summary(self, path: str, schema: StructType, earlier: dict[str, str]) -> dict[str, str]:
+        """Counts of what is now on disk, so that a retried write task is not counted twice."""
+        files = (
+            self.spark.read.schema(self._stored(schema)).parquet(path)
+            .groupBy("_metadata.file_path", "_metadata.file_size", MONTH)
+            .agg(F.count("*").alias("records"))
+        )
+        added = files.agg(
+            F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
+            F.count("*").alias("data-files"),
+            F.coalesce(F.sum("file_size"), F.lit(0)).alias("files-size"),
+            F.count_distinct(MONTH).alias("partitions"),
+        ).first()
+        summary = {"changed-partition-count": str(added["partitions"])}
+        for measure in ("records", "data-files", "files-size"):
+            summary[f"added-{measure}"] = str(added[measure])
+            summary[f"total-{measure}"] = str(int(earlier.get(f"total-{measure}", 0)) + added[measure])
+        return summary
+
+    # Reads ---------------------------------------------------------------------------------------
+
+    @staticmethod
+    def _stored(schema: StructType) -> StructType:
+        return StructType([*schema.fields, StructField(MONTH, DateType(), True)])
+
+    def read(self, snapshot_id: int | None = None, months: tuple[str, str] | None = None,
+             evolved: bool = False) -> DataFrame:
+        """The table now, or the rows of a snapshot with the columns the table had then.
+
+        ``evolved`` reads a snapshot's rows with today's columns instead; those added since are
+        NULL. ``months`` keeps rows of an inclusive range of month starts, by directory.
+        """
+        state = self._state(snapshot_id)
+        columns = self._state().schema if evolved else state.schema
+        if not state.snapshots:
+            return self.spark.createDataFrame([], columns)
+        schema = StructType([*self._stored(columns).fields, StructField(BATCH, LongType(), True)])
+        paths = [self._batch_path(r["snapshot_id"]) for r in state.snapshots]
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        if months is not None:
+            first, last = (F.lit(m).cast("date") for m in months)
+            rows = rows.where(F.col(MONTH).between(first, last))
+        return rows.select(*columns.names)
+
+    def read_batch(self, snapshot_id: int) -> DataFrame:
+        """Only the rows that snapshot added, with the columns it had."""
+        state = self._state(snapshot_id)
+        return self.spark.read.schema(self._stored(state.schema)).parquet(
+            self._batch_path(snapshot_id)
+        ).select(*state.schema.names)
+
+    def surplus_since(self, snapshot_id: int) -> DataFrame:
+        """Rows held more often now than at a snapshot, with the number of extra copies.
+
+        Compared on the columns of that time; shows what a repeated load has doubled.
+        """
+        then = self.read(snapshot_id)
+        return quality.surplus_rows(self.read().select(*then.columns), then)

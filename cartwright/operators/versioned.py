@@ -33,7 +33,6 @@ from pyspark.sql.types import (
 )
 
 from cartwright.functions import calendar
-from cartwright.operators import quality
 from cartwright.operators.sinks import rebalanced
 
 MONTH = "txn_month"
@@ -199,6 +198,15 @@ class VersionedTable:
     def _stored(schema: StructType) -> StructType:
         return StructType([*schema.fields, StructField(MONTH, DateType(), True)])
 
+    def _scan(self, snapshots: list[Row], columns: StructType) -> DataFrame:
+        """Rows of some snapshots with the given columns, the month included."""
+        schema = StructType([*self._stored(columns).fields, StructField(BATCH, LongType(), True)])
+        if not snapshots:
+            return self.spark.createDataFrame([], schema).drop(BATCH)
+        paths = [self._batch_path(r["snapshot_id"]) for r in snapshots]
+        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        return rows.drop(BATCH)
+
     def read(self, snapshot_id: int | None = None, months: tuple[str, str] | None = None,
              evolved: bool = False) -> DataFrame:
         """The table now, or the rows of a snapshot with the columns the table had then.
@@ -208,11 +216,7 @@ class VersionedTable:
         """
         state = self._state(snapshot_id)
         columns = self._state().schema if evolved else state.schema
-        if not state.snapshots:
-            return self.spark.createDataFrame([], columns)
-        schema = StructType([*self._stored(columns).fields, StructField(BATCH, LongType(), True)])
-        paths = [self._batch_path(r["snapshot_id"]) for r in state.snapshots]
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(*paths)
+        rows = self._scan(state.snapshots, columns)
         if months is not None:
             first, last = (F.lit(m).cast("date") for m in months)
             rows = rows.where(F.col(MONTH).between(first, last))
@@ -221,14 +225,37 @@ class VersionedTable:
     def read_batch(self, snapshot_id: int) -> DataFrame:
         """Only the rows that snapshot added, with the columns it had."""
         state = self._state(snapshot_id)
-        return self.spark.read.schema(self._stored(state.schema)).parquet(
-            self._batch_path(snapshot_id)
-        ).select(*state.schema.names)
+        return self._scan(state.snapshots[-1:], state.schema).select(*state.schema.names)
+
+    def _added_since(self, snapshot_id: int, columns: StructType) -> DataFrame:
+        return self._scan(
+            [r for r in self._state().snapshots if r["snapshot_id"] > snapshot_id], columns
+        )
 
     def surplus_since(self, snapshot_id: int) -> DataFrame:
         """Rows held more often now than at a snapshot, with the number of extra copies.
 
-        Compared on the columns of that time; shows what a repeated load has doubled.
+        In a table that only grows these are the rows of the later snapshots, so the earlier ones
+        are not read. Compared on the columns of that time.
+        """
+        then = self._state(snapshot_id)
+        added = self._added_since(snapshot_id, then.schema).select(*then.schema.names)
+        return added.groupBy(*then.schema.names).agg(F.count("*").alias("extra_copies"))
+
+    def repeated_since(self, snapshot_id: int) -> DataFrame:
+        """Rows added after a snapshot that it already held: what a repeated load has doubled.
+
+        Only the months the later snapshots touch are read from the earlier ones.
         """
-        then = self.read(snapshot_id)
-        return quality.surplus_rows(self.read().select(*then.columns), then)
+        then = self._state(snapshot_id)
+        added = self._added_since(snapshot_id, then.schema)
+        touched = [r[MONTH] for r in added.select(MONTH).distinct().collect()]
+        held = self._scan(then.snapshots, then.schema).where(F.col(MONTH).isin(touched))
+        names = then.schema.names
+        both = held.select(*names, F.lit(1).alias("held"), F.lit(0).alias("added")).unionAll(
+            added.select(*names, F.lit(0).alias("held"), F.lit(1).alias("added"))
+        )
+        counted = both.groupBy(*names).agg(
+            F.sum("held").alias("held_copies"), F.sum("added").alias("added_copies")
+        )
+        return counted.where("held_copies > 0 AND added_copies > 0")

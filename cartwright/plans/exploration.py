@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.functions import money
-from cartwright.sources.readers import field
+from cartwright.sources import files, readers
 
 
 def line_count(lines: DataFrame, header: str) -> DataFrame:
@@ -23,16 +23,20 @@ def line_count(lines: DataFrame, header: str) -> DataFrame:
     )
 
 
-def head(lines: DataFrame, n: int = 5) -> DataFrame:
-    """The first lines of the first file."""
-    return lines.limit(n)
+def head(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
+    """The first lines of the file, or of the first part file of a folder.
+
+    A scan of many files has no first line: Spark packs them into tasks by size. So the first file
+    is found by name, and nothing else is opened.
+    """
+    return readers.read_lines(spark, files.first_file(spark, path)).limit(n)
 
 
 def category_frequency(lines: DataFrame, header: str, position: int = 4) -> DataFrame:
     """How often each value of a field occurs, straight from the text lines, by value."""
     return (
         lines.where(F.col("value") != header)
-        .groupBy(field(F.col("value"), position).alias("category"))
+        .groupBy(readers.field(F.col("value"), position).alias("category"))
         .agg(F.count("*").alias("transactions"))
         .orderBy("category")
     )

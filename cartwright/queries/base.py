@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartwright.operators import sinks
 from cartwright.plans import history, storage
-from cartwright.session import scratch_dir
+from cartwright.session import scratch_dir, size_for
+from cartwright.sources import files
 from cartwright.sources.store import Store
 
 QUERIES: dict[str, Query] = {}
 _prepared: dict[tuple[str, str, str], Any] = {}
+_sized: set[tuple[str, str]] = set()
 
 
 @dataclass(frozen=True)
@@ -35,12 +37,25 @@ def query(name: str, covers: str, sql: str | None = None):
     def register(run):
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-        QUERIES[name] = Query(name, covers, run, sql)
+
+        def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+            size_once(spark, sf_dir)
+            return run(spark, sf_dir)
+
+        QUERIES[name] = Query(name, covers, sized, sql)
         return run
 
     return register
 
 
+def size_once(spark: SparkSession, sf_dir: str) -> None:
+    """Fits the session's partitioning to the folder, from one file listing per application."""
+    key = (spark.conf.get("spark.app.id"), abspath(sf_dir))
+    if key not in _sized:
+        size_for(spark, files.total_bytes(spark, sf_dir))
+        _sized.add(key)
+
+
 def store_query(name: str, covers: str, sql: str | None = None):
     """The same for a function of the three store tables."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cartwright.operators import quality
 from cartwright.operators.versioned import VersionedTable
 from cartwright.plans import history
 from cartwright.queries.base import (
@@ -172,10 +173,11 @@ def schema_evolution_whole_month(spark, sf_dir):
     return history.origin_counts(versioned_whole(spark, sf_dir))
 
 
-@query("repeated_load_diff", "D9 K9 S8", over_history(
-    "SELECT *, COUNT(*) AS extra_copies FROM m3 GROUP BY ALL"))
-def repeated_load_diff(spark, sf_dir):
-    """March was loaded twice: the difference to the version before shows what was doubled."""
+EXTRA_MARCH = over_history("SELECT *, COUNT(*) AS extra_copies FROM m3 GROUP BY ALL")
+
+
+def repeated_load(spark, sf_dir) -> VersionedTable:
+    """A history whose March batch was loaded twice."""
     staged = staged_months(spark, sf_dir)
 
     def build(folder):
@@ -184,4 +186,24 @@ def repeated_load_diff(spark, sf_dir):
             table.append(history.month_batch(staged, month))
         return table
 
-    return prepared(spark, sf_dir, "repeated_load", build).surplus_since(3)
+    return prepared(spark, sf_dir, "repeated_load", build)
+
+
+@query("repeated_load_diff", "D9 K9 S8", EXTRA_MARCH)
+def repeated_load_diff(spark, sf_dir):
+    """The difference to the version before the second load, from the later snapshots alone."""
+    return repeated_load(spark, sf_dir).surplus_since(3)
+
+
+@query("multiset_difference", "D9 S8", EXTRA_MARCH)
+def multiset_difference(spark, sf_dir):
+    """The same difference between two row sets of any origin."""
+    table = repeated_load(spark, sf_dir)
+    return quality.surplus_rows(table.read(), table.read(3))
+
+
+@query("repeated_load_rows", "D9 S8 K8", over_history(
+    "SELECT *, COUNT(*) AS held_copies, COUNT(*) AS added_copies FROM m3 GROUP BY ALL"))
+def repeated_load_rows(spark, sf_dir):
+    """Which rows of the second load were already there."""
+    return repeated_load(spark, sf_dir).repeated_since(3)

@@ -1,0 +1,174 @@
+from collections import Counter
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from cartwright.operators.versioned import VersionedTable
+from cartwright.plans import history
+from cartwright.sources import schemas
+
+COLUMNS = ", ".join(
+    f"{f.name} {'bigint' if f.name.endswith('_id') and f.name != 'transaction_id' else f.dataType.simpleString()}"
+    for f in schemas.VERSIONED_TRANSACTIONS.fields)
+
+
+def batch(spark, month, n, year=2024, product=1):
+    rows = [(f"{year}-{month}-{i}", i, product, "Food", float(i), "USD", "US", "completed",
+             datetime(year, month, 1 + i % 28, 23, 50)) for i in range(n)]
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def content(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+@pytest.fixture
+def table(spark, tmp_path):
+    made = VersionedTable.create(spark, str(tmp_path / "t"), schemas.VERSIONED_TRANSACTIONS)
+    for month, n in ((1, 5), (2, 7), (3, 4)):
+        made.append(batch(spark, month, n))
+    return made
+
+
+def test_new_table_is_empty(spark, tmp_path):
+    made = VersionedTable.create(spark, str(tmp_path / "t"), schemas.VERSIONED_TRANSACTIONS)
+    assert made.read().count() == 0
+    assert made.read().columns == schemas.VERSIONED_TRANSACTIONS.names
+    assert made.snapshots().count() == 0
+
+
+def test_each_version_holds_the_batches_up_to_it(table):
+    assert [table.read(v).count() for v in (1, 2, 3)] == [5, 12, 16]
+    assert table.read().count() == 16
+    assert table.read_batch(2).count() == 7
+
+
+def test_history(table):
+    rows = table.history().collect()
+    assert [(r["snapshot_id"], r["operation"], r["total_records"]) for r in rows] == [
+        (1, "append", "5"), (2, "append", "12"), (3, "append", "16")]
+    times = [r["committed_at"] for r in rows]
+    assert times == sorted(times)
+    assert table.first_snapshot() == 1
+    newest = table.snapshots().orderBy("snapshot_id").collect()[-1]
+    assert newest["parent_id"] == 2
+    assert newest["summary"]["added-records"] == "4"
+    assert newest["summary"]["changed-partition-count"] == "1"
+    assert int(newest["summary"]["total-data-files"]) >= 3
+    assert int(newest["summary"]["total-files-size"]) > int(newest["summary"]["added-files-size"]) > 0
+
+
+def test_old_versions_survive_appends_and_a_new_column(spark, table):
+    before = {v: content(table.read(v)) for v in (1, 2, 3)}
+    assert table.add_column("discount_pct", DoubleType()) == 1
+    table.append(batch(spark, 4, 3).withColumn("discount_pct", F.lit(7.5)))
+    for v in (1, 2, 3):
+        assert content(table.read(v)) == before[v]
+        assert "discount_pct" not in table.read(v).columns
+    now = table.read()
+    assert now.columns[-1] == "discount_pct"
+    assert now.where("discount_pct IS NULL").count() == 16
+    assert now.where("discount_pct = 7.5").count() == 3
+    evolved = table.read(1, evolved=True)
+    assert [r["discount_pct"] for r in evolved.collect()] == [None] * 5
+
+
+def test_add_column_is_a_log_row_only(table):
+    files = table.snapshots().count(), table.read().count()
+    table.add_column("discount_pct", DoubleType())
+    assert (table.snapshots().count(), table.read().count()) == files
+    assert [r["operation"] for r in table.log().orderBy("version").collect()] == [
+        "create", "append", "append", "append", "add column"]
+    with pytest.raises(ValueError, match="exists"):
+        table.add_column("discount_pct", DoubleType())
+
+
+def test_batch_without_the_new_column_is_null_there(spark, table):
+    table.add_column("discount_pct", DoubleType())
+    table.append(batch(spark, 5, 2))
+    assert table.read_batch(4).where("discount_pct IS NULL").count() == 2
+
+
+def test_unknown_column_and_snapshot_are_errors(spark, table):
+    with pytest.raises(ValueError, match="surprise"):
+        table.append(batch(spark, 4, 1).withColumn("surprise", F.lit(1)))
+    with pytest.raises(ValueError, match="no snapshot 9"):
+        table.read(9)
+
+
+def test_id_beyond_32_bits_is_an_error(spark, table):
+    with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
+        table.append(batch(spark, 4, 1, product=2**40))
+    assert table.read().count() == 16
+
+
+def test_batch_without_a_log_row_is_invisible_and_overwritten(spark, table):
+    lost = batch(spark, 6, 50).withColumn("txn_month", F.lit(date(2024, 6, 1)))
+    lost.write.partitionBy("txn_month").parquet(f"{table.root}/data/batch_id=4")
+    assert table.read().count() == 16
+    assert table.append(batch(spark, 4, 2)) == 4
+    assert table.read().count() == 18
+    assert table.read().where("month(txn_timestamp) = 6").count() == 0
+
+
+def test_empty_batch_is_a_snapshot(spark, table):
+    assert table.append(batch(spark, 4, 0)) == 4
+    assert table.read().count() == 16
+    assert table.snapshots().where("snapshot_id = 4").first()["summary"]["added-records"] == "0"
+    assert table.append(batch(spark, 4, 1)) == 5
+    assert table.read().count() == 17
+
+
+def test_versions_are_found_by_another_reader(spark, table):
+    other = VersionedTable(spark, table.root)
+    assert content(other.read(2)) == content(table.read(2))
+
+
+def test_month_range_reads_only_those_directories(table, plan_of):
+    february = table.read(months=("2024-02-01", "2024-02-01"))
+    assert february.count() == 7
+    plan = plan_of(february)
+    assert "PartitionFilters" in plan and "txn_month" in plan.split("PartitionFilters", 1)[1][:200]
+    assert "batch_id=3" not in plan_of(table.read(2))
+
+
+def test_repeated_load_is_found(spark, table):
+    table.append(batch(spark, 3, 4))
+    table.append(batch(spark, 3, 1, year=2025))
+    repeated = table.repeated_since(3).collect()
+    assert len(repeated) == 4
+    assert {(r["held_copies"], r["added_copies"]) for r in repeated} == {(1, 1)}
+    assert table.surplus_since(3).count() == 5
+
+
+@pytest.mark.parametrize("promotion_rows, expected", [(3, 3), (None, 6)])
+def test_load_history(spark, tmp_path, promotion_rows, expected):
+    source = batch(spark, 1, 5).unionAll(batch(spark, 1, 2, year=2025)).unionAll(batch(spark, 2, 3)).unionAll(
+        batch(spark, 3, 2)).unionAll(batch(spark, 4, 6)).unionAll(batch(spark, 7, 9))
+    staged = history.stage_months(source, str(tmp_path / "staged"))
+    made = history.load_history(spark, staged, str(tmp_path / "t"), promotion_rows)
+    sizes = [int(r["total_records"]) for r in made.history().collect()]
+    assert sizes == [7, 10, 12, 12 + expected]
+    check = history.time_travel_count(made, 1, history.month_batch(staged, 1)).first()
+    assert tuple(check) == (7, 7, True)
+    labels = {r["row_origin"]: r for r in history.origin_counts(made).collect()}
+    assert sum(r["row_count"] for r in labels.values()) == 12 + expected
+
+
+def test_load_history_without_april_falls_back(spark, tmp_path):
+    staged = history.stage_months(batch(spark, 1, 5), str(tmp_path / "staged"))
+    made = history.load_history(spark, staged, str(tmp_path / "t"), 2)
+    assert [r["total_records"] for r in made.history().collect()] == ["5", "5", "5", "7"]
+
+
+def test_discount_share_and_range(spark):
+    rows = spark.range(20_000).select(
+        F.col("id").cast("string").alias("transaction_id"), F.lit(1).alias("customer_id"),
+        F.lit(2).alias("product_id"))
+    first = history.with_discount(rows)
+    share, low, high = first.agg(
+        F.count("discount_pct") / F.count("*"), F.min("discount_pct"), F.max("discount_pct")).first()
+    assert abs(share - 0.2) < 0.01 and low >= 5.0 and high <= 15.0
+    assert content(first) == content(history.with_discount(rows.repartition(7)))

@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR  folder of the test tables (default /root/testdata/sf0.1)
 BENCH_CPUS    local cores (default 8)
-BENCH_RUNS    measured runs after one warm-up; the median counts (default 3)
+BENCH_RUNS    measured runs after a warm-up; the median counts (default 3)
 BENCH_ROWS    rows of the generated table of the format comparison (default 5,000,000)
 
 Every query is executed in full into the ``noop`` sink: a ``count()`` would let Catalyst drop the
@@ -21,8 +21,7 @@ import time
 
 from cartwright.operators import sinks
 from cartwright.plans import exploration, history, marts, staging, storage, summaries
-from cartwright.queries import QUERIES
-from cartwright.queries import base
+from cartwright.queries import QUERIES, base
 from cartwright.session import local_session, scratch_dir
 from cartwright.sources import generators, readers, schemas
 from cartwright.sources.store import Store
@@ -53,8 +52,14 @@ def run_fully(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def medians(actions: dict) -> dict[str, float]:
+    """Median seconds per action. All of them run once before the first is measured."""
+    for action in actions.values():
+        action()
+    return {name: median(action) for name, action in actions.items()}
+
+
 def median(action) -> float:
-    action()
     seconds = []
     for _ in range(RUNS):
         began = time.perf_counter()
@@ -64,7 +69,9 @@ def median(action) -> float:
 
 
 def mapped(spark) -> dict[str, float]:
-    return {name: median(lambda: run_fully(QUERIES[name].run(spark, SF_DIR))) for name in MAPPED}
+    return medians({
+        name: lambda name=name: run_fully(QUERIES[name].run(spark, SF_DIR)) for name in MAPPED
+    })
 
 
 def stored(spark) -> dict[str, float]:
@@ -92,28 +99,32 @@ def stored(spark) -> dict[str, float]:
             history.time_travel_count(table, 1, history.month_batch(staged, 1))),
         "history_of_four_commits": load,
     }
-    return {f"stored_{name}": median(action) for name, action in queries.items()}
+    return medians({f"stored_{name}": action for name, action in queries.items()})
 
 
 def formats(spark) -> dict[str, float]:
     folder = scratch_dir(spark, "bench", "formats")
     keys = generators.ids(spark, ROWS, 4 * spark.sparkContext.defaultParallelism)
     source = f"{folder}/source"
-    times = {"generate": median(lambda: sinks.write_parquet(
-        generators.benchmark_transactions(keys), source, "zstd"))}
-    rows = spark.read.parquet(source)
-    for name, write in storage.FORMATS.items():
-        times[f"write_{name}"] = median(lambda: write(rows, f"{folder}/{name}"))
+
+    def generate():
+        sinks.write_parquet(generators.benchmark_transactions(keys), source, "zstd")
+
+    def convert(write, name):
+        write(spark.read.schema(schemas.BENCHMARK_TRANSACTIONS).parquet(source), f"{folder}/{name}")
 
     def revenue(df):
         run_fully(exploration.filtered_revenue(df, "Electronics", "US"))
 
-    times["filtered_sum_csv"] = median(lambda: revenue(
-        readers.read_csv(spark, f"{folder}/csv", schemas.BENCHMARK_TRANSACTIONS)))
     columns = ["category", "country_code", "amount"]
-    times["filtered_sum_parquet_zstd"] = median(lambda: revenue(
-        readers.read_parquet(spark, f"{folder}/parquet_zstd", columns)))
-    return {f"formats_{name}": seconds for name, seconds in times.items()}
+    actions = {"generate": generate}
+    for name, write in storage.FORMATS.items():
+        actions[f"write_{name}"] = lambda write=write, name=name: convert(write, name)
+    actions["filtered_sum_csv"] = lambda: revenue(
+        readers.read_csv(spark, f"{folder}/csv", schemas.BENCHMARK_TRANSACTIONS))
+    actions["filtered_sum_parquet_zstd"] = lambda: revenue(
+        readers.read_parquet(spark, f"{folder}/parquet_zstd", columns))
+    return medians({f"formats_{name}": action for name, action in actions.items()})
 
 
 def main() -> None:

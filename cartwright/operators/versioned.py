@@ -184,7 +184,7 @@ class VersionedTable:
             F.coalesce(F.sum("records"), F.lit(0)).alias("records"),
             F.count("*").alias("data-files"),
             F.coalesce(F.sum("file_size"), F.lit(0)).alias("files-size"),
-            F.count_distinct(MONTH).alias("partitions"),
+            F.size(F.collect_set(MONTH)).alias("partitions"),
         ).first()
         summary = {"changed-partition-count": str(added["partitions"])}
         for measure in ("records", "data-files", "files-size"):

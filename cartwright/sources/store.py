@@ -13,21 +13,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Declared, so that reading a table starts no job to look up its schema.
+TEST_TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": (
+        "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+        " p_retailprice double"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+        " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+        " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double,"
+        " props string"
+    ),
+}
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    return spark.read.schema(TEST_TABLES[name]).parquet(table_path(sf_dir, name))
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item.
 
     Country and region names are joined to customers and those to orders before the line items are
-    touched, so the largest table is shuffled at most once, on the order key. No side is forced to
-    be broadcast: Spark does that where its own size check allows, else it sort-merges and splits
-    skewed partitions at run time.
+    touched, so the largest table is shuffled once, on the order key. Both sides of that join grow
+    with the data, so it is a sort-merge join, whose skewed partitions are split at run time.
+    Without the hint Spark, which takes the size of a join's result for the product of its inputs,
+    would broadcast the line items whenever they are below its threshold. In the other joins no
+    side is forced: Spark broadcasts where its own size check allows.
     """
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
@@ -63,7 +91,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "lineitem")
-        .join(sales, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(sales.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .select(
             F.when(quantity == 4, None).otherwise(line_key).alias("transaction_id"),
             "customer_id",

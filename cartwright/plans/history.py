@@ -12,6 +12,7 @@ from cartwright.operators.sinks import write_partitioned
 from cartwright.operators.versioned import VersionedTable
 from cartwright.sources import schemas
 
+# The promotional batch and the labels of its rows.
 DISCOUNT = "discount_pct"
 DISCOUNTED_SHARE = 0.2
 DISCOUNT_RANGE = (5.0, 15.0)

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from cartwright.functions import calendar, money
 from cartwright.operators import joins, sinks
 
+# Thousands of days, a few rows each: more tasks than this would mostly be empty.
+DAY_WRITERS = 200
+
 
 def category_country_summary(transactions: DataFrame) -> DataFrame:
     """Revenue and orders of completed transactions by category and country.
@@ -82,5 +85,5 @@ def daily_summary_by_fact_category(transactions: DataFrame, products: DataFrame,
 
 def write_daily_summary(summary: DataFrame, path: str) -> str:
     """A directory per day. A day has one row per category, so days are dealt out evenly."""
-    tasks = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sinks.write_partitioned(summary, path, "sale_date", tasks=tasks)
+    partitions = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sinks.write_partitioned(summary, path, "sale_date", tasks=min(partitions, DAY_WRITERS))

@@ -27,8 +27,13 @@ DELETED_SHARE = REFUNDED_SHARE = 0.05
 N_TRANSACTIONS, N_CUSTOMERS, N_PRODUCTS = 100_000, 5_000, 100
 N_BENCHMARK_TRANSACTIONS = 5_000_000
 
+ROWS_PER_TASK = 5_000_000
+
 
 def ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame:
+    """Ids 0 to n - 1, in as many partitions as keep a task's rows in bounds."""
+    if partitions is None:
+        partitions = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
     return spark.range(0, n, 1, partitions)
 
 

@@ -222,6 +222,17 @@ class VersionedTable:
             rows = rows.where(F.col(MONTH).between(first, last))
         return rows.select(*columns.names)
 
+    def read_between(self, start: str, end: str, snapshot_id: int | None = None) -> DataFrame:
+        """Rows with a time from ``start`` up to but not including ``end``.
+
+        A filter on the time column alone would open every month, so the months are named as well.
+        """
+        time = F.col(self.time_column)
+        rows = self.read(snapshot_id, months=(f"{start[:7]}-01", f"{end[:7]}-01"))
+        return rows.where(
+            (time >= F.lit(start).cast("timestamp_ntz")) & (time < F.lit(end).cast("timestamp_ntz"))
+        )
+
     def read_batch(self, snapshot_id: int) -> DataFrame:
         """Only the rows that snapshot added, with the columns it had."""
         state = self._state(snapshot_id)

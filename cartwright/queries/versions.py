@@ -146,6 +146,14 @@ def months_pruned(spark, sf_dir):
     return versioned(spark, sf_dir).read(3, months=("1997-01-01", "1997-02-01"))
 
 
+@query("time_range_pruned", "S8 K8", over_history(
+    "SELECT * FROM earlier WHERE txn_timestamp >= TIMESTAMP '1997-01-15'"
+    " AND txn_timestamp < TIMESTAMP '1998-02-10'"))
+def time_range_pruned(spark, sf_dir):
+    """A range within months: the directories first, then the exact times."""
+    return versioned(spark, sf_dir).read_between("1997-01-15", "1998-02-10", snapshot_id=3)
+
+
 @query("schema_evolution_nulls", "Q12 K10 P1 O7", over_history(
     "SELECT transaction_id, amount, currency, status, CAST(NULL AS DOUBLE) AS discount_pct FROM earlier"
     " ORDER BY transaction_id NULLS FIRST, amount NULLS FIRST, currency, status LIMIT 8"))

@@ -134,6 +134,13 @@ def test_month_range_reads_only_those_directories(table, plan_of):
     assert "batch_id=3" not in plan_of(table.read(2))
 
 
+def test_time_range_names_the_months_too(table, plan_of):
+    rows = table.read_between("2024-01-03", "2024-02-03 23:50:00")
+    assert sorted(str(r["txn_timestamp"])[:10] for r in rows.collect()) == [
+        "2024-01-03", "2024-01-04", "2024-01-05", "2024-02-01", "2024-02-02"]
+    assert "txn_month" in plan_of(rows).split("PartitionFilters", 1)[1][:200]
+
+
 def test_repeated_load_is_found(spark, table):
     table.append(batch(spark, 3, 4))
     table.append(batch(spark, 3, 1, year=2025))

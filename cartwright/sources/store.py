@@ -8,6 +8,7 @@ codes and soft deletes are derived from existing columns, so that cleaning has s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,18 +142,20 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Store:
+    """The three tables of one folder. Each DataFrame is built once; it is lazy and can be reused."""
+
     spark: SparkSession
     sf_dir: str
 
-    @property
+    @cached_property
     def transactions(self) -> DataFrame:
         return transactions(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def customers(self) -> DataFrame:
         return customers(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def products(self) -> DataFrame:
         return products(self.spark, self.sf_dir)
 

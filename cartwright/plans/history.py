@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cartwright.functions import calendar, draws, money
+from cartwright.functions import draws, money
 from cartwright.operators import sampling
 from cartwright.operators.sinks import write_partitioned
 from cartwright.operators.versioned import VersionedTable

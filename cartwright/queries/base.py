@@ -57,7 +57,7 @@ def size_once(spark: SparkSession, sf_dir: str) -> None:
         _sized.add(key)
 
 
-def store(spark: SparkSession, sf_dir: str) -> Store:
+def tables(spark: SparkSession, sf_dir: str) -> Store:
     """The store tables of a folder, one set per application."""
     key = (spark.conf.get("spark.app.id"), abspath(sf_dir))
     if key not in _stores:
@@ -69,7 +69,7 @@ def store_query(name: str, covers: str, sql: str | None = None):
     """The same for a function of the three store tables."""
 
     def register(run):
-        query(name, covers, sql)(lambda spark, sf_dir: run(store(spark, sf_dir)))
+        query(name, covers, sql)(lambda spark, sf_dir: run(tables(spark, sf_dir)))
         return run
 
     return register
@@ -97,10 +97,9 @@ def seed_csv(spark: SparkSession, sf_dir: str) -> str:
     Products are ranged by key, so that the first file starts with the smallest keys.
     """
     def build(folder: str) -> str:
-        tables = store(spark, sf_dir).seed_tables
-        products = tables["products"]
-        tables["products"] = products.repartitionByRange("product_id").sortWithinPartitions("product_id")
-        return storage.write_seed_csv(tables, folder)
+        seed = tables(spark, sf_dir).seed_tables
+        by_key = seed["products"].repartitionByRange("product_id").sortWithinPartitions("product_id")
+        return storage.write_seed_csv({**seed, "products": by_key}, folder)
 
     return prepared(spark, sf_dir, "seed_csv", build)
 
@@ -109,14 +108,14 @@ def transactions_parquet(spark: SparkSession, sf_dir: str) -> str:
     """The store's transactions as one stored table, the form every plan expects."""
     return prepared(
         spark, sf_dir, "transactions_parquet",
-        lambda folder: sinks.write_parquet(store(spark, sf_dir).transactions, folder, "zstd"),
+        lambda folder: sinks.write_parquet(tables(spark, sf_dir).transactions, folder, "zstd"),
     )
 
 
 def staged_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepared(
         spark, sf_dir, "months",
-        lambda folder: history.stage_months(store(spark, sf_dir).transactions, folder),
+        lambda folder: history.stage_months(tables(spark, sf_dir).transactions, folder),
     )
 
 

@@ -10,11 +10,11 @@ from cartwright.queries.base import (
     seed_csv,
     source_id,
     store_query,
+    tables,
     transactions_parquet,
 )
 from cartwright.queries.canonical import money, over_store
 from cartwright.sources import files, readers, schemas
-from cartwright.sources.store import Store
 
 CATEGORY, COUNTRY = "1-URGENT", "nation_3 "
 TRANSACTIONS_HEADER = ",".join(schemas.TRANSACTIONS.names)
@@ -107,7 +107,7 @@ def category_country_summary(store):
 @query("category_country_summary_written", "Q4 K5", CATEGORY_COUNTRY_SUMMARY)
 def category_country_summary_written(spark, sf_dir):
     def build(folder):
-        summary = summaries.category_country_summary(Store(spark, sf_dir).transactions)
+        summary = summaries.category_country_summary(tables(spark, sf_dir).transactions)
         return sinks.write_parquet(summary, folder)
 
     return spark.read.parquet(prepared(spark, sf_dir, "category_country_summary", build))
@@ -138,7 +138,7 @@ def daily_summary_by_fact_category_sort_merge(store):
 @query("daily_summary_partitioned", "Q6 K6", DAILY_BY_FACT_CATEGORY)
 def daily_summary_partitioned(spark, sf_dir):
     def build(folder):
-        store = Store(spark, sf_dir)
+        store = tables(spark, sf_dir)
         summary = summaries.daily_summary_by_fact_category(store.transactions, store.products)
         return summaries.write_daily_summary(summary, folder)
 
@@ -201,9 +201,9 @@ def convert_csv_to_columnar(spark, sf_dir):
 
 def raw_tables(spark, sf_dir):
     def build(folder):
-        store = Store(spark, sf_dir)
-        tables = {"transactions": store.transactions, "customers": store.customers}
-        return storage.load_raw_tables(tables, folder, suffix=f"_{source_id(sf_dir)}")
+        store = tables(spark, sf_dir)
+        raw = {"transactions": store.transactions, "customers": store.customers}
+        return storage.load_raw_tables(raw, folder, suffix=f"_{source_id(sf_dir)}")
 
     return prepared(spark, sf_dir, "raw_tables", build)
 

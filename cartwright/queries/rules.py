@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwright.operators import quality, sampling
-from cartwright.plans import exploration, staging
-from cartwright.queries.base import query, seed_csv, staged_months, store_query, transactions_parquet
+from cartwright.plans import exploration, history, staging
+from cartwright.queries.base import (
+    query,
+    seed_csv,
+    staged_months,
+    store_query,
+    tables,
+    transactions_parquet,
+)
 from cartwright.queries.canonical import money, over_store
 from cartwright.queries.reports import CATEGORY, COUNTRY
-from cartwright.plans import history
 from cartwright.sources import readers, schemas
-from cartwright.sources.store import Store
 
 # The test tables' own code lists: every region but one, every nation.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
@@ -145,7 +150,7 @@ def batch_present(spark, sf_dir):
 @query("batch_fallback", "D6", over_store("SELECT * FROM transactions"))
 def batch_fallback(spark, sf_dir):
     """No such month, so the whole input takes the batch's place."""
-    transactions = Store(spark, sf_dir).transactions
+    transactions = tables(spark, sf_dir).transactions
     return sampling.batch_or_fallback(
         transactions.where(F.month("txn_timestamp") == 13), transactions)
 

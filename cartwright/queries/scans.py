@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwright.operators import sinks
-from cartwright.queries.base import prepared, query, seed_csv, source_id, transactions_parquet
+from cartwright.queries.base import (
+    prepared,
+    query,
+    seed_csv,
+    source_id,
+    tables,
+    transactions_parquet,
+)
 from cartwright.queries.canonical import over_store
 from cartwright.sources import files, readers, schemas
-from cartwright.sources.store import Store, table_path
+from cartwright.sources.store import table_path
 
 SEED_TRANSACTIONS = over_store("SELECT * EXCLUDE (txn_timestamp), txn_timestamp AS timestamp FROM transactions")
 
@@ -53,7 +60,7 @@ def scan_lines(spark, sf_dir):
 @query("scan_catalog_table", "S7 K7", over_store("SELECT * FROM customers"))
 def scan_catalog_table(spark, sf_dir):
     name = prepared(spark, sf_dir, "catalog_table", lambda folder: sinks.create_table_as(
-        Store(spark, sf_dir).customers, f"store_customers_{source_id(sf_dir)}", folder))
+        tables(spark, sf_dir).customers, f"store_customers_{source_id(sf_dir)}", folder))
     return spark.table(name)
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from cartwright.functions import calendar
 from cartwright.operators import sinks
 from cartwright.plans import marts, staging
-from cartwright.queries.base import prepared, query, source_id, transactions_parquet
+from cartwright.queries.base import prepared, query, source_id, tables, transactions_parquet
 from cartwright.queries.canonical import over_store
 from cartwright.queries.reports import DIM_CUSTOMERS
 from cartwright.sources import readers, schemas
-from cartwright.sources.store import Store
 
 CUSTOMERS = over_store("SELECT * REPLACE (CAST(signup_date AS DATE) AS signup_date) FROM customers")
 TRANSACTIONS = over_store("SELECT * FROM transactions")
@@ -20,13 +19,13 @@ TRANSACTIONS = over_store("SELECT * FROM transactions")
 @query("write_csv", "K1 S4", CUSTOMERS)
 def write_csv(spark, sf_dir):
     path = prepared(spark, sf_dir, "written_csv", lambda folder: sinks.write_csv(
-        Store(spark, sf_dir).customers, folder))
+        tables(spark, sf_dir).customers, folder))
     return readers.read_csv(spark, path, schemas.CUSTOMERS)
 
 
 def _written(spark, sf_dir, name, codec):
     path = prepared(spark, sf_dir, name, lambda folder: sinks.write_parquet(
-        Store(spark, sf_dir).transactions, folder, codec))
+        tables(spark, sf_dir).transactions, folder, codec))
     return spark.read.parquet(path)
 
 
@@ -49,8 +48,8 @@ def write_parquet_snappy(spark, sf_dir):
 def write_overwrite(spark, sf_dir):
     """The second write replaces the first."""
     def build(folder):
-        sinks.write_parquet(Store(spark, sf_dir).customers, folder)
-        return sinks.write_parquet(Store(spark, sf_dir).products, folder)
+        sinks.write_parquet(tables(spark, sf_dir).customers, folder)
+        return sinks.write_parquet(tables(spark, sf_dir).products, folder)
 
     return spark.read.parquet(prepared(spark, sf_dir, "overwritten", build))
 
@@ -60,7 +59,7 @@ def write_overwrite(spark, sf_dir):
 def write_partitioned_by_month(spark, sf_dir):
     def build(folder):
         month = calendar.month_start(F.col("txn_timestamp")).alias("txn_month")
-        dated = Store(spark, sf_dir).transactions.select("*", month)
+        dated = tables(spark, sf_dir).transactions.select("*", month)
         return sinks.write_partitioned(dated, folder, "txn_month", codec="zstd")
 
     return spark.read.parquet(prepared(spark, sf_dir, "by_month", build))
@@ -71,8 +70,8 @@ def create_table_as_select(spark, sf_dir):
     """Dropping and recreating a table leaves the rows of the last load."""
     def build(folder):
         name = f"raw_products_{source_id(sf_dir)}"
-        sinks.create_table_as(Store(spark, sf_dir).customers, name, f"{folder}/first")
-        return sinks.create_table_as(Store(spark, sf_dir).products, name, f"{folder}/second")
+        sinks.create_table_as(tables(spark, sf_dir).customers, name, f"{folder}/first")
+        return sinks.create_table_as(tables(spark, sf_dir).products, name, f"{folder}/second")
 
     return spark.table(prepared(spark, sf_dir, "recreated", build))
 
@@ -85,7 +84,7 @@ def create_table_ddl(spark, sf_dir):
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PRODUCTS.fields)
         for _ in range(2):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{folder}'")
-        Store(spark, sf_dir).products.write.insertInto(name)
+        tables(spark, sf_dir).products.write.insertInto(name)
         return name
 
     return spark.table(prepared(spark, sf_dir, "declared", build))
@@ -93,14 +92,14 @@ def create_table_ddl(spark, sf_dir):
 
 @query("materialise_staging_view", "K11 S11", over_store("SELECT * FROM stg_customers"))
 def materialise_staging_view(spark, sf_dir):
-    model = staging.stg_customers(Store(spark, sf_dir).customers)
+    model = staging.stg_customers(tables(spark, sf_dir).customers)
     return spark.table(sinks.create_view(model, f"stg_customers_{source_id(sf_dir)}"))
 
 
 @query("materialise_mart_table", "K12 S11 Q17", DIM_CUSTOMERS)
 def materialise_mart_table(spark, sf_dir):
     def build(folder):
-        store = Store(spark, sf_dir)
+        store = tables(spark, sf_dir)
         mart = marts.dim_customers(
             staging.stg_customers(store.customers), staging.stg_transactions(store.transactions))
         return sinks.create_table_as(mart, f"dim_customers_{source_id(sf_dir)}", folder)

@@ -31,7 +31,14 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
 
 
-def with_columns(df: DataFrame, packed: str, added: list[str]) -> DataFrame:
-    """The fields of the struct ``packed``, then ``added``, which replace fields of the same name."""
-    own = [f for f in df.schema[packed].dataType.names if f.lower() not in {a.lower() for a in added}]
-    return df.select(*[F.col(packed)[f].alias(f) for f in own], *added)
+def packed(docs: DataFrame) -> DataFrame:
+    """id (see ``row_key``), text, and all other columns as the struct rest."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
+    return docs.select(row_key().alias("id"), "text", F.struct(*rest).alias("rest"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
+    """The ``columns`` a table had before ``packed``, then ``added``, which replace those of the same name."""
+    new = {a.lower() for a in added}
+    own = [F.col("text") if c.lower() == "text" else F.col("rest")[c].alias(c) for c in columns if c.lower() not in new]
+    return rows.select(*own, *added)

@@ -22,10 +22,15 @@ _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(SEPARATORS)] = False
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
-_POWERS = np.cumprod(np.concatenate(([1], np.full(SLICE, _BASE))).astype(_U), dtype=_U)
-_INVERSE = np.cumprod(
-    np.concatenate(([1], np.full(SLICE, pow(_BASE, -1, 2**64)))).astype(_U), dtype=_U
-)
+
+
+def _powers(base: int) -> np.ndarray:
+    factors = np.full(SLICE + 1, base, _U)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=_U)
+
+
+_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartwright.llm import exact_dedup, packing, token_counts
+from cartwright.llm import (
+    exact_dedup,
+    line_dedup,
+    packing,
+    quality_rules,
+    substring_dedup,
+    token_counts,
+)
 from cartwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,12 +43,111 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+             generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+      FROM documents
+    ), k AS (
+      SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM l
+    ), g AS (
+      SELECT *, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM k
+    )
+    SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM g GROUP BY doc_id
+    """,
+)
+def documents_without_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"), min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op5_rule_ledger",
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(coalesce(text, ''), chr(10)),
+                         lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+      FROM documents
+    ), w AS (
+      SELECT doc_id, i, CASE WHEN i + 4 <= len(words) THEN words[i:i + 4] END AS win
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)
+    ), r AS (
+      SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 AS again FROM w
+    ), c AS (
+      SELECT doc_id, count_if(again) OVER (
+               PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) > 0 AS covered
+      FROM r
+    ), n AS (SELECT doc_id, count_if(covered) AS n_repeat_words FROM c GROUP BY doc_id),
+    m AS (
+      SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+             coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN n USING (doc_id)
+    ), b AS (
+      SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+             (n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT
+             + 4 * (100 * n_symbols > 20 * n_words)::BIGINT + 8 * (100 * n_dup_lines > 50 * n_lines)::BIGINT
+             + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 20 * n_words)::BIGINT AS fail_bits
+      FROM m
+    )
+    SELECT *, fail_bits = 0 AS kept FROM b
+    """,
+)
+def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    base = quality_rules.passes("base")
+    return rows.select(
+        "doc_id", *quality_rules.MEASUREMENTS, (~base).alias("base_failed"), "fail_bits",
+        (base & quality_rules.passes(quality_rules.CURRENT)).alias("kept"),
+    )
+
+
 @query("op8_token_counts")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), w AS (
+      SELECT doc_id, i, words[i] AS word,
+             CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS win
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM d)
+    ), f AS (
+      SELECT *, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS later
+      FROM w
+    ), c AS (
+      SELECT *, count_if(later) OVER (
+               PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 AS gone
+      FROM f
+    ), k AS (
+      SELECT doc_id, count(*) AS n_words, count_if(gone)::BIGINT AS n_removed,
+             string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+      FROM c GROUP BY doc_id
+    )
+    SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN k USING (doc_id)
+    """,
+)
+def documents_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op10_exact_dedup",
     """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cartwright.llm import (
     exact_dedup,
     line_dedup,
+    near_dedup,
     packing,
     quality_rules,
     substring_dedup,
@@ -34,6 +35,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_weighted_minhash")
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
 @query("op2_sum_of_squares_packing")
 def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=2048, end_id=1)

@@ -60,9 +60,14 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         low = high
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of every word, and the index of the first word of every text (and the end)."""
-    inside = _IN_WORD[data]
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, in_word: np.ndarray = _IN_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word, and the index of the first word of every text (and the end).
+
+    ``in_word`` says for each byte value whether it belongs to words.
+    """
+    inside = in_word[data]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]

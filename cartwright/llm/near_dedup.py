@@ -248,17 +248,34 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (that one).
+
+    For the settings and the classes see ``_classes``. Other columns of ``docs`` are left out.
+    """
+    return _classes(docs, **settings).drop("id")
+
+
+def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the rows whose doc_id has no kept row. Spark picks the join by the size of
+    the list of such doc_ids."""
+    gone = _classes(docs, **settings).groupBy("id").agg(F.max("kept").alias("kept")).filter("NOT kept")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = docs.select(row_key().alias("id"), own).join(gone.select("id"), "id", "left_anti")
+    return rows.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
+
+
+def _classes(
     docs: DataFrame, threshold: float = 0.8, size: int = 5, bands: int = 16, rows: int = 4,
     spread: float = IDF_SPREAD,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), kept (that one).
+    """doc_id, id, class_id and kept of every row.
 
     Two documents are linked if the weighted Jaccard similarity of their shingles is at least
     ``threshold``; a class is what links connect. Documents with the same multiset of shingles are
     one node, so copies are never paired with each other; texts without words are one class. Where
     the smallest doc_id has several rows, each is marked kept. A null doc_id stands for a hash of
-    the text in class_id. Other columns of ``docs`` are left out; an empty table gives an empty one.
+    the text in class_id. An empty table gives an empty one.
 
     In each bucket all members are compared with its most central one (the one whose buckets are
     largest), not with each other. Members that are not in its class by then meet again in finer
@@ -319,7 +336,7 @@ def near_duplicates(
         )
     smallest = classes.groupBy("print").agg(F.min("id").alias("class_id"))
     return classes.join(smallest, "print").select(
-        "doc_id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")
+        "doc_id", "id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")
     )
 
 

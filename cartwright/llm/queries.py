@@ -13,9 +13,12 @@ from cartwright.llm import (
     line_dedup,
     near_dedup,
     packing,
+    pieces,
     quality_rules,
     substring_dedup,
     token_counts,
+    toxicity,
+    warc,
 )
 from cartwright.llm.common import table
 
@@ -23,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(name: str, sql: str | None = None):
@@ -49,6 +53,14 @@ def packed_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_classifier_chain")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxic_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rows=toxicity.TRAINING_ROWS
+    )
+    return scored.select("doc_id", *[f"p_{c}" for c in toxicity.CATEGORIES], "rejected")
+
+
 @query(
     "op4_line_dedup",
     r"""
@@ -117,6 +129,22 @@ def quality_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_merge_dropout")
+def piece_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    both = pieces.decode(pieces.encode(docs, PIECE_BPE, dropout=0.1, seed=20), PIECE_BPE)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
+        pieces.lossless().alias("lossless"),
+    )
+
+
+@query("op7_merkle_audit")
+def audited_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damage = F.pmod(F.xxhash64("page_id", "url"), F.lit(500)) == 0
+    return warc.audited_pages(table(spark, sf_dir, "pages"), damage)
+
+
 @query("op8_token_counts")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, limit=1024)

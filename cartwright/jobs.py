@@ -12,9 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwright.operators import quality, sampling, sinks
-from cartwright.operators.versioned import VersionedTable
 from cartwright.plans import exploration, history, marts, staging, storage, summaries
-from cartwright.session import size_for
 from cartwright.sources import files, generators, readers, schemas
 
 JOBS: dict[str, Callable[[SparkSession, argparse.Namespace], None]] = {}
@@ -74,7 +72,8 @@ def explore(spark, args):
 @job
 def convert(spark, args):
     """Seed CSV to Parquet."""
-    _show("Rows", storage.convert_csv_to_columnar(spark, args.data, args.data))
+    paths = {name: f"{args.data}/{name}.csv" for name in schemas.SEED_TABLES}
+    _show("Rows", storage.convert_csv_to_columnar(spark, paths, args.data))
 
 
 @job
@@ -116,7 +115,7 @@ def daily(spark, args):
     transactions = _transactions(spark, args)
     products = spark.read.parquet(_parquet(args, "products"))
     by_product = summaries.daily_summary_by_product_category(transactions, products)
-    by_fact = summaries.daily_summary_by_fact_category(transactions, products)
+    by_fact = summaries.daily_summary_by_fact_category(transactions)
     for result in (by_product, by_fact):
         result.explain("simple")
         began = time.perf_counter()
@@ -127,29 +126,27 @@ def daily(spark, args):
 
 @job
 def load_history(spark, args):
-    """Monthly snapshots, time travel and a new column, in a versioned table."""
+    """Monthly batches, earlier states and a new column, in a catalog table."""
     transactions = _transactions(spark, args)
-    root = f"{args.data}/versioned/{spark.conf.get('spark.app.id')}"
     _show("Rows per month", history.monthly_split_counts(transactions))
-    staged = history.stage_months(transactions, f"{root}/staged")
-    table = history.load_history(spark, staged, f"{root}/transactions")
-    first = table.first_snapshot()
-    _show("January revenue", history.month_revenue_by_category(table, first))
-    january = history.month_batch(staged, 1)
-    _show("Rows at the first snapshot", history.time_travel_count(table, first, january))
-    _show("Sample of the first snapshot", history.time_travel_sample(table, first))
+    path = f"{args.data}/history/{spark.conf.get('spark.app.id')}"
+    table = spark.table(history.load_history(spark, transactions, args.table, path, args.promotion_rows))
+    _show("January revenue", history.month_revenue_by_category(table))
+    january = history.month_batch(transactions, 1)
+    _show("Rows at the first batch", history.time_travel_count(table, 1, january))
+    _show("Sample of the first batch", history.time_travel_sample(table, 1))
     _show("Earlier rows with the new column", history.evolved_sample(table, 3))
     _show("Largest discounts", history.discounts_on_top(table))
-    _show("Snapshots", table.history())
-    print(f"Table at {table.root}")
+    _show("Batches", history.batches(table).orderBy("snapshot_id"))
+    print(f"Table {args.table} at {path}")
 
 
 @job
 def show_history(spark, args):
-    """Snapshots of an existing versioned table, and a sample as of one of them."""
-    table = VersionedTable(spark, args.table)
-    _show("Snapshots", table.history())
-    rows = table.read(args.snapshot)
+    """Batches of an existing history table, and a sample as of one of them."""
+    table = spark.table(args.table)
+    _show("Batches", history.batches(table).orderBy("snapshot_id"))
+    rows = table if args.snapshot is None else history.as_of(table, args.snapshot)
     rows.printSchema()
     _show("Sample", sampling.sample_batch(rows, 10))
 
@@ -200,10 +197,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("job", choices=sorted(JOBS))
     parser.add_argument("--data", required=True, help="folder of the tables")
     parser.add_argument("--rows", type=int, help="rows to generate")
-    parser.add_argument("--table", help="root of a versioned table")
-    parser.add_argument("--snapshot", type=int, help="snapshot to read; the newest if not given")
+    parser.add_argument("--table", default="transactions_history", help="name of the history table")
+    parser.add_argument("--snapshot", type=int, help="batch to read as of; the newest if not given")
+    parser.add_argument("--promotion-rows", type=int, help="size of the promotional sample; all of April if not given")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"cartwright {args.job}").getOrCreate()
-    if not args.job.startswith("generate"):
-        size_for(spark, files.total_bytes(spark, args.data))
     JOBS[args.job](spark, args)

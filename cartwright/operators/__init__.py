@@ -1 +1 @@
-"""Building blocks of the plans: joins by checked size, sinks, quality rules, versioned tables."""
+"""Building blocks of the plans: joins, sinks, quality rules, sampling."""

@@ -1,43 +1,18 @@
-"""Left joins to a dimension, with the strategy chosen from the dimension's measured size."""
+"""Left joins to a dimension."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
-
-BROADCAST_LIMIT = 10 * 1024**2
 
 
-def in_memory_bytes(df: DataFrame) -> int:
-    """Upper estimate of the rows' size in an executor's hash table. One distributed aggregate."""
-    widths = [F.lit(16 * (len(df.columns) + 1))]
-    for column in df.schema.fields:
-        if isinstance(column.dataType, (StringType, BinaryType)):
-            widths.append(F.coalesce(F.octet_length(F.col(column.name)), F.lit(0)))
-    return df.agg(F.sum(reduce(add, widths)).alias("bytes")).first()["bytes"] or 0
+def left_join(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Spark broadcasts the dimension if its own size check allows, and sort-merges it if not.
 
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_LIMIT) -> bool:
-    """Whether every executor can hold ``df``. A limit of 0 or less rules broadcasting out."""
-    return limit > 0 and in_memory_bytes(df) <= limit
+    Beyond the threshold adaptive execution splits a hot or NULL key's partition on the fact side.
+    """
+    return fact.join(dimension, key, "left")
 
 
 def left_join_sort_merge(fact: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Both sides shuffled and sorted by the key.
-
-    Adaptive execution splits a hot or NULL key's partition on the fact side of a left join, so
-    such a key does not end up in one task.
-    """
+    """Both sides shuffled and sorted by the key, whatever the dimension's size."""
     return fact.join(dimension.hint("merge"), key, "left")
-
-
-def left_join_broadcast(fact: DataFrame, dimension: DataFrame, key: str,
-                        limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """The fact side stays where it is; a dimension beyond ``limit`` is sort-merged instead."""
-    if fits_broadcast(dimension, limit):
-        return fact.join(F.broadcast(dimension), key, "left")
-    return left_join_sort_merge(fact, dimension, key)

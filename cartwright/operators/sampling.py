@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +15,12 @@ def sample_batch(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(*[F.col(c) for c in df.columns]).limit(n)
 
 
-def batch_or_fallback(batch: DataFrame, fallback: DataFrame) -> DataFrame:
-    """``batch`` unless it has no rows."""
-    return fallback if batch.isEmpty() else batch
+def batch_or_fallback(rows: DataFrame, in_batch: Column) -> DataFrame:
+    """The rows of the batch, or all rows if none is in it.
+
+    One plan: whether there is a batch is a scalar of the same query, which reads only the columns
+    of the condition. ``rows`` should be a stored table, as it is read twice.
+    """
+    chosen = F.coalesce(in_batch, F.lit(False))
+    present = rows.select(chosen.alias("chosen")).agg(F.coalesce(F.bool_or("chosen"), F.lit(False)))
+    return rows.where(chosen | ~present.scalar())

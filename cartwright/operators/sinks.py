@@ -39,15 +39,9 @@ def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
     return df.hint("rebalance", *columns)
 
 
-def write_partitioned(df: DataFrame, path: str, *columns: str, codec: str | None = None,
-                      tasks: int | None = None) -> str:
-    """One directory per partition value, without a small file per task and value.
-
-    ``tasks`` is for results with few rows per value, such as daily summaries: there the work is
-    the number of files, not their bytes, and adaptive execution would merge it all into one task.
-    """
-    spread = rebalanced(df, *columns) if tasks is None else df.repartition(tasks, *columns)
-    writer = spread.write.mode("overwrite").partitionBy(*columns)
+def write_partitioned(df: DataFrame, path: str, *columns: str, codec: str | None = None) -> str:
+    """One directory per partition value, without a small file per task and value."""
+    writer = rebalanced(df, *columns).write.mode("overwrite").partitionBy(*columns)
     if codec is not None:
         writer = writer.option("compression", codec)
     writer.parquet(path)

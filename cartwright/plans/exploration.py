@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,24 @@ def line_count(lines: DataFrame, header: str) -> DataFrame:
 
 
 def head(spark: SparkSession, path: str, n: int = 5) -> DataFrame:
-    """The first lines of the file, or of the first part file of a folder.
+    """The first lines of the file, or of the part files of a folder in the order of their names.
 
-    A scan of many files has no first line: Spark packs them into tasks by size. So the first file
-    is found by name, and nothing else is opened.
+    A scan of many files has no first line: Spark packs them into tasks by size. So files are taken
+    by name, the first one, then four times as many until they hold ``n`` lines, and of each no more
+    than ``n`` lines are read.
     """
-    return readers.read_lines(spark, files.first_file(spark, path)).limit(n)
+    taken = 1
+    while True:
+        names = files.first_files(spark, path, taken)
+        parts = [
+            readers.read_lines(spark, name).limit(n)
+            .select("value", F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line"))
+            for i, name in enumerate(names)
+        ]
+        lines = reduce(DataFrame.unionAll, parts).orderBy("file", "line").limit(n).select("value")
+        if len(names) < taken or lines.count() >= n:
+            return lines
+        taken *= 4
 
 
 def category_frequency(lines: DataFrame, header: str, position: int = 4) -> DataFrame:

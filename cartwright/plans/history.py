@@ -1,24 +1,27 @@
-"""Monthly loads into a versioned table: snapshots, time travel, a new column."""
+"""Monthly loads into a partitioned catalog table: batches, earlier states, a new column.
+
+A batch is a value of the partition column ``batch_id``, so the table as of a batch is a partition
+filter, and loading a batch again replaces that batch alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from cartwright.functions import draws, money
+from cartwright.functions import calendar, draws, money
 from cartwright.operators import sampling
-from cartwright.operators.sinks import write_partitioned
-from cartwright.operators.versioned import VersionedTable
 from cartwright.sources import schemas
 
 # The promotional batch and the labels of its rows.
 DISCOUNT = "discount_pct"
 DISCOUNTED_SHARE = 0.2
 DISCOUNT_RANGE = (5.0, 15.0)
-PROMOTION_ROWS = 500
 LEGACY, DISCOUNTED = "legacy row (no discount)", "new row (discount applied)"
 
+BATCH, MONTH = "batch_id", "txn_month"
+APRIL = 4
+
 
 def monthly_split_counts(transactions: DataFrame, months=(1, 2, 3, 4)) -> DataFrame:
     """Rows per month of the year, all years together."""
@@ -32,20 +35,8 @@ def monthly_split_counts(transactions: DataFrame, months=(1, 2, 3, 4)) -> DataFr
     )
 
 
-def stage_months(transactions: DataFrame, path: str, months=(1, 2, 3, 4)) -> DataFrame:
-    """The rows of some months of the year, written once with a directory per month.
-
-    The loads that follow each read their own directory instead of scanning the source again.
-    """
-    month = F.month("txn_timestamp")
-    chosen = transactions.where(month.isin(list(months))).withColumn("batch_month", month)
-    write_partitioned(chosen, path, "batch_month", codec="zstd")
-    schema = StructType([*transactions.schema.fields, StructField("batch_month", IntegerType())])
-    return transactions.sparkSession.read.schema(schema).parquet(path)
-
-
-def month_batch(staged: DataFrame, month: int) -> DataFrame:
-    return staged.where(F.col("batch_month") == month).drop("batch_month")
+def month_batch(transactions: DataFrame, month: int) -> DataFrame:
+    return transactions.where(F.month("txn_timestamp") == month)
 
 
 def with_discount(batch: DataFrame, salt: str = "promotion") -> DataFrame:
@@ -53,48 +44,124 @@ def with_discount(batch: DataFrame, salt: str = "promotion") -> DataFrame:
 
     The draw hangs on the row's ids, so a repeated load gives the same discounts.
     """
-    key = F.concat_ws("|", "transaction_id", "customer_id", "product_id")
-    hexdigest = draws.digest(salt, key)
-    picked = draws.below(draws.draw(hexdigest, 0), DISCOUNTED_SHARE)
-    percent = draws.uniform_decimal(draws.draw(hexdigest, 1), *DISCOUNT_RANGE, 1)
+    key = draws.text_key(F.concat_ws("|", "transaction_id", "customer_id", "product_id"))
+    picked = draws.below(draws.draw(salt, key, 0), DISCOUNTED_SHARE)
+    percent = draws.uniform_decimal(draws.draw(salt, key, 1), *DISCOUNT_RANGE, 1)
     return batch.withColumn(DISCOUNT, F.when(picked, percent).otherwise(F.lit(None).cast("double")))
 
 
-def load_history(spark: SparkSession, staged: DataFrame, root: str,
-                 promotion_rows: int | None = PROMOTION_ROWS) -> VersionedTable:
-    """January to March as snapshots 1 to 3, then a new column, then a promotional April batch.
+def create_table(spark: SparkSession, name: str, path: str) -> str:
+    """The transactions table by batch and month, if there is none of that name."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.VERSIONED_TRANSACTIONS.fields)
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {BATCH} INT, {MONTH} DATE) USING parquet"
+        f" PARTITIONED BY ({BATCH}, {MONTH}) LOCATION '{path}'"
+    )
+    return name
+
+
+def _rows(spark: SparkSession, name: str, batch: DataFrame) -> DataFrame:
+    """The batch in the table's columns and types; columns it lacks are NULL."""
+    own = {c.lower() for c in batch.columns}
+    fields = [f for f in spark.table(name).schema.fields if f.name not in (BATCH, MONTH)]
+    typed = [
+        (F.col(f.name) if f.name.lower() in own else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+    ]
+    return batch.select(*typed, calendar.month_start(F.col("txn_timestamp")).alias(MONTH))
+
+
+def load_batch(spark: SparkSession, name: str, batch: DataFrame, batch_id: int) -> None:
+    """Writes a batch, in place of an earlier one with its number; other batches stay as they are.
+
+    Rows of a month go together, and Spark splits a month that holds much of the batch.
+    """
+    rows = _rows(spark, name, batch).hint("rebalance", MONTH)
+    view = f"batch_{batch_id}_of_{name.replace('.', '_')}"
+    rows.createOrReplaceTempView(view)
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {name} PARTITION ({BATCH} = {int(batch_id)}, {MONTH}) SELECT * FROM {view}"
+    )
+    spark.catalog.dropTempView(view)
+
+
+def append_rows(spark: SparkSession, name: str, batch: DataFrame, batch_id: int) -> None:
+    """Appends rows under a batch number, beside whatever has that number already."""
+    rows = _rows(spark, name, batch).hint("rebalance", MONTH)
+    order = spark.table(name).columns
+    rows.withColumn(BATCH, F.lit(int(batch_id))).select(*order).write.mode("append").insertInto(name)
+
 
-    The promotional batch is a sample of ``promotion_rows`` rows, or all of April for None; if
-    April is empty it is taken from the whole input.
+def add_discount(spark: SparkSession, name: str) -> None:
+    """Adds the discount column, if it isn't there; no file is rewritten and old rows read NULL."""
+    if DISCOUNT not in spark.table(name).columns:
+        spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({DISCOUNT} DOUBLE)")
+
+
+def load_history(spark: SparkSession, transactions: DataFrame, name: str, path: str,
+                 promotion_rows: int | None = None) -> str:
+    """January to March as batches 1 to 3, then a new column, then April as a promotional batch.
+
+    The promotional batch is all of April. With ``promotion_rows`` it is a sample of that size, taken
+    from the whole input if there is no April; without that bound an absent April stays absent, since
+    the whole input would load every row a second time.
     """
-    table = VersionedTable.create(spark, root, schemas.VERSIONED_TRANSACTIONS)
+    create_table(spark, name, path)
     for month in (1, 2, 3):
-        table.append(month_batch(staged, month))
-    table.add_column(DISCOUNT, DoubleType())
-    april = sampling.batch_or_fallback(month_batch(staged, 4), staged.drop("batch_month"))
+        append_rows(spark, name, month_batch(transactions, month), month)
+    add_discount(spark, name)
+    april = month_batch(transactions, APRIL)
     if promotion_rows is not None:
-        april = sampling.sample_batch(april, promotion_rows)
-    table.append(with_discount(april))
-    return table
+        wanted = F.month("txn_timestamp") == APRIL
+        april = sampling.sample_batch(sampling.batch_or_fallback(transactions, wanted), promotion_rows)
+    load_batch(spark, name, with_discount(april), APRIL)
+    return name
+
+
+def as_of(table: DataFrame, batch_id: int) -> DataFrame:
+    """The rows of the batches up to one: other partitions are not read."""
+    return table.where(F.col(BATCH) <= batch_id).drop(BATCH, MONTH)
 
 
-def month_revenue_by_category(table: VersionedTable, snapshot_id: int = 1) -> DataFrame:
-    """Completed revenue of a snapshot by category, largest first."""
+def in_batch(table: DataFrame, batch_id: int) -> DataFrame:
+    return table.where(F.col(BATCH) == batch_id).drop(BATCH, MONTH)
+
+
+def between(table: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows from ``start`` up to before ``end``: the months by partition, then the exact times."""
+    first, last = (F.trunc(F.lit(x).cast("date"), "month") for x in (start, end))
+    moment = F.col("txn_timestamp")
+    return table.where(F.col(MONTH).between(first, last)).where(
+        (moment >= F.lit(start).cast("timestamp_ntz")) & (moment < F.lit(end).cast("timestamp_ntz"))
+    )
+
+
+def batches(table: DataFrame) -> DataFrame:
+    """One row per batch with its number of rows and whether it has discounts, as a map."""
+    return table.groupBy(F.col(BATCH).cast("bigint").alias("snapshot_id")).agg(
+        F.create_map(
+            F.lit("added-records"), F.count("*").cast("string"),
+            F.lit("discounts"), F.count(DISCOUNT).cast("string"),
+        ).alias("summary")
+    )
+
+
+def month_revenue_by_category(table: DataFrame, batch_id: int = 1) -> DataFrame:
+    """Completed revenue as of a batch by category, largest first."""
     return (
-        table.read(snapshot_id)
+        as_of(table, batch_id)
         .where(F.col("status") == "completed")
         .groupBy("category", "status")
         .agg(
             F.count("*").alias("transaction_count"),
-            money.total(F.col("amount")).alias("total_revenue"),
+            money.rounded_total(F.col("amount")).alias("total_revenue"),
         )
         .orderBy(F.desc("total_revenue"), "category")
     )
 
 
-def time_travel_count(table: VersionedTable, snapshot_id: int, batch: DataFrame) -> DataFrame:
-    """Rows at a snapshot, the rows of the batch it came from, and whether they are as many."""
-    counted = table.read(snapshot_id).select(F.lit(1).alias("travelled")).unionAll(
+def time_travel_count(table: DataFrame, batch_id: int, batch: DataFrame) -> DataFrame:
+    """Rows as of a batch, the rows that batch came from, and whether they are as many."""
+    counted = as_of(table, batch_id).select(F.lit(1).alias("travelled")).unionAll(
         batch.select(F.lit(0).alias("travelled"))
     )
     return counted.agg(
@@ -103,15 +170,15 @@ def time_travel_count(table: VersionedTable, snapshot_id: int, batch: DataFrame)
     ).withColumn("matches", F.col("row_count") == F.col("batch_count"))
 
 
-def time_travel_sample(table: VersionedTable, snapshot_id: int, n: int = 10) -> DataFrame:
+def time_travel_sample(table: DataFrame, batch_id: int, n: int = 10) -> DataFrame:
     columns = ["transaction_id", "customer_id", "category", "amount", "status", "txn_timestamp"]
-    return sampling.sample_batch(table.read(snapshot_id).select(*columns), n)
+    return sampling.sample_batch(as_of(table, batch_id).select(*columns), n)
 
 
-def evolved_sample(table: VersionedTable, snapshot_id: int, n: int = 8) -> DataFrame:
+def evolved_sample(table: DataFrame, batch_id: int, n: int = 8) -> DataFrame:
     """Rows written before the new column, read with it: the column is NULL."""
     columns = ["transaction_id", "amount", "currency", "status", DISCOUNT]
-    return sampling.sample_batch(table.read(snapshot_id, evolved=True).select(*columns), n)
+    return sampling.sample_batch(as_of(table, batch_id).select(*columns), n)
 
 
 def row_origin() -> F.Column:
@@ -119,21 +186,31 @@ def row_origin() -> F.Column:
     return F.when(F.col(DISCOUNT).isNull(), LEGACY).otherwise(DISCOUNTED)
 
 
-def discounts_on_top(table: VersionedTable, n: int = 15) -> DataFrame:
-    """The largest discounts of the current table, rows without one last."""
+def discounts_on_top(table: DataFrame, n: int = 15) -> DataFrame:
+    """The largest discounts of the table, rows without one last."""
     return (
-        table.read()
-        .select("transaction_id", "amount", "status", DISCOUNT, row_origin().alias("row_origin"))
+        table.select("transaction_id", "amount", "status", DISCOUNT, row_origin().alias("row_origin"))
         .orderBy(F.col(DISCOUNT).desc_nulls_last(), "transaction_id", "amount", "status")
         .limit(n)
     )
 
 
-def origin_counts(table: VersionedTable) -> DataFrame:
-    """Rows of the current table by label, with the number and sum of discounts."""
-    return table.read().groupBy(row_origin().alias("row_origin")).agg(
+def origin_counts(table: DataFrame) -> DataFrame:
+    """Rows of the table by label, with the number and sum of discounts."""
+    return table.groupBy(row_origin().alias("row_origin")).agg(
         F.count("*").alias("row_count"),
         F.count(DISCOUNT).alias("discounts"),
-        F.coalesce(F.round(F.sum(F.round(F.col(DISCOUNT) * 10).cast("bigint")) / 10, 1), F.lit(0.0))
-        .alias("discount_sum"),
+        F.coalesce(F.round(money.total(F.col(DISCOUNT)), 1), F.lit(0.0)).alias("discount_sum"),
     )
+
+
+def repeated_rows(table: DataFrame, after: int) -> DataFrame:
+    """Rows of later batches that were there by batch ``after``, with their copies then and since.
+
+    Grouping takes NULLs as equal, so rows without a time or id are found too.
+    """
+    columns = [c for c in table.columns if c not in (BATCH, MONTH)]
+    return table.groupBy(*columns).agg(
+        F.count_if(F.col(BATCH) <= after).alias("held_copies"),
+        F.count_if(F.col(BATCH) > after).alias("added_copies"),
+    ).where((F.col("held_copies") > 0) & (F.col("added_copies") > 0))

@@ -14,7 +14,7 @@ def fct_daily_revenue(stg_transactions: DataFrame) -> DataFrame:
         stg_transactions.groupBy(F.col("txn_date").alias("sale_date"), "category", "country_code")
         .agg(
             F.count("transaction_id").alias("order_count"),
-            money.total(F.col("amount")).alias("gross_revenue"),
+            money.rounded_total(F.col("amount")).alias("gross_revenue"),
         )
         .orderBy("sale_date", "category", "country_code")
     )
@@ -26,7 +26,7 @@ def customer_orders(stg_transactions: DataFrame) -> DataFrame:
         F.min("txn_date").alias("first_order_date"),
         F.max("txn_date").alias("most_recent_order_date"),
         F.count("transaction_id").alias("number_of_orders"),
-        money.total(F.col("amount")).alias("lifetime_value"),
+        money.rounded_total(F.col("amount")).alias("lifetime_value"),
     )
 
 

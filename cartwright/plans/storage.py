@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from functools import reduce
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +31,8 @@ def write_formats(df: DataFrame, folder: str) -> dict[str, float | None]:
         began = time.perf_counter()
         try:
             write(df, f"{folder}/{name}")
-        except Exception:
-            if name not in OPTIONAL_FORMATS:
+        except IllegalArgumentException as error:
+            if name not in OPTIONAL_FORMATS or "codec" not in str(error).lower():
                 raise
             seconds[name] = None
         else:
@@ -84,13 +85,13 @@ def write_seed_csv(tables: dict[str, DataFrame], folder: str) -> str:
     return folder
 
 
-def convert_csv_to_columnar(spark: SparkSession, csv_folder: str, parquet_folder: str,
+def convert_csv_to_columnar(spark: SparkSession, csv_paths: dict[str, str], parquet_folder: str,
                             tables=schemas.SEED_TABLES) -> DataFrame:
     """Each CSV table as Parquet; one row per table with its row count."""
     counts = []
-    for name, schema in tables.items():
+    for name, csv_path in csv_paths.items():
         path = f"{parquet_folder}/{name}.parquet"
-        sinks.write_parquet(readers.read_csv(spark, f"{csv_folder}/{name}.csv", schema), path)
+        sinks.write_parquet(readers.read_csv(spark, csv_path, tables[name]), path)
         counts.append(spark.read.parquet(path).agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("table_name"), "row_count"
         ))

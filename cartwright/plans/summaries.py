@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.functions import calendar, money
-from cartwright.operators import joins, sinks
-
-# Thousands of days, a few rows each: more tasks than this would mostly be empty.
-DAY_WRITERS = 200
+from cartwright.operators import joins
 
 
 def category_country_summary(transactions: DataFrame) -> DataFrame:
@@ -22,7 +21,7 @@ def category_country_summary(transactions: DataFrame) -> DataFrame:
         .where(F.col("amount").isNotNull())
         .groupBy("category", "country_code")
         .agg(
-            money.total(F.col("amount")).alias("total_revenue"),
+            money.rounded_total(F.col("amount")).alias("total_revenue"),
             F.count("transaction_id").alias("order_count"),
         )
         .orderBy("category", "country_code")
@@ -30,60 +29,61 @@ def category_country_summary(transactions: DataFrame) -> DataFrame:
 
 
 def _clean_sales(transactions: DataFrame) -> DataFrame:
+    amount = F.col("amount")
     return (
         transactions.where(F.col("transaction_id").isNotNull())
-        .where(F.col("amount") > 0)
+        .where(money.known(amount) > 0)
         .select(
             calendar.day(F.col("txn_timestamp")).alias("sale_date"),
             "category",
             "product_id",
-            money.cents(F.col("amount")).alias("cents"),
+            money.whole(amount).alias("units"),
+            money.millionths(amount).alias("parts"),
+            F.lit(1).alias("tx"),
         )
     )
 
 
-def _daily_summary(sales: DataFrame, dimension: DataFrame, group: list[str], limit: int) -> DataFrame:
-    """Sales joined to a dimension on ``product_id``, then summed by ``group``.
+def _summed(rows: DataFrame, *group: str) -> DataFrame:
+    return rows.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("units", "parts", "tx")])
 
-    A dimension small enough to broadcast leaves the sales unshuffled up to the final sum. For a
-    larger one the sales are summed by product first: the join then shuffles at most one row per
-    task, day and product, however many sales a single product has.
-    """
-    small = joins.fits_broadcast(dimension, limit)
-    if small:
-        parts = sales.withColumn("tx", F.lit(1)).join(F.broadcast(dimension), "product_id", "left")
-    else:
-        own = [c for c in sales.columns if c != "cents"]
-        parts = sales.groupBy(*own).agg(F.sum("cents").alias("cents"), F.count("*").alias("tx"))
-        parts = joins.left_join_sort_merge(parts, dimension, "product_id")
-    return parts.groupBy(*group).agg(
-        money.from_cents(F.sum("cents")).alias("total_revenue"), F.sum("tx").alias("tx_count")
+
+def _priced(sums: DataFrame) -> DataFrame:
+    return sums.select(
+        "sale_date", "category", money.from_parts(F.col("units"), F.col("parts")).alias("total_revenue"),
+        F.col("tx").alias("tx_count"),
     )
 
 
-def daily_summary_by_product_category(transactions: DataFrame, products: DataFrame,
-                                      broadcast_limit: int = joins.BROADCAST_LIMIT) -> DataFrame:
+def daily_summary_by_product_category(
+    transactions: DataFrame, products: DataFrame,
+    join: Callable[[DataFrame, DataFrame, str], DataFrame] = joins.left_join,
+) -> DataFrame:
     """Revenue and transactions by day and the *product's* category.
 
-    A transaction without a known product counts under a NULL category. The transaction's own
-    category is dropped before the join, where both sides would carry that name.
+    A transaction without a known product counts under a NULL category. The sales are summed by day
+    and product before the join, so it sees sums: a product with a third of all sales is one row per
+    day. The transaction's own category goes with that sum.
     """
-    sales = _clean_sales(transactions).drop("category")
-    dimension = products.select("product_id", "category")
-    return _daily_summary(sales, dimension, ["sale_date", "category"], broadcast_limit)
+    sums = _summed(_clean_sales(transactions), "sale_date", "product_id")
+    joined = join(sums, products.select("product_id", "category"), "product_id")
+    return _priced(_summed(joined, "sale_date", "category"))
 
 
-def daily_summary_by_fact_category(transactions: DataFrame, products: DataFrame,
-                                   broadcast_limit: int = joins.BROADCAST_LIMIT) -> DataFrame:
+def daily_summary_by_fact_category(transactions: DataFrame) -> DataFrame:
     """Revenue and transactions by day and the *transaction's* category, in that order."""
-    dimension = products.select("product_id", "product_name")
-    summary = _daily_summary(
-        _clean_sales(transactions), dimension, ["sale_date", "category"], broadcast_limit
-    )
-    return summary.orderBy("sale_date", "category")
+    sums = _summed(_clean_sales(transactions), "sale_date", "category")
+    return _priced(sums).orderBy("sale_date", "category")
+
+
+def daily_summary_by_fact_category_joined(transactions: DataFrame, products: DataFrame) -> DataFrame:
+    """The same over transactions that are sort-merged with their products first."""
+    names = products.select("product_id", "product_name")
+    joined = joins.left_join_sort_merge(_clean_sales(transactions), names, "product_id")
+    return _priced(_summed(joined, "sale_date", "category")).orderBy("sale_date", "category")
 
 
 def write_daily_summary(summary: DataFrame, path: str) -> str:
-    """A directory per day. A day has one row per category, so days are dealt out evenly."""
-    partitions = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sinks.write_partitioned(summary, path, "sale_date", tasks=min(partitions, DAY_WRITERS))
+    """A directory per day. A day has one row per category, so its rows go to one task."""
+    summary.repartition("sale_date").write.mode("overwrite").partitionBy("sale_date").parquet(path)
+    return path

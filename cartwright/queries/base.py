@@ -11,14 +11,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from cartwright.operators import sinks
-from cartwright.plans import history, storage
-from cartwright.session import scratch_dir, size_for
-from cartwright.sources import files
+from cartwright.plans import history
+from cartwright.session import scratch_dir
 from cartwright.sources.store import Store
 
 QUERIES: dict[str, Query] = {}
 _prepared: dict[tuple[str, str, str], Any] = {}
-_sized: set[tuple[str, str]] = set()
 _stores: dict[tuple[str, str], Store] = {}
 
 
@@ -38,25 +36,12 @@ def query(name: str, covers: str, sql: str | None = None):
     def register(run):
         if name in QUERIES:
             raise ValueError(f"query {name} exists")
-
-        def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-            size_once(spark, sf_dir)
-            return run(spark, sf_dir)
-
-        QUERIES[name] = Query(name, covers, sized, sql)
+        QUERIES[name] = Query(name, covers, run, sql)
         return run
 
     return register
 
 
-def size_once(spark: SparkSession, sf_dir: str) -> None:
-    """Fits the session's partitioning to the folder, from one file listing per application."""
-    key = (spark.conf.get("spark.app.id"), abspath(sf_dir))
-    if key not in _sized:
-        size_for(spark, files.total_bytes(spark, sf_dir))
-        _sized.add(key)
-
-
 def tables(spark: SparkSession, sf_dir: str) -> Store:
     """The store tables of a folder, one set per application."""
     key = (spark.conf.get("spark.app.id"), abspath(sf_dir))
@@ -91,17 +76,22 @@ def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str],
     return _prepared[key]
 
 
-def seed_csv(spark: SparkSession, sf_dir: str) -> str:
-    """The three store tables as CSV folders.
+#: Part files of the transactions CSV, so that its header lines can be stated beforehand.
+TRANSACTIONS_PARTS = 8
+
+
+def seed_csv(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """One of the store tables as a CSV folder.
 
     Products are ranged by key, so that the first file starts with the smallest keys.
     """
     def build(folder: str) -> str:
-        seed = tables(spark, sf_dir).seed_tables
-        by_key = seed["products"].repartitionByRange("product_id").sortWithinPartitions("product_id")
-        return storage.write_seed_csv({**seed, "products": by_key}, folder)
+        table = tables(spark, sf_dir).seed_tables[name]
+        if name == "products":
+            table = table.repartitionByRange("product_id").sortWithinPartitions("product_id")
+        return sinks.write_csv(table, folder)
 
-    return prepared(spark, sf_dir, "seed_csv", build)
+    return prepared(spark, sf_dir, f"seed_csv_{name}", build)
 
 
 def transactions_parquet(spark: SparkSession, sf_dir: str) -> str:
@@ -112,25 +102,22 @@ def transactions_parquet(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
-def staged_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepared(
-        spark, sf_dir, "months",
-        lambda folder: history.stage_months(tables(spark, sf_dir).transactions, folder),
-    )
+def stored_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(transactions_parquet(spark, sf_dir))
 
 
-def versioned(spark: SparkSession, sf_dir: str):
-    """The four-snapshot history with a sampled promotional batch."""
-    staged = staged_months(spark, sf_dir)
-    return prepared(
-        spark, sf_dir, "history", lambda folder: history.load_history(spark, staged, folder)
-    )
+def table_name(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A catalog name of this application and source folder."""
+    app = "".join(c if c.isalnum() else "_" for c in spark.conf.get("spark.app.id"))
+    return f"{name}_{source_id(sf_dir)}_{app}"
 
 
-def versioned_whole(spark: SparkSession, sf_dir: str):
-    """The same with the whole of April as the promotional batch."""
-    staged = staged_months(spark, sf_dir)
-    return prepared(
-        spark, sf_dir, "history_whole",
-        lambda folder: history.load_history(spark, staged, folder, promotion_rows=None),
-    )
+def history_table(spark: SparkSession, sf_dir: str, promotion_rows: int | None = None) -> DataFrame:
+    """January to March, a new column, and April with discounts: all of it, or a sample."""
+    name = "history" if promotion_rows is None else f"history_{promotion_rows}"
+    return spark.table(prepared(
+        spark, sf_dir, name,
+        lambda folder: history.load_history(
+            spark, stored_transactions(spark, sf_dir), table_name(spark, sf_dir, name), folder, promotion_rows
+        ),
+    ))

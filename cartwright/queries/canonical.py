@@ -63,5 +63,9 @@ def over_store(select: str, **ctes: str) -> str:
 
 
 def money(column: str = "amount") -> str:
-    """Exact sum of two-decimal amounts."""
-    return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE)"
+    """Exact sum of amounts with up to six decimals."""
+    return f"CAST(SUM(CAST({column} AS DECIMAL(28,6))) AS DOUBLE)"
+
+
+def rounded_money(column: str = "amount") -> str:
+    return f"ROUND({money(column)}, 2)"

@@ -9,6 +9,7 @@ from cartwright.operators import sinks
 from cartwright.queries.base import query, seed_csv, store_query
 from cartwright.queries.canonical import over_store
 from cartwright.sources import readers, schemas
+from cartwright.sources.generators import CATEGORIES
 from cartwright.sources.store import table
 
 
@@ -73,7 +74,7 @@ def project_masked_column(store):
 
 @query("project_delimited_field", "P10 S6", projected("category"))
 def project_delimited_field(spark, sf_dir):
-    lines = readers.read_lines(spark, f"{seed_csv(spark, sf_dir)}/transactions.csv")
+    lines = readers.read_lines(spark, seed_csv(spark, sf_dir, "transactions"))
     data = lines.where(F.col("value") != ",".join(schemas.TRANSACTIONS.names))
     return data.select(readers.field(F.col("value"), 4).alias("category"))
 
@@ -100,13 +101,15 @@ def to_date(spark, sf_dir):
 
 @query("text_to_timestamp", "X2", """
 SELECT event_id, date_trunc('second', ts) AS parsed,
-       TRY_CAST(event_type AS TIMESTAMP) AS malformed FROM events""")
+       CASE WHEN event_id % 3 = 0 THEN NULL ELSE date_trunc('second', ts) END AS mixed FROM events""")
 def text_to_timestamp(spark, sf_dir):
+    """Every third text of the mixed column is no timestamp and becomes NULL."""
     text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    mixed = F.when(F.col("event_id") % 3 == 0, F.concat(F.col("event_type"), text)).otherwise(text)
     return table(spark, sf_dir, "events").select(
         "event_id",
         calendar.moment(text).alias("parsed"),
-        F.col("event_type").try_cast("timestamp_ntz").alias("malformed"),
+        mixed.try_cast("timestamp_ntz").alias("mixed"),
     )
 
 
@@ -246,12 +249,12 @@ def interpolated_text(spark, sf_dir):
         "c_custkey", F.concat(F.lit("customer"), key, F.lit("@shop.example")).alias("email"))
 
 
-@query("modulo_cycle", "X21", """
-SELECT p_partkey, list_extract(['Electronics', 'Clothing', 'Food', 'Books', 'Sports'], p_partkey % 5 + 1)
+@query("modulo_cycle", "X21", f"""
+SELECT p_partkey, list_extract({CATEGORIES}, p_partkey % 5 + 1)
        AS category, p_partkey % 10 + 1 AS brand_number FROM part""")
 def modulo_cycle(spark, sf_dir):
     key = F.col("p_partkey")
-    names = F.array(*[F.lit(c) for c in ["Electronics", "Clothing", "Food", "Books", "Sports"]])
+    names = F.array(*[F.lit(c) for c in CATEGORIES])
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         F.element_at(names, (key % 5 + 1).cast("int")).alias("category"),

@@ -80,7 +80,7 @@ def filter_is_null_label(store):
     below_sql(draw_sql("share", "customer_id", 0), 0.2), "customers"))
 def filter_random_share(store):
     """About a fifth of the customers, the same ones on every run."""
-    drawn = draws.draw(draws.digest("share", F.col("customer_id")), 0)
+    drawn = draws.draw("share", F.col("customer_id"))
     return store.customers.where(draws.below(drawn, 0.2))
 
 

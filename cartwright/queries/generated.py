@@ -11,8 +11,13 @@ from cartwright.sources.store import table
 
 
 def draw_sql(salt: str, key: str, slot: int) -> str:
-    digest = f"md5('{salt}:' || CAST({key} AS VARCHAR))"
-    return f"CAST('0x' || substr({digest}, {1 + 8 * slot}, 8) AS BIGINT)"
+    key = f"CAST({key} AS BIGINT)"
+    value = (
+        f"((({key} & {draws.LOW_31}) * {draws.SPREAD} + (({key} >> 31) & {draws.LOW_31}) * {draws.SPREAD_HIGH}"
+        f" + {draws.seed(salt, slot)}) & {draws.LOW})"
+    )
+    value = f"((xor({value} >> 16, {value}) * {draws.FACTOR}) & {draws.LOW})"
+    return f"xor({value} >> 15, {value})"
 
 
 def below_sql(draw: str, probability: float) -> str:
@@ -48,15 +53,15 @@ def step_sql(start: str, index: str, seconds: int) -> str:
 
 
 def _t(i: int, slot: int) -> str:
-    return draw_sql(f"transactions/42/{i}", "o_orderkey", slot)
+    return draw_sql("transactions/42", "o_orderkey", 4 * i + slot)
 
 
 def _c(slot: int) -> str:
-    return draw_sql("customers/42/0", "c_custkey", slot)
+    return draw_sql("customers/42", "c_custkey", slot)
 
 
 def _b(i: int, slot: int) -> str:
-    return draw_sql(f"benchmark/42/{i}", "event_id", slot)
+    return draw_sql("benchmark/42", "event_id", 4 * i + slot)
 
 
 @query("generate_transactions", "Q20 S12 X19 X22 X23 X24 X26", f"""
@@ -74,7 +79,7 @@ def generate_transactions(spark, sf_dir):
     return g.transactions(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
 
 
-@query("generate_customers", "Q20 S12 X20 X24 X25 X26", f"""
+@query("generate_customers", "Q20 S12 X20 X24 X25 X26 X27", f"""
 SELECT c_custkey + 1 AS customer_id,
        'customer' || CAST(c_custkey + 1 AS VARCHAR) || '@shop.example' AS email,
        {choice_sql(_c(0), g.FIRST_NAMES)} AS first_name,
@@ -90,9 +95,9 @@ def generate_customers(spark, sf_dir):
 @query("generate_products", "Q20 S12 X19 X20 X21 X23", f"""
 SELECT p_partkey + 1 AS product_id,
        printf('Product-%03d', p_partkey + 1) AS product_name,
-       list_extract(['Electronics', 'Clothing', 'Food', 'Books', 'Sports'], p_partkey % 5 + 1) AS category,
+       list_extract({g.CATEGORIES}, p_partkey % 5 + 1) AS category,
        'Brand-' || CAST(p_partkey % 10 + 1 AS VARCHAR) AS brand,
-       {uniform_decimal_sql(draw_sql('products/42/0', 'p_partkey', 0), 5, 500, 2)} AS unit_price
+       {uniform_decimal_sql(draw_sql('products/42', 'p_partkey', 0), 5, 500, 2)} AS unit_price
 FROM part""")
 def generate_products(spark, sf_dir):
     return g.products(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")))
@@ -112,19 +117,13 @@ def generate_benchmark_transactions(spark, sf_dir):
     return g.benchmark_transactions(table(spark, sf_dir, "events").select(F.col("event_id").alias("id")))
 
 
-@query("dense_keys", "S12 X27",
-       "SELECT unnest(range(1, (SELECT COUNT(*) FROM customer) + 1)) AS id")
-def dense_keys(spark, sf_dir):
-    return g.dense_keys(spark, table(spark, sf_dir, "customer").count())
-
-
 def _d(slot: int) -> str:
     return draw_sql("draws", "event_id", slot)
 
 
 def _drawn(spark, sf_dir, slot):
     events = table(spark, sf_dir, "events").select("event_id")
-    return events, draws.draw(draws.digest("draws", F.col("event_id")), slot)
+    return events, draws.draw("draws", F.col("event_id"), slot)
 
 
 @query("draw_uniform_integer", "X22", f"SELECT event_id, {uniform_int_sql(_d(0), 10, 20)} AS drawn FROM events")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cartwright.operators import joins
 from cartwright.plans import marts, staging
 from cartwright.queries.base import store_query
-from cartwright.queries.canonical import money, over_store
+from cartwright.queries.canonical import over_store, rounded_money
 
 
 @store_query("join_left_sort_merge", "J1", over_store(
@@ -24,13 +24,13 @@ def join_left_sort_merge(store):
     " FROM transactions t LEFT JOIN products p ON t.product_id = p.product_id"))
 def join_left_broadcast(store):
     fact = store.transactions.select("transaction_id", "product_id", "amount")
-    return joins.left_join_broadcast(fact, store.products.select("product_id", "product_name"), "product_id")
+    return joins.left_join(fact, store.products.select("product_id", "product_name"), "product_id")
 
 
 @store_query("join_left_to_aggregate", "J3 X10", over_store(
     "SELECT c.customer_id, COALESCE(o.orders, 0) AS orders, COALESCE(o.value, 0.0) AS value"
     " FROM customers c LEFT JOIN o USING (customer_id)",
-    o=f"SELECT customer_id, COUNT(transaction_id) AS orders, {money()} AS value"
+    o=f"SELECT customer_id, COUNT(transaction_id) AS orders, {rounded_money()} AS value"
       " FROM stg_transactions GROUP BY 1"))
 def join_left_to_aggregate(store):
     orders = marts.customer_orders(staging.stg_transactions(store.transactions))
@@ -47,4 +47,4 @@ def join_left_to_aggregate(store):
 def join_shared_column_name(store):
     """Both sides have a category; the transaction's is dropped first."""
     fact = store.transactions.select("transaction_id", "product_id", "category").drop("category")
-    return joins.left_join_broadcast(fact, store.products.select("product_id", "category"), "product_id")
+    return joins.left_join(fact, store.products.select("product_id", "category"), "product_id")

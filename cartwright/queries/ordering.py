@@ -62,7 +62,7 @@ def sample_rows(store):
 @query("sort_lines", "O9 S6", over_store("SELECT category AS value FROM transactions"))
 def sort_lines(spark, sf_dir):
     """One field of every line, sorted; the whole line breaks ties."""
-    lines = readers.read_lines(spark, f"{seed_csv(spark, sf_dir)}/transactions.csv")
+    lines = readers.read_lines(spark, seed_csv(spark, sf_dir, "transactions"))
     line = F.col("value")
     data = lines.where(line != ",".join(schemas.TRANSACTIONS.names))
     fields = data.select(readers.field(line, 4).alias("category"), line.alias("line"))

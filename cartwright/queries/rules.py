@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwright.operators import quality, sampling
-from cartwright.plans import exploration, history, staging
+from cartwright.plans import exploration, staging
 from cartwright.queries.base import (
     query,
     seed_csv,
-    staged_months,
     store_query,
-    tables,
+    stored_transactions,
     transactions_parquet,
 )
 from cartwright.queries.canonical import money, over_store
@@ -130,7 +129,7 @@ def quality_report(store):
     total=f"SELECT {money()} AS revenue FROM transactions"
           f" WHERE category = '{CATEGORY}' AND country_code = '{COUNTRY}'"))
 def formats_agree(spark, sf_dir):
-    path = f"{seed_csv(spark, sf_dir)}/transactions.csv"
+    path = seed_csv(spark, sf_dir, "transactions")
     text = readers.read_csv(spark, path, schemas.TRANSACTIONS)
     columns = ["category", "country_code", "amount"]
     columnar = readers.read_parquet(spark, transactions_parquet(spark, sf_dir), columns)
@@ -143,16 +142,15 @@ def formats_agree(spark, sf_dir):
 
 @query("batch_present", "D6", over_store("SELECT * FROM transactions WHERE month(txn_timestamp) = 4"))
 def batch_present(spark, sf_dir):
-    staged = staged_months(spark, sf_dir)
-    return sampling.batch_or_fallback(history.month_batch(staged, 4), staged.drop("batch_month"))
+    transactions = stored_transactions(spark, sf_dir)
+    return sampling.batch_or_fallback(transactions, F.month("txn_timestamp") == 4)
 
 
 @query("batch_fallback", "D6", over_store("SELECT * FROM transactions"))
 def batch_fallback(spark, sf_dir):
     """No such month, so the whole input takes the batch's place."""
-    transactions = tables(spark, sf_dir).transactions
-    return sampling.batch_or_fallback(
-        transactions.where(F.month("txn_timestamp") == 13), transactions)
+    transactions = stored_transactions(spark, sf_dir)
+    return sampling.batch_or_fallback(transactions, F.month("txn_timestamp") == 13)
 
 
 @query("input_row_counts", "D7 A12", """
@@ -174,13 +172,17 @@ def input_row_counts(spark, sf_dir):
     return first
 
 
+#: Five order priorities in each of 25 nations.
+GROUPS = 5 * 25
+
+
 @store_query("expected_groups", "D8", over_store(
-    "SELECT COUNT(*) AS found_groups, COUNT(DISTINCT category) * COUNT(DISTINCT country_code)"
-    " AS expected_groups FROM (SELECT DISTINCT category, country_code FROM transactions"
+    f"SELECT COUNT(*) AS found_groups, CAST({GROUPS} AS BIGINT) AS expected_groups, COUNT(*) = {GROUPS} AS complete"
+    " FROM (SELECT DISTINCT category, country_code FROM transactions"
     " WHERE status = 'completed' AND amount IS NOT NULL)"))
 def expected_groups(store):
     kept = store.transactions.where((F.col("status") == "completed") & F.col("amount").isNotNull())
-    return quality.expected_groups(kept, ["category", "country_code"])
+    return quality.expected_groups(kept, ["category", "country_code"], GROUPS)
 
 
 @store_query("completed_share", "D8", over_store(

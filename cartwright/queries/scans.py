@@ -14,7 +14,7 @@ from cartwright.queries.base import (
     transactions_parquet,
 )
 from cartwright.queries.canonical import over_store
-from cartwright.sources import files, readers, schemas
+from cartwright.sources import readers, schemas
 from cartwright.sources.store import table_path
 
 SEED_TRANSACTIONS = over_store("SELECT * EXCLUDE (txn_timestamp), txn_timestamp AS timestamp FROM transactions")
@@ -38,21 +38,21 @@ def scan_parquet_sql(spark, sf_dir):
 
 @query("scan_csv_declared", "S4 K1", SEED_TRANSACTIONS)
 def scan_csv_declared(spark, sf_dir):
-    path = f"{seed_csv(spark, sf_dir)}/transactions.csv"
+    path = seed_csv(spark, sf_dir, "transactions")
     return readers.read_csv(spark, path, schemas.TRANSACTIONS)
 
 
 @query("scan_csv_inferred", "S5", over_store(
     "SELECT product_id, product_name, category, brand, unit_price FROM products"))
 def scan_csv_inferred(spark, sf_dir):
-    inferred = readers.read_csv_inferred(spark, f"{seed_csv(spark, sf_dir)}/products.csv")
+    inferred = readers.read_csv_inferred(spark, seed_csv(spark, sf_dir, "products"))
     # Detection picks the narrowest integer type, which depends on the data.
     return inferred.withColumn("product_id", F.col("product_id").cast("bigint"))
 
 
 @query("scan_lines", "S6", over_store("SELECT CAST(customer_id AS VARCHAR) AS value FROM customers"))
 def scan_lines(spark, sf_dir):
-    lines = readers.read_lines(spark, f"{seed_csv(spark, sf_dir)}/customers.csv")
+    lines = readers.read_lines(spark, seed_csv(spark, sf_dir, "customers"))
     data = lines.where(F.col("value") != ",".join(schemas.CUSTOMERS.names))
     return data.select(readers.field(F.col("value"), 1).alias("value"))
 
@@ -79,8 +79,3 @@ def scan_stored_transactions(spark, sf_dir):
             stored.withColumn("timestamp", as_text).drop("txn_timestamp"), folder)
 
     return readers.seed_transactions(spark, prepared(spark, sf_dir, "text_timestamps", build))
-
-
-@query("scan_file_listing", "S13")
-def scan_file_listing(spark, sf_dir):
-    return files.listing(spark, sf_dir)

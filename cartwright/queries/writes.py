@@ -78,13 +78,13 @@ def create_table_as_select(spark, sf_dir):
 
 @query("create_table_ddl", "K8", over_store("SELECT * FROM products"))
 def create_table_ddl(spark, sf_dir):
-    """Declared columns, created only if absent, then filled by an insert."""
+    """Declared columns, created only if absent, then filled by an insert that replaces the rows."""
     def build(folder):
         name = f"declared_products_{source_id(sf_dir)}"
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schemas.PRODUCTS.fields)
         for _ in range(2):
             spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet LOCATION '{folder}'")
-        tables(spark, sf_dir).products.write.insertInto(name)
+        tables(spark, sf_dir).products.write.mode("overwrite").insertInto(name)
         return name
 
     return spark.table(prepared(spark, sf_dir, "declared", build))

@@ -2,61 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-GIB = 1024**3
-_local_roots: dict[str, str] = {}
-
 
 def scratch_dir(spark: SparkSession, *parts: str) -> str:
-    """A folder of this application under the shared checkpoint folder.
-
-    Intermediate tables have to outlive the executor that wrote them, so the folder named by
-    ``spark.checkpoint.dir`` is used. Only a local-mode session without that setting gets a
-    temporary folder of this machine.
-    """
-    app = spark.conf.get("spark.app.id")
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="cartwright-")
-        root = _local_roots[app]
-    return "/".join([root.rstrip("/"), "cartwright", app, *parts])
-
-
-def sized_settings(input_bytes: int, shuffle_partitions: int, split_bytes: int) -> dict[str, str]:
-    """Session settings for an input of that size, never below the ones in place.
+    """A folder of this application in a place all executors share.
 
-    Stored bytes are compressed and queries read some of the columns, so 4 GiB of input per
-    shuffle partition leaves partitions that fit in memory or spill little; adaptive execution
-    merges what turns out too small. Larger splits keep the number of scan tasks, and with it the
-    number of shuffle blocks, in bounds.
+    Intermediate tables have to outlive the executor that wrote them: they go below the folder named
+    by ``spark.checkpoint.dir``, or below the session's warehouse if that is unset.
     """
-    partitions = min(max(shuffle_partitions, -(-input_bytes // (4 * GIB))), 50_000)
-    split = min(max(split_bytes, input_bytes // 200_000), GIB)
-    return {
-        "spark.sql.shuffle.partitions": str(max(partitions, shuffle_partitions)),
-        "spark.sql.files.maxPartitionBytes": str(max(split, split_bytes)),
-    }
-
-
-def size_for(spark: SparkSession, input_bytes: int) -> None:
-    """Raises the session's partition counts and split size to what the input needs."""
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    for key, value in sized_settings(input_bytes, partitions, split).items():
-        spark.conf.set(key, value)
-
-
-def _bytes(setting: str) -> int:
-    """A byte setting such as ``134217728b``, ``128MB`` or ``1g``."""
-    text = setting.strip().lower().removesuffix("b")
-    factor = {"k": 1024, "m": 1024**2, "g": GIB, "t": 1024 * GIB}.get(text[-1:], 1)
-    return int(text.rstrip("kmgt")) * factor
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return "/".join([root.rstrip("/"), "cartwright", spark.conf.get("spark.app.id"), *parts])
 
 
 def local_session(cpus: int | str = "*", app_name: str = "cartwright", **conf: str) -> SparkSession:

@@ -14,13 +14,9 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("bytes"))
 
 
-def total_bytes(spark: SparkSession, path: str) -> int:
-    return listing(spark, path).agg(F.sum("bytes").alias("bytes")).first()["bytes"] or 0
-
-
-def first_file(spark: SparkSession, path: str) -> str:
-    """The data file that comes first by name."""
-    return listing(spark, path).agg(F.min("path").alias("path")).first()["path"]
+def first_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first ``n`` data files by name."""
+    return [row["path"] for row in listing(spark, path).orderBy("path").limit(n).collect()]
 
 
 def megabytes(size):

@@ -37,72 +37,67 @@ def ids(spark: SparkSession, n: int, partitions: int | None = None) -> DataFrame
     return spark.range(0, n, 1, partitions)
 
 
-def dense_keys(spark: SparkSession, n: int) -> DataFrame:
-    """Keys 1 to n."""
-    return spark.range(1, n + 1)
-
-
-def _hashed(keys: DataFrame, salt: str, digests: int) -> DataFrame:
-    made = [draws.digest(f"{salt}/{i}", F.col("id")).alias(f"h{i}") for i in range(digests)]
-    return keys.select(F.col("id").cast("bigint").alias("id"), *made)
-
-
-def _draw(name: str, slot: int):
-    return draws.draw(F.col(name), slot)
+def _draws(table: str, salt: str):
+    """The draws of a row by slot."""
+    return lambda slot: draws.draw(f"{table}/{salt}", F.col("id"), slot)
 
 
 def transactions(keys: DataFrame, n_customers: int = N_CUSTOMERS, n_products: int = N_PRODUCTS,
                  salt: str = "42") -> DataFrame:
     """One transaction every ten minutes."""
-    return _hashed(keys, f"transactions/{salt}", 2).select(
+    draw = _draws("transactions", salt)
+    return keys.select(
         F.format_string(TRANSACTION_ID, "id").alias("transaction_id"),
-        draws.uniform_int(_draw("h0", 0), 1, n_customers + 1).alias("customer_id"),
-        draws.uniform_int(_draw("h0", 1), 1, n_products + 1).alias("product_id"),
-        draws.weighted_choice(_draw("h0", 2), CATEGORY_WEIGHTS).alias("category"),
-        draws.uniform_decimal(_draw("h0", 3), 5.0, 500.0, 2).alias("amount"),
-        draws.weighted_choice(_draw("h1", 0), CURRENCY_WEIGHTS).alias("currency"),
-        draws.weighted_choice(_draw("h1", 1), COUNTRY_WEIGHTS).alias("country_code"),
-        draws.weighted_choice(_draw("h1", 2), STATUS_WEIGHTS).alias("status"),
+        draws.uniform_int(draw(0), 1, n_customers + 1).alias("customer_id"),
+        draws.uniform_int(draw(1), 1, n_products + 1).alias("product_id"),
+        draws.weighted_choice(draw(2), CATEGORY_WEIGHTS).alias("category"),
+        draws.uniform_decimal(draw(3), 5.0, 500.0, 2).alias("amount"),
+        draws.weighted_choice(draw(4), CURRENCY_WEIGHTS).alias("currency"),
+        draws.weighted_choice(draw(5), COUNTRY_WEIGHTS).alias("country_code"),
+        draws.weighted_choice(draw(6), STATUS_WEIGHTS).alias("status"),
         calendar.step(FIRST_TRANSACTION, F.col("id"), 600).alias("timestamp"),
     )
 
 
 def customers(keys: DataFrame, domain: str = "shop.example", salt: str = "42") -> DataFrame:
     """One signup every six hours; keys and addresses count from 1."""
+    draw = _draws("customers", salt)
     number = F.col("id") + 1
-    return _hashed(keys, f"customers/{salt}", 1).select(
+    return keys.select(
         number.alias("customer_id"),
         F.concat(F.lit("customer"), number.cast("string"), F.lit(f"@{domain}")).alias("email"),
-        draws.choice(_draw("h0", 0), FIRST_NAMES).alias("first_name"),
-        draws.choice(_draw("h0", 1), LAST_NAMES).alias("last_name"),
+        draws.choice(draw(0), FIRST_NAMES).alias("first_name"),
+        draws.choice(draw(1), LAST_NAMES).alias("last_name"),
         calendar.day(calendar.step(FIRST_SIGNUP, F.col("id"), 21_600)).alias("signup_date"),
-        draws.weighted_choice(_draw("h0", 2), COUNTRY_WEIGHTS).alias("country_code"),
-        draws.below(_draw("h0", 3), DELETED_SHARE).alias("is_deleted"),
+        draws.weighted_choice(draw(2), COUNTRY_WEIGHTS).alias("country_code"),
+        draws.below(draw(3), DELETED_SHARE).alias("is_deleted"),
     )
 
 
 def products(keys: DataFrame, salt: str = "42") -> DataFrame:
     """Categories and brands in rotation."""
+    draw = _draws("products", salt)
     number = F.col("id") + 1
     position = (F.col("id") % len(CATEGORIES) + 1).cast("int")
-    return _hashed(keys, f"products/{salt}", 1).select(
+    return keys.select(
         number.alias("product_id"),
         F.format_string(PRODUCT_NAME, number).alias("product_name"),
         F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), position).alias("category"),
         F.concat(F.lit("Brand-"), (F.col("id") % 10 + 1).cast("string")).alias("brand"),
-        draws.uniform_decimal(_draw("h0", 0), 5.0, 500.0, 2).alias("unit_price"),
+        draws.uniform_decimal(draw(0), 5.0, 500.0, 2).alias("unit_price"),
     )
 
 
 def benchmark_transactions(keys: DataFrame, salt: str = "42") -> DataFrame:
     """The wider-keyed table of the format benchmark, one transaction per second."""
-    return _hashed(keys, f"benchmark/{salt}", 2).select(
+    draw = _draws("benchmark", salt)
+    return keys.select(
         F.format_string(TRANSACTION_ID, "id").alias("transaction_id"),
-        draws.uniform_int(_draw("h0", 0), 1, 100_000).alias("customer_id"),
-        draws.uniform_int(_draw("h0", 1), 1, 5_000).alias("product_id"),
-        draws.uniform_decimal(_draw("h0", 2), 1.0, 500.0, 2).alias("amount"),
-        draws.choice(_draw("h0", 3), CATEGORIES).alias("category"),
-        draws.choice(_draw("h1", 0), COUNTRIES).alias("country_code"),
+        draws.uniform_int(draw(0), 1, 100_000).alias("customer_id"),
+        draws.uniform_int(draw(1), 1, 5_000).alias("product_id"),
+        draws.uniform_decimal(draw(2), 1.0, 500.0, 2).alias("amount"),
+        draws.choice(draw(3), CATEGORIES).alias("category"),
+        draws.choice(draw(4), COUNTRIES).alias("country_code"),
         calendar.step(FIRST_TRANSACTION, F.col("id"), 1).alias("timestamp"),
-        draws.below(_draw("h1", 1), REFUNDED_SHARE).alias("is_refunded"),
+        draws.below(draw(5), REFUNDED_SHARE).alias("is_refunded"),
     )

@@ -63,7 +63,7 @@ BENCHMARK_TRANSACTIONS = _struct(
     is_refunded=_BOOL,
 )
 
-# Ids are 32-bit in the versioned table; a larger id is an error on append, never a wrapped number.
+# Ids are 32-bit in the history table; a larger id is an error on append, never a wrapped number.
 VERSIONED_TRANSACTIONS = _struct(
     transaction_id=_TEXT,
     customer_id=_INT,

@@ -7,7 +7,10 @@ from cartwright.queries import QUERIES
 
 ROOT = Path(__file__).parent.parent
 INVENTORY = {"S": 13, "K": 17, "P": 11, "F": 10, "J": 4, "A": 12, "O": 9, "X": 28, "D": 9, "Q": 22}
-ACTIONS_IN_JOBS = {"K15": ".show(", "K17": ".explain("}
+#: Displays and file listings read no table, so they are jobs and not queries.
+ACTIONS_IN_JOBS = {
+    "K15": ".show(", "K16": ".table_schemas(", "K17": ".explain(", "S13": ".input_readiness(",
+}
 
 
 def rows():

@@ -27,13 +27,24 @@ def test_total_does_not_depend_on_order(spark):
     assert len(results) == 1
 
 
+def test_small_amounts_are_not_rounded_each(spark):
+    df = spark.range(1000).select(F.lit(0.004).alias("amount"))
+    assert df.agg(money.total(F.col("amount")), money.rounded_total(F.col("amount"))).first() == (4.0, 4.0)
+
+
+def test_nan_counts_as_null(spark):
+    df = spark.createDataFrame([(1.25,), (float("nan"),), (None,), (-0.75,)], "amount double")
+    assert df.agg(money.total(F.col("amount")), money.mean(F.col("amount"))).first() == (0.5, 0.25)
+    assert df.where("isnan(amount)").agg(money.total(F.col("amount"))).first()[0] is None
+
+
 def test_mean_skips_null(spark):
     df = spark.createDataFrame([(1.0,), (None,), (2.01,)], "amount double")
     assert df.agg(money.mean(F.col("amount"))).first()[0] == 1.51
 
 
 def test_overflow_is_an_error(spark):
-    df = spark.createDataFrame([(9.0e16,), (9.0e16,)], "amount double")
+    df = spark.createDataFrame([(9.0e18,), (9.0e18,)], "amount double")
     with pytest.raises(Exception, match="OVERFLOW|overflow"):
         df.agg(money.total(F.col("amount"))).collect()
 
@@ -88,7 +99,7 @@ def test_step_crosses_month_and_year(spark):
 def test_draws_do_not_depend_on_partitioning(spark):
     def drawn(partitions):
         ids = spark.range(0, 2000, 1, partitions).repartition(partitions, "id")
-        rows = ids.select("id", draws.draw(draws.digest("s", F.col("id")), 2).alias("d")).collect()
+        rows = ids.select("id", draws.draw("s", F.col("id"), 2).alias("d")).collect()
         return {r["id"]: r["d"] for r in rows}
 
     first = drawn(1)
@@ -97,13 +108,15 @@ def test_draws_do_not_depend_on_partitioning(spark):
 
 
 def test_draw_proportions_and_bounds(spark):
-    hexdigest = draws.digest("p", F.col("id"))
+    def drawn(slot):
+        return draws.draw("p", F.col("id"), slot)
+
     weights = {"a": 0.75, "b": 0.15, "c": 0.10}
     rows = spark.range(20_000).select(
-        draws.weighted_choice(draws.draw(hexdigest, 0), weights).alias("w"),
-        draws.uniform_int(draws.draw(hexdigest, 1), 1, 5).alias("i"),
-        draws.uniform_decimal(draws.draw(hexdigest, 2), 5.0, 15.0, 1).alias("d"),
-        draws.choice(draws.draw(hexdigest, 3), ["x", "y"]).alias("o"),
+        draws.weighted_choice(drawn(0), weights).alias("w"),
+        draws.uniform_int(drawn(1), 1, 5).alias("i"),
+        draws.uniform_decimal(drawn(2), 5.0, 15.0, 1).alias("d"),
+        draws.choice(drawn(3), ["x", "y"]).alias("o"),
     ).collect()
     shares = Counter(r["w"] for r in rows)
     assert all(abs(shares[k] / 20_000 - p) < 0.02 for k, p in weights.items())
@@ -111,3 +124,16 @@ def test_draw_proportions_and_bounds(spark):
     assert {r["o"] for r in rows} == {"x", "y"}
     decimals = {r["d"] for r in rows}
     assert min(decimals) == 5.0 and max(decimals) == 15.0 and len(decimals) == 101
+
+
+def test_draws_of_slots_salts_and_high_keys_are_unrelated(spark):
+    keys = spark.range(20_000).select("id", (F.col("id") * 2**33 - 7).alias("high"))
+    pairs = [
+        (draws.draw("a", F.col("id"), 0), draws.draw("a", F.col("id"), 1)),
+        (draws.draw("a", F.col("id"), 0), draws.draw("b", F.col("id"), 0)),
+        (draws.draw("a", F.col("id"), 0), draws.draw("a", F.col("id") + 1, 0)),
+        (draws.draw("a", F.col("high"), 0), draws.draw("a", F.col("high"), 1)),
+    ]
+    row = keys.agg(*[F.corr(x, y) for x, y in pairs], *[F.avg(x) for x, _ in pairs]).first()
+    assert all(abs(c) < 0.03 for c in row[:4])
+    assert all(abs(mean / 2**31 - 1) < 0.03 for mean in row[4:])

@@ -71,7 +71,3 @@ def test_customers_and_products(spark):
     assert [tuple(p)[:4] for p in products[:2]] == [
         (1, "Product-001", "Electronics", "Brand-1"), (2, "Product-002", "Clothing", "Brand-2")]
     assert products[99]["brand"] == "Brand-10"
-
-
-def test_dense_keys(spark):
-    assert [r[0] for r in g.dense_keys(spark, 4).orderBy("id").collect()] == [1, 2, 3, 4]

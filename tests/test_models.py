@@ -42,8 +42,8 @@ def test_category_country_summary_drops_only_null_amounts(spark):
     assert rows(summaries.category_country_summary(df)) == [("Food", " us ", 5.25, 3)]
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_LIMIT, 0])
-def test_daily_summary_by_product_category(spark, products, limit):
+@pytest.mark.parametrize("join", [joins.left_join, joins.left_join_sort_merge])
+def test_daily_summary_by_product_category(spark, products, join):
     df = spark.createDataFrame([
         txn(product=1, amount=1.1), txn(product=1, amount=2.2, category="Books"),
         txn(product=9, amount=4.0), txn(product=None, amount=8.0),
@@ -51,35 +51,27 @@ def test_daily_summary_by_product_category(spark, products, limit):
         txn(product=2, amount=16.0, at="2024-01-01 23:59:59"), txn(product=2, at="2024-01-02 00:00"),
     ], COLUMNS)
     first, second = date(2024, 1, 1), date(2024, 1, 2)
-    assert rows(summaries.daily_summary_by_product_category(df, products, limit)) == sorted([
+    assert rows(summaries.daily_summary_by_product_category(df, products, join)) == sorted([
         (first, "Toys", 3.3, 2), (first, None, 12.0, 2), (first, "Books", 16.0, 1),
         (second, "Books", 10.0, 1)], key=str)
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_LIMIT, 0])
-def test_daily_summary_by_fact_category_keeps_own_category(spark, products, limit):
+def test_daily_summary_by_fact_category_keeps_own_category(spark, products):
     df = spark.createDataFrame(
         [txn(product=1, category="Food"), txn(product=9, category="Food"), txn(category="Sports")], COLUMNS)
-    assert rows(summaries.daily_summary_by_fact_category(df, products, limit)) == [
-        (date(2024, 1, 1), "Food", 20.0, 2), (date(2024, 1, 1), "Sports", 10.0, 1)]
+    for summary in (summaries.daily_summary_by_fact_category(df),
+                    summaries.daily_summary_by_fact_category_joined(df, products)):
+        assert rows(summary) == [
+            (date(2024, 1, 1), "Food", 20.0, 2), (date(2024, 1, 1), "Sports", 10.0, 1)]
 
 
-@pytest.mark.parametrize("limit", [joins.BROADCAST_LIMIT, 0])
-def test_repeated_product_key_counts_every_match(spark, limit):
+@pytest.mark.parametrize("join", [joins.left_join, joins.left_join_sort_merge])
+def test_repeated_product_key_counts_every_match(spark, join):
     doubled = spark.createDataFrame(
         [(1, "a", "Toys"), (1, "b", "Toys")], "product_id bigint, product_name string, category string")
     df = spark.createDataFrame([txn(amount=1.5), txn(amount=2.5)], COLUMNS)
-    for build in (summaries.daily_summary_by_product_category, summaries.daily_summary_by_fact_category):
-        (only,) = build(df, doubled, limit).collect()
-        assert (only["total_revenue"], only["tx_count"]) == (8.0, 4)
-
-
-def test_dimension_larger_than_the_limit_is_not_broadcast(spark, products):
-    assert joins.fits_broadcast(products)
-    assert not joins.fits_broadcast(products, 10)
-    assert not joins.fits_broadcast(products, 0)
-    wide = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
-    assert joins.in_memory_bytes(wide) >= 50_000
+    (only,) = summaries.daily_summary_by_product_category(df, doubled, join).collect()
+    assert (only["total_revenue"], only["tx_count"]) == (8.0, 4)
 
 
 def test_stg_transactions(spark):
@@ -136,6 +128,13 @@ def test_head_reads_the_first_file(spark, tmp_path):
     assert lines == ["a", "b"]
 
 
+def test_head_goes_on_past_short_files(spark, tmp_path):
+    for i, text in enumerate(["a\nb\n", "", "c\n", "d\ne\nf\n", "g\n"]):
+        (tmp_path / f"part-{i:05d}.txt").write_text(text)
+    assert [r["value"] for r in exploration.head(spark, str(tmp_path), 5).collect()] == list("abcde")
+    assert [r["value"] for r in exploration.head(spark, str(tmp_path), 50).collect()] == list("abcdefg")
+
+
 def test_line_count_knows_headers_of_every_file(spark, tmp_path):
     for part in range(3):
         (tmp_path / f"part-{part}.csv").write_text("id,name\n1,x\n2,y\n")

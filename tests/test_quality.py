@@ -69,15 +69,13 @@ def test_duplicated_rows_compare_nulls_as_equal(spark):
 
 def test_expected_groups(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x")], "k string, c string")
-    assert quality.expected_groups(df, ["k", "c"]).first() == (3, 4)
+    assert quality.expected_groups(df, ["k", "c"], 4).first() == (3, 4, False)
+    assert quality.expected_groups(df.where("k = 'a'"), ["k", "c"], 2).first() == (2, 2, True)
 
 
-def test_sample_is_repeatable_and_fallback_used_only_when_empty(spark, model):
+def test_sample_is_repeatable(spark, model):
     shuffled = model.repartition(5, "n")
     assert sampling.sample_batch(model, 3).collect() == sampling.sample_batch(shuffled, 3).collect()
-    empty = model.where("n > 100")
-    assert sampling.batch_or_fallback(empty, model).count() == len(ROWS)
-    assert sampling.batch_or_fallback(model.where("n = 1"), model).count() == 1
 
 
 def test_input_readiness_reports_missing_tables(spark, tmp_path):

@@ -1,7 +1,4 @@
-import pytest
-
 from cartwright import session
-from cartwright.session import GIB
 
 
 class Conf:
@@ -18,39 +15,19 @@ class Fake:
 
 
 def test_scratch_is_below_the_checkpoint_folder():
-    fake = Fake(**{"spark.checkpoint.dir": "hdfs://shared/checkpoints/", "spark.master": "yarn"})
+    fake = Fake(**{"spark.checkpoint.dir": "hdfs://shared/checkpoints/", "spark.sql.warehouse.dir": "/w"})
     assert session.scratch_dir(fake, "a", "b") == "hdfs://shared/checkpoints/cartwright/app-1/a/b"
 
 
-def test_cluster_without_a_shared_folder_is_an_error():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        session.scratch_dir(Fake(**{"spark.master": "yarn"}))
-
-
-def test_local_session_without_one_gets_a_folder_once():
-    fake = Fake(**{"spark.master": "local[2]"})
-    assert session.scratch_dir(fake) == session.scratch_dir(fake)
-
-
-def test_settings_grow_with_the_input_and_never_shrink():
-    small = session.sized_settings(10**9, 200, 128 * 1024**2)
-    assert small == {
-        "spark.sql.shuffle.partitions": "200", "spark.sql.files.maxPartitionBytes": str(128 * 1024**2)}
-    large = session.sized_settings(100 * 10**12, 200, 128 * 1024**2)
-    assert 20_000 < int(large["spark.sql.shuffle.partitions"]) < 30_000
-    assert 128 * 1024**2 < int(large["spark.sql.files.maxPartitionBytes"]) <= GIB
-    chosen = session.sized_settings(10**15, 80_000, 2 * GIB)
-    assert chosen == {
-        "spark.sql.shuffle.partitions": "80000", "spark.sql.files.maxPartitionBytes": str(2 * GIB)}
-
+def test_without_one_it_is_below_the_warehouse():
+    fake = Fake(**{"spark.sql.warehouse.dir": "s3a://lake/warehouse"})
+    assert session.scratch_dir(fake, "a") == "s3a://lake/warehouse/cartwright/app-1/a"
 
-@pytest.mark.parametrize("text, expected", [
-    ("134217728b", 128 * 1024**2), ("128MB", 128 * 1024**2), ("1g", GIB), ("512", 512), ("64k", 65536)])
-def test_byte_settings(text, expected):
-    assert session._bytes(text) == expected
 
+def test_queries_leave_the_session_as_it_is(spark):
+    from cartwright.queries import QUERIES
 
-def test_size_for_a_small_input_changes_nothing(spark):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    session.size_for(spark, 10**6)
-    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")
+    before = [spark.conf.get(k) for k in keys]
+    QUERIES["filtered_revenue"].run(spark, "/root/testdata/sf0.001").collect()
+    assert [spark.conf.get(k) for k in keys] == before

@@ -27,8 +27,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The doc_id; for a null one, a hash of the text, so that such rows spread over all tasks."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
+    """The doc_id; for a null one, a number above 2**62 from a hash of the text, so that such rows
+    come last and spread over all tasks."""
+    hashed = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    return F.coalesce(F.col(doc_id).cast("long"), hashed)
 
 
 def packed(docs: DataFrame) -> DataFrame:

@@ -130,7 +130,7 @@ def drop_repeated_lines(
     least ``min_chars`` code points goes unless its document has the smallest doc_id that holds the
     key; the holder keeps all its lines with it. The rest is joined by ``\\n``.
 
-    Rows of one doc_id are one document. A null doc_id stands for a hash of the text. Columns of
+    Rows of one doc_id are one document. A null doc_id comes last, by a hash of the text. Columns of
     ``docs`` named like a new one are replaced; an empty table gives an empty one.
 
     Documents come in ``batches`` by rising doc_id. Each batch takes the smallest doc_id of its keys

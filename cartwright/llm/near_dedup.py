@@ -25,6 +25,10 @@ FREQUENCY_BITS = 18
 #: How much more a shingle can weigh than one that every document has: edits of a copy in a large
 #: group of copies are rare shingles among common ones and must not outweigh them.
 IDF_SPREAD = 0.5
+#: Members of a bucket whose samples are compared with each other in one task.
+BLOCK = 4096
+#: Sample comparisons held at once.
+COMPARED = 1 << 24
 _U = np.uint64
 
 
@@ -157,10 +161,15 @@ def _signatures(size: int, bands: int, rows: int, idf):
                     pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()),
                     pa.array(keys.reshape(-1).view(np.int64)),
                 )
+                short = np.zeros((high - low, bands * rows), np.uint8)
+                short[np.unique(s.doc)] = (hashing.mix(drawn.reshape(len(drawn), -1)) >> _U(56)).astype(np.uint8)
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["id"], pa.array(s.prints(), pa.binary()), lists],
-                    names=["doc_id", "id", "print", "bands"],
+                    [
+                        part["doc_id"], part["id"], pa.array(s.prints(), pa.binary()), lists,
+                        pa.array([x.tobytes() for x in short], pa.binary()),
+                    ],
+                    names=["doc_id", "id", "print", "bands", "samples"],
                 )
 
     return sign
@@ -274,26 +283,28 @@ def _classes(
     Two documents are linked if the weighted Jaccard similarity of their shingles is at least
     ``threshold``; a class is what links connect. Documents with the same multiset of shingles are
     one node, so copies are never paired with each other; texts without words are one class. Where
-    the smallest doc_id has several rows, each is marked kept. A null doc_id stands for a hash of
-    the text in class_id. An empty table gives an empty one.
-
-    In each bucket all members are compared with its most central one (the one whose buckets are
-    largest), not with each other. Members that are not in its class by then meet again in finer
-    buckets, of two bands, round by round, until no bucket holds two. Every round emits at most one
-    pair per bucket and member, whatever the size of a group. With 16 bands of 4 samples a pair of
-    similarity 0.8 shares a bucket with probability 0.9998.
+    the smallest doc_id has several rows, each is marked kept. A null doc_id comes last and
+    stands for a hash of the text in class_id. An empty table gives an empty one.
+
+    First all members of a bucket are compared with its most central one (the one whose buckets are
+    largest), not with each other: a group of copies of any size costs a pair per bucket and member.
+    Where a bucket then still holds several classes, the samples of its members outside the main
+    class are compared with those of all members, in blocks inside tasks, and the pairs that agree
+    often enough are verified: no link between different texts of a bucket is left out. With 16 bands
+    of 4 samples a pair of similarity 0.8 shares a bucket with probability 0.9998.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("id"), "text")
     idf = spark.sparkContext.broadcast(inverse_frequencies(keyed, size, spread))
     signed = stored(
         keyed.mapInArrow(
-            _signatures(size, bands, rows, idf), "doc_id long, id long, print binary, bands array<long>"
+            _signatures(size, bands, rows, idf),
+            "doc_id long, id long, print binary, bands array<long>, samples binary",
         ),
         "signatures",
     )
     nodes = signed.filter("size(bands) > 0").groupBy("print").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands")
+        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")
     )
     member = nodes.select("print", F.explode("bands").alias("key"))
     live = member.join(_shared(member), "key")
@@ -305,54 +316,117 @@ def _classes(
         .mapInArrow(_texts_of(size), "print binary, text string").dropDuplicates(["print"]),
         "texts",
     )
-    links, tried, labels, first = None, None, None, True
-    while not live.isEmpty():
-        top = live.groupBy("key").agg(
-            F.max(F.struct("central", "print")).alias("top"), F.count(F.lit(1)).alias("n")
-        ).filter("n > 1").select("key", F.col("top.print").alias("a"))
-        met = live.join(top, "key").withColumnRenamed("print", "b").filter("a != b")
-        pairs = met.select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        new = stored(_linked(pairs, texts, size, threshold, idf), "links")
-        links = new if links is None else links.unionByName(new)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(links)
-        of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
-        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
-        apart = (
-            met.join(of_a, "a", "left").join(of_b, "b", "left")
-            .filter(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-            .select("key", F.col("b").alias("print"), "central")
-        )
-        apart = _finer(apart) if first else apart
-        live = stored(apart.join(_shared(apart).select("key"), "key"), "buckets")
-        first = False
-    classes = signed.select("doc_id", "id", "print")
-    if labels is not None:
-        classes = classes.join(labels.withColumnRenamed("node", "print"), "print", "left").withColumn(
-            "print", F.coalesce("label", "print")
-        )
+    links = stored(_linked(_to_the_centre(live), texts, size, threshold, idf), "links")
+    labels = components(links)
+    apart = stored(_still_apart(live, labels, nodes), "apart")
+    pairs = stored(_likely_pairs(apart, bands * rows, threshold), "pairs")
+    links = stored(_linked(pairs, texts, size, threshold, idf), "links")
+    labels = _relabelled(labels, links)
+    classes = signed.select("doc_id", "id", "print").join(
+        labels.withColumnRenamed("node", "print"), "print", "left"
+    ).withColumn("print", F.coalesce("label", "print"))
     smallest = classes.groupBy("print").agg(F.min("id").alias("class_id"))
     return classes.join(smallest, "print").select(
         "doc_id", "id", "class_id", (F.col("id") == F.col("class_id")).alias("kept")
     )
 
 
-def _shared(member: DataFrame) -> DataFrame:
-    """The buckets with two members or more, and how many they have."""
-    return member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def _to_the_centre(live: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's most central member with every other."""
+    centre = live.groupBy("key").agg(F.max(F.struct("central", "print")).alias("top"))
+    return stored(
+        live.join(centre.select("key", F.col("top.print").alias("a")), "key")
+        .select("a", F.col("print").alias("b")).filter("a != b").distinct(),
+        "pairs",
+    )
 
 
-def _finer(live: DataFrame) -> DataFrame:
-    """Buckets of two bands each, for members of buckets of one band (at most ``bands`` per member)."""
-    kept = live.groupBy("print").agg(
-        F.sort_array(F.collect_set("key")).alias("keys"), F.first("central").alias("central")
+def _still_apart(live: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members of the buckets that still hold several classes: key, print, class, main (whether
+    it is the class of the bucket's centre), n (members of the bucket) and samples."""
+    classed = live.join(labels.withColumnRenamed("node", "print"), "print", "left").select(
+        "key", "print", "central", F.xxhash64(F.coalesce("label", "print")).alias("class")
     )
-    both = F.flatten(
-        F.transform("keys", lambda x, i: F.transform(
-            F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y)
-        ))
+    buckets = classed.groupBy("key").agg(
+        F.max(F.struct("central", "print", "class")).alias("top"), F.count(F.lit(1)).alias("n"),
+        F.min("class").alias("least"), F.max("class").alias("most"),
+    ).filter("least != most")
+    return (
+        classed.join(buckets.select("key", "n", F.col("top.class").alias("main")), "key")
+        .select("key", "print", "class", (F.col("class") == F.col("main")).alias("main"), "n")
+        .join(nodes.select("print", "samples"), "print")
     )
-    return kept.select(F.explode(both).alias("key"), "print", "central")
+
+
+def _agreeing(least: int):
+    """Pairs of different classes whose samples agree ``least`` times, at least one of them outside
+    the bucket's main class, from all rows of a block or pair of blocks of a bucket."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))
+        if not len(rows):
+            return
+        rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        key, i, j, own, group = (rows[c].to_numpy() for c in ("key", "i", "j", "own", "class"))
+        main = rows["main"].to_numpy()
+        samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        prints = rows["print"].combine_chunks()
+        new = np.ones(len(rows), bool)
+        new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+        edges = np.append(np.flatnonzero(new), len(rows))
+        for low, high in zip(edges, edges[1:], strict=False):
+            part = np.arange(low, high)
+            left = part[~main[part]]
+            step = max(1, COMPARED // (len(part) * samples.shape[1]))
+            for at in range(0, len(left), step):
+                x = left[at : at + step]
+                agree = (samples[x][:, None, :] == samples[part][None, :, :]).sum(2, dtype=np.int32)
+                across = (own[x][:, None] != own[part][None, :]) if i[low] != j[low] else True
+                once = main[part][None, :] | (x[:, None] < part[None, :])
+                hit = (agree >= least) & across & once & (group[x][:, None] != group[part][None, :])
+                first, second = np.nonzero(hit)
+                if len(first):
+                    yield pa.RecordBatch.from_arrays(
+                        [prints.take(pa.array(x[first])), prints.take(pa.array(part[second]))], schema=schema
+                    )
+
+    return compare
+
+
+def _likely_pairs(apart: DataFrame, samples: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that may be similar, from the samples of the members of each bucket.
+
+    Samples are compared inside tasks and only agreeing pairs leave them; the least number of
+    agreements lies four standard deviations below that of a pair at the threshold. A bucket of more
+    than BLOCK members is dealt over blocks, and each pair of blocks is a task's group.
+    """
+    least = math.floor(samples * threshold - 4 * math.sqrt(samples * threshold * (1 - threshold)))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = apart.withColumn("own", F.pmod(F.xxhash64("print"), blocks)).select(
+        "*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
+    )
+    grouped = dealt.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "print",
+        "class", "main", "samples",
+    ).repartition("key", "i", "j")
+    found = grouped.mapInArrow(_agreeing(least), "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more links: only the labels that these join are walked."""
+    of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a"))
+    of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
+    joined = links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")
+    )
+    steps = components(joined)
+    onward = steps.select(F.col("node").alias("label"), F.col("label").alias("next"))
+    old = labels.join(onward, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return stored(old.unionByName(steps.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _shared(member: DataFrame) -> DataFrame:
+    """The buckets with two members or more, and how many they have."""
+    return member.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

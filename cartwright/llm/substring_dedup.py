@@ -244,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = 20, group_rows: int = GROUP_RO
     ``length`` words that covers it also starts earlier: in a smaller doc_id, or earlier in the same
     document. Windows are judged on the input.
 
-    Order where doc_id does not say it: a null doc_id stands for a hash of the text; texts that share
+    Order where doc_id does not say it: a null doc_id comes last, by a hash of the text; texts that share
     a doc_id follow their checksum; equal rows are one document, and each of them loses the same
     words. A text below ``length`` words keeps all. Columns of ``docs`` named like a new one are
     replaced. An empty table gives an empty one.

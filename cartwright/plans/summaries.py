@@ -84,6 +84,11 @@ def daily_summary_by_fact_category_joined(transactions: DataFrame, products: Dat
 
 
 def write_daily_summary(summary: DataFrame, path: str) -> str:
-    """A directory per day. A day has one row per category, so its rows go to one task."""
-    summary.repartition("sale_date").write.mode("overwrite").partitionBy("sale_date").parquet(path)
+    """A directory per day, each written by one task.
+
+    A day has one row per category, so the work is the number of files, not their bytes; with the
+    session's number of shuffle partitions adaptive execution doesn't merge it all into one task.
+    """
+    tasks = int(summary.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summary.repartition(tasks, "sale_date").write.mode("overwrite").partitionBy("sale_date").parquet(path)
     return path

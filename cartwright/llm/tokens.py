@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
-UNITS = 500_000
+UNITS = 700_000
 LONG_UNIT = 48
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 18
@@ -55,9 +55,9 @@ class UnitEncoder:
         self.spaced: dict = {}
 
     def _learn(self, table: dict, units: set[str], prefix: str) -> list[str]:
-        """Adds the missing units; returns those to be dropped after use: long ones, or all if full."""
+        """Adds missing units; returns those to be dropped after use: long ones, or all if full."""
         full = len(table) >= UNITS
-        new = list(units.difference(table))
+        new = list(units)
         encoded = self.tokenizer.encode_batch_fast(
             [prefix + u for u in new] if prefix else new, add_special_tokens=False
         )
@@ -66,15 +66,23 @@ class UnitEncoder:
 
     def batch(self, pieces: list[tuple[bool, str]]) -> Iterator[list]:
         """The values of each piece's units."""
-        cut = [(spaced, _units(piece)) for spaced, piece in pieces]
-        heads = {units[0] for spaced, units in cut if not spaced}
-        rest = set()
-        for spaced, units in cut:
-            rest.update(units if spaced else units[1:])
-        drop_first, drop_spaced = self._learn(self.first, heads, ""), self._learn(self.spaced, rest, " ")
-        for spaced, units in cut:
-            values = list(map(self.spaced.__getitem__, units if spaced else units[1:]))
-            yield values if spaced else [self.first[units[0]], *values]
+        found, firsts, missing = [], set(), set()
+        for spaced, piece in pieces:
+            units = _units(piece)
+            head = None if spaced else units.pop(0)
+            if head is not None and head not in self.first:
+                firsts.add(head)
+            values = list(map(self.spaced.get, units))
+            if None in values:
+                missing.update(u for u, v in zip(units, values, strict=True) if v is None)
+                found.append((head, units, None))
+            else:
+                found.append((head, units, values))
+        drop_first, drop_spaced = self._learn(self.first, firsts, ""), self._learn(self.spaced, missing, " ")
+        for head, units, values in found:
+            if values is None:
+                values = list(map(self.spaced.__getitem__, units))
+            yield values if head is None else [self.first[head], *values]
         for u in drop_first:
             del self.first[u]
         for u in drop_spaced:

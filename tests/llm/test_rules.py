@@ -39,8 +39,8 @@ def test_measurements_of_random_texts(spark):
     assert rows_of(q.ledger(df)) == Counter((i, *measured(t)) for i, t in rows)
 
 
-def test_ledger_plan_has_neither_shuffle_nor_python(odd, plan_of):
-    plan = plan_of(q.ledger(odd))
+def test_ledger_plan_has_neither_shuffle_nor_python(spark, plan_of):
+    plan = plan_of(q.ledger(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
     assert "Exchange" not in plan and "Python" not in plan
 
 

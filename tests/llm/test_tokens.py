@@ -130,7 +130,7 @@ def test_dropout_varies_repeatably_and_loses_nothing(spark, piece_bpe):
         assert len(runs[-1]) == docs.count()
     assert runs[0] == runs[1] != runs[2]
     word = pieces.Vocabulary(piece_bpe)
-    cuts = {tuple(word.merge(" international", 0.3, key)) for key in range(40)}
+    cuts = {tuple(np.frombuffer(word.merge([" international"], 0.3, key)[0], "<i4")) for key in range(40)}
     assert len(cuts) > 5 and {b"".join(word.bytes[i] for i in cut) for cut in cuts} == {b" international"}
 
 
@@ -157,3 +157,13 @@ def test_null_ids_decode_to_null(spark, piece_bpe):
     df = spark.createDataFrame([(1, [5]), (2, []), (3, None)], "n int, ids array<int>")
     got = {r.n: r.decoded for r in pieces.decode(df, piece_bpe).collect()}
     assert got[2] == "" and got[3] is None and F is not None
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcdeinorst .,A1é", max_size=40), st.sampled_from([0.0, 0.1, 0.6]), st.integers(0, 99))
+def test_short_and_long_parts_have_one_agenda(text, dropout, key):
+    import public_tokenizers
+
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    assert v._merge_short([text, "x"], dropout, key)[0] == v._merge_long(text, dropout, key)
+    assert "".join(v.split(text)) == text

@@ -44,7 +44,7 @@ def test_held_out_documents_of_the_test_table(spark):
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing, made_rows):
-    labels = made_rows.select("doc_id", "toxic")
+    labels = made_rows.filter("doc_id > 30").select("doc_id", "toxic")
     both = odd.select("doc_id", "text").unionByName(made_rows.filter("doc_id > 30").select("doc_id", "text"))
     chain = toxicity.fit_chain(toxicity.labelled(both, labels), toxicity.CATEGORIES)
     out = toxicity.score(odd, chain, toxicity.CATEGORIES).collect()

@@ -27,6 +27,8 @@ FREQUENCY_BITS = 18
 IDF_SPREAD = 0.5
 #: Members of a bucket whose samples are compared with each other in one task.
 BLOCK = 4096
+#: Samples of each text of a shared bucket, by which pairs are picked for verification.
+SAMPLES = 512
 #: Sample comparisons held at once.
 COMPARED = 1 << 24
 _U = np.uint64
@@ -161,29 +163,31 @@ def _signatures(size: int, bands: int, rows: int, idf):
                     pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()),
                     pa.array(keys.reshape(-1).view(np.int64)),
                 )
-                short = np.zeros((high - low, bands * rows), np.uint8)
-                short[np.unique(s.doc)] = (hashing.mix(drawn.reshape(len(drawn), -1)) >> _U(56)).astype(np.uint8)
                 part = batch.slice(low, high - low)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part["doc_id"], part["id"], pa.array(s.prints(), pa.binary()), lists,
-                        pa.array([x.tobytes() for x in short], pa.binary()),
-                    ],
-                    names=["doc_id", "id", "print", "bands", "samples"],
+                    [part["doc_id"], part["id"], pa.array(s.prints(), pa.binary()), lists],
+                    names=["doc_id", "id", "print", "bands"],
                 )
 
     return sign
 
 
-def _texts_of(size: int):
-    """Keeps the rows whose text has the wanted print."""
+def _texts_of(size: int, idf):
+    """The rows whose text has the wanted print, with a byte of each of SAMPLES samples."""
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_idf = np.log(idf.value).astype(np.float32)
         for batch in batches:
-            prints: list[bytes] = []
-            for _, _, data, bounds in hashing.text_chunks(batch["text"]):
-                prints += Shingles(data, bounds, size).prints()
-            same = [a == b for a, b in zip(prints, batch["print"].to_pylist(), strict=True)]
-            yield batch.select(["print", "text"]).filter(pa.array(same, pa.bool_()))
+            for low, high, data, bounds in hashing.text_chunks(batch["text"]):
+                s = Shingles(data, bounds, size)
+                part = batch.slice(low, high - low)
+                same = [a == b for a, b in zip(s.prints(), part["print"].to_pylist(), strict=True)]
+                short = np.zeros((high - low, SAMPLES), np.uint8)
+                drawn = samples(s, log_idf, SAMPLES).astype(_U)
+                short[np.unique(s.doc)] = (hashing.mix(drawn) >> _U(56)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [part["print"], part["text"], part["bands"], pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["print", "text", "bands", "samples"],
+                ).filter(pa.array(same, pa.bool_()))
 
     return keep
 
@@ -299,27 +303,28 @@ def _classes(
     signed = stored(
         keyed.mapInArrow(
             _signatures(size, bands, rows, idf),
-            "doc_id long, id long, print binary, bands array<long>, samples binary",
+            "doc_id long, id long, print binary, bands array<long>",
         ),
         "signatures",
     )
     nodes = signed.filter("size(bands) > 0").groupBy("print").agg(
-        F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("samples").alias("samples")
+        F.min("id").alias("id"), F.first("bands").alias("bands")
     )
     member = nodes.select("print", F.explode("bands").alias("key"))
     live = member.join(_shared(member), "key")
     central = live.groupBy("print").agg(F.sum("n").alias("central"))
     live = stored(live.select("key", "print").join(central, "print"), "buckets")
-    wanted = live.select("print").distinct().join(nodes.select("print", "id"), "print")
+    wanted = live.select("print").distinct().join(nodes, "print")
     texts = stored(
-        keyed.select("id", "text").join(wanted, "id").select("print", "text")
-        .mapInArrow(_texts_of(size), "print binary, text string").dropDuplicates(["print"]),
+        keyed.select("id", "text").join(wanted, "id").select("print", "text", "bands")
+        .mapInArrow(_texts_of(size, idf), "print binary, text string, bands array<long>, samples binary")
+        .dropDuplicates(["print"]),
         "texts",
     )
     links = stored(_linked(_to_the_centre(live), texts, size, threshold, idf), "links")
     labels = components(links)
-    apart = stored(_still_apart(live, labels, nodes), "apart")
-    pairs = stored(_likely_pairs(apart, bands * rows, threshold), "pairs")
+    apart = stored(_still_apart(live, labels, texts), "apart")
+    pairs = stored(_likely_pairs(apart, threshold), "pairs")
     links = stored(_linked(pairs, texts, size, threshold, idf), "links")
     labels = _relabelled(labels, links)
     classes = signed.select("doc_id", "id", "print").join(
@@ -341,9 +346,9 @@ def _to_the_centre(live: DataFrame) -> DataFrame:
     )
 
 
-def _still_apart(live: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
+def _still_apart(live: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """The members of the buckets that still hold several classes: key, print, class, main (whether
-    it is the class of the bucket's centre), n (members of the bucket) and samples."""
+    it is the class of the bucket's centre), n (members of the bucket), bands and samples."""
     classed = live.join(labels.withColumnRenamed("node", "print"), "print", "left").select(
         "key", "print", "central", F.xxhash64(F.coalesce("label", "print")).alias("class")
     )
@@ -354,23 +359,25 @@ def _still_apart(live: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFr
     return (
         classed.join(buckets.select("key", "n", F.col("top.class").alias("main")), "key")
         .select("key", "print", "class", (F.col("class") == F.col("main")).alias("main"), "n")
-        .join(nodes.select("print", "samples"), "print")
+        .join(texts.select("print", "bands", "samples"), "print")
     )
 
 
 def _agreeing(least: int):
     """Pairs of different classes whose samples agree ``least`` times, at least one of them outside
-    the bucket's main class, from all rows of a block or pair of blocks of a bucket."""
+    the bucket's main class, from all rows of a block or pair of blocks of a bucket. A pair comes from
+    the first of the buckets it shares: it is of two classes in each of them, so each compares it."""
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not len(rows):
+        got = [b for b in batches if b.num_rows]
+        if not got:
             return
-        rows = rows.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
+        rows = pa.Table.from_batches(got).sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending")]).combine_chunks()
         key, i, j, own, group = (rows[c].to_numpy() for c in ("key", "i", "j", "own", "class"))
         main = rows["main"].to_numpy()
         samples = np.frombuffer(b"".join(rows["samples"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
         prints = rows["print"].combine_chunks()
         new = np.ones(len(rows), bool)
         new[1:] = (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
@@ -385,30 +392,33 @@ def _agreeing(least: int):
                 across = (own[x][:, None] != own[part][None, :]) if i[low] != j[low] else True
                 once = main[part][None, :] | (x[:, None] < part[None, :])
                 hit = (agree >= least) & across & once & (group[x][:, None] != group[part][None, :])
-                first, second = np.nonzero(hit)
-                if len(first):
+                a, b = np.nonzero(hit)
+                a, b = x[a], part[b]
+                shared = (bands[a] == bands[b]).argmax(1)
+                here = bands[a, shared] == key[low]
+                if here.any():
                     yield pa.RecordBatch.from_arrays(
-                        [prints.take(pa.array(x[first])), prints.take(pa.array(part[second]))], schema=schema
+                        [prints.take(pa.array(a[here])), prints.take(pa.array(b[here]))], schema=schema
                     )
 
     return compare
 
 
-def _likely_pairs(apart: DataFrame, samples: int, threshold: float) -> DataFrame:
+def _likely_pairs(apart: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that may be similar, from the samples of the members of each bucket.
 
     Samples are compared inside tasks and only agreeing pairs leave them; the least number of
-    agreements lies four standard deviations below that of a pair at the threshold. A bucket of more
+    agreements lies 3.5 standard deviations below that of a pair at the threshold. A bucket of more
     than BLOCK members is dealt over blocks, and each pair of blocks is a task's group.
     """
-    least = math.floor(samples * threshold - 4 * math.sqrt(samples * threshold * (1 - threshold)))
+    least = math.floor(SAMPLES * threshold - 3.5 * math.sqrt(SAMPLES * threshold * (1 - threshold)))
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = apart.withColumn("own", F.pmod(F.xxhash64("print"), blocks)).select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other")
     )
     grouped = dealt.select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "print",
-        "class", "main", "samples",
+        "class", "main", "bands", "samples",
     ).repartition("key", "i", "j")
     found = grouped.mapInArrow(_agreeing(least), "a binary, b binary")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

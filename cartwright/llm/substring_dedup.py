@@ -4,7 +4,7 @@ Only windows that repeat at half the length are extended to the whole length. At
 window is looked at only where it has the smallest hash of all half-length windows inside some
 whole window: every whole window holds such an anchor, and equal windows hold it at the same place,
 so no repeat is lost while about a sixth of the positions are counted. A whole window then travels
-with its anchor, identified by 128 bits (its anchor's hash and its own).
+with its anchor, identified by 112 bits (its anchor's hash and its own).
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cartwright.llm import hashing
-from cartwright.llm.common import packed, unpacked
+from cartwright.llm.common import packed, stored, unpacked
 
 #: Occurrences of one anchor that are compared in one task; more are dealt over salts first.
 GROUP_ROWS = 20_000
+#: Bytes of a whole window's hash; it is compared only with windows of the same anchor.
+WINDOW_BYTES = 6
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -121,13 +123,14 @@ def _extend(length: int):
                 sizes = run_end[kept] - w.run[kept]
                 inside = np.repeat(salts > 0, run_end - w.run)
                 whole = hashing.window_hashes(w.words, length)[w.start[inside]]
-                ends = np.concatenate(([0], np.cumsum(sizes * 8)))
+                whole = np.ascontiguousarray(whole.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WINDOW_BYTES])
+                ends = np.concatenate(([0], np.cumsum(sizes * WINDOW_BYTES)))
                 start = w.start[w.run[kept]]
                 doc_ids = ids[low + w.doc[start]]
                 slots = hashing.mix(doc_ids.view(np.uint64)) % salts[kept].astype(np.uint64)
                 blobs = pa.Array.from_buffers(
                     pa.large_binary(), len(kept),
-                    [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(whole))],
+                    [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(whole)],
                 ).cast(pa.binary())
                 yield _table(
                     schema, w.half[w.anchor[w.run[kept]]].view(np.int64), slots.view(np.int64),
@@ -164,8 +167,12 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = pa.Table.from_batches(waiting).combine_chunks()
     del waiting
     blobs = rows["windows"].combine_chunks().cast(pa.large_binary())
-    bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1] // 8
-    window = np.frombuffer(blobs.buffers()[2], np.uint64)[bounds[0] : bounds[-1]]
+    bounds = np.frombuffer(blobs.buffers()[1], np.int64)[blobs.offset : blobs.offset + len(blobs) + 1]
+    bounds = bounds // WINDOW_BYTES
+    short = np.frombuffer(blobs.buffers()[2], np.uint8)[: bounds[-1] * WINDOW_BYTES].reshape(-1, WINDOW_BYTES)
+    window = np.zeros((bounds[-1] - bounds[0], 8), np.uint8)
+    window[:, :WINDOW_BYTES] = short[bounds[0] :]
+    window = window.reshape(-1).view("<u8")
     bounds = bounds - bounds[0]
     sizes = np.diff(bounds)
     bit = np.arange(len(window)) - np.repeat(bounds[:-1], sizes)
@@ -258,8 +265,11 @@ def remove_repeats(docs: DataFrame, length: int = 20, group_rows: int = GROUP_RO
         raise ValueError("length must be from 4 to 120 words")
     keyed = packed(docs)
     anchors = keyed.select("id", "text").mapInArrow(_anchors(length), "anchor long, id long, at long")
-    repeated = anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "anchor", F.ceil(F.col("n") / group_rows).alias("salts")
+    # Written, so that both sides of the join are plain shuffles, whose hot partitions Spark splits.
+    repeated = stored(
+        anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("anchor", F.ceil(F.col("n") / group_rows).alias("salts")),
+        "repeated",
     )
     found = anchors.join(repeated, "anchor").groupBy("id").agg(
         F.collect_set(F.struct("at", "salts")).alias("found")

@@ -19,7 +19,7 @@ from cartwright.llm import hashing
 from cartwright.llm.common import stored
 
 #: Most labelled rows that are trained on (about; they are drawn by hash of doc_id).
-TRAINING_ROWS = 16_000
+TRAINING_ROWS = 6_000
 FOLDS = 4
 FEATURE_BITS = 18
 #: Leading bytes of a word that are features beside the whole word.
@@ -128,20 +128,22 @@ def fit(first: np.ndarray, feature: np.ndarray, dense: np.ndarray, truth: np.nda
     rows, positive, size = len(truth), float(truth.sum()), 1 << FEATURE_BITS
     if positive in (0.0, float(rows)):
         return Linear(np.zeros(size), np.zeros(dense.shape[1]), 8.0 if positive else -8.0)
-    row = np.repeat(np.arange(rows), np.diff(first))
+    row = np.repeat(np.arange(rows, dtype=np.int32), np.diff(first))
     ratio = _ratios(feature, row, truth)
-    used = ratio[feature] != 0
-    row, feature = row[used], feature[used]
-    own, column = np.unique(feature, return_inverse=True)
-    value, width = ratio[feature], len(own)
+    own = np.flatnonzero(ratio)
+    width, scale = len(own), ratio[own]
+    place = np.full(size, -1, np.int32)
+    place[own] = np.arange(width)
+    column = place[feature]
+    row, column = row[column >= 0], column[column >= 0]
     balance = np.sqrt((rows - positive) / positive)
     importance = np.where(truth > 0, max(balance, 1.0), max(1 / balance, 1.0)) / rows
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, w[column] * value, rows) + dense @ w[width:-1] + w[-1]
+        z = np.bincount(row, (w[:width] * scale)[column], rows) + dense @ w[width:-1] + w[-1]
         chance = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         error = (chance - truth) * importance
-        slope = np.concatenate((np.bincount(column, error[row] * value, width), dense.T @ error, [error.sum()]))
+        slope = np.concatenate((np.bincount(column, error[row], width) * scale, dense.T @ error, [error.sum()]))
         slope[:-1] += RIDGE / rows * w[:-1]
         cost = (importance * (np.logaddexp(0, z) - truth * z)).sum()
         return cost + RIDGE / rows / 2 * (w[:-1] @ w[:-1]), slope
@@ -194,7 +196,7 @@ def _trainer(category: str, earlier: int):
         table = table.sort_by("row")
         lists = table["features"].combine_chunks()
         first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
-        feature = lists.flatten().to_numpy().astype(np.int64)
+        feature = lists.flatten().to_numpy()
         dense = np.stack([table[f"logit{i}"].to_numpy() for i in range(earlier)], 1) if earlier else np.zeros((len(table), 0))
         truth, fold = table[category].to_numpy().astype(float), table["fold"].to_numpy()
         seen = fold != number

@@ -1,7 +1,7 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
-A text is cut where no merge can reach across (before a run of spaces, around line ends); each part is
-merged by an agenda of candidate merges, best score first. A candidate that comes up is skipped if
+A text is cut where no merge can reach across (before a run of spaces, around line ends, between
+characters that no piece holds next to each other); each part is merged by an agenda of candidate merges, best score first. A candidate that comes up is skipped if
 its keyed hash falls below the dropout rate. Parts are looked up once merged, so the merging itself,
 the slow part, runs once per part and key.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +20,27 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from cartwright.llm.common import row_key
+from cartwright.llm.hashing import mix
 
 SPACE = "▁"
 PART = re.compile(r"\n| *[^ \n]+| +")
-PARTS = 400_000
+PARTS = 250_000
 LONG_PART = 48
-CHUNK_CHARS = 1 << 20
+#: Characters of a part that is merged side by side with others, and how many at once.
+SHORT_PART, SIDE_BY_SIDE = 24, 8192
+#: No symbol.
+NONE = -(1 << 30)
+CHUNK_CHARS = 1 << 18
 
 _vocabularies: dict[str, Vocabulary] = {}
 
 
+def _keyed(key: int, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """53-bit hash of a candidate merge: the key, where its left symbol starts, the piece it would make."""
+    number = (place.astype(np.uint64) << np.uint64(32)) + piece.astype(np.uint64)
+    return mix(number + np.uint64(key)) >> np.uint64(11)
+
+
 class Vocabulary:
     """Pieces of a byte-fallback merge model at ``path``, read by the sentencepiece library.
 
@@ -42,58 +53,173 @@ class Vocabulary:
 
         model = SentencePieceProcessor(model_file=path)
         ids = range(model.vocab_size())
-        self.rank: dict[str, tuple[float, int]] = {}
+        self.size = len(ids)
         self.byte = [0] * 256
         self.bytes = [b""] * len(ids)
+        self.score = np.full(len(ids), np.inf)
+        listed: dict[str, int] = {}
         for i in ids:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 value = int(piece[3:5], 16)
                 self.byte[value], self.bytes[i] = i, bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self.rank[piece] = (-model.get_score(i), i)
+                listed[piece], self.score[i] = i, -model.get_score(i)
                 self.bytes[i] = piece.replace(SPACE, " ").encode()
                 if "\n" in piece or SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"{path} merges across spaces or lines")
         probe = " ﬁ  x "
         if model.decode(model.encode(probe)) != probe:
             raise ValueError(f"{path} changes texts")
+        self.neighbours = {a + b for piece in listed for a, b in zip(piece, piece[1:], strict=False)}
+        # A character is the id of its piece; one that only longer pieces hold gets a number beyond them,
+        # any other the negative of its code point.
+        self.symbol = -np.arange(0x110000, dtype=np.int32)
+        self.symbol[0] = -(1 << 29)
+        self.unlisted: dict[int, int] = {-(1 << 29): 0}
+        inner = {c for piece in listed for c in piece}
+        for c in sorted(inner):
+            if c not in listed:
+                self.unlisted[self.size + len(self.unlisted)] = ord(c)
+                self.symbol[ord(c)] = self.size + len(self.unlisted) - 1
+            else:
+                self.symbol[ord(c)] = listed[c]
+        self.symbol[ord(" ")] = self.symbol[ord(SPACE)]
+        self.symbol[ord(SPACE)] = -ord(SPACE)
+        known = listed | {chr(c): n for n, c in self.unlisted.items() if n >= 0}
+        self.joined = {
+            (known[piece[:i]], known[piece[i:]]): n
+            for piece, n in listed.items() for i in range(1, len(piece))
+            if piece[:i] in known and piece[i:] in known
+        }
+        keys = np.array([(a << 32) + b for a, b in self.joined], np.int64)
+        order = np.argsort(keys)
+        self.pair, self.pair_piece = keys[order], np.array(list(self.joined.values()), np.int64)[order]
         self.merged: dict[int, dict[str, bytes]] = {}
         self.known = 0
 
-    def merge(self, part: str, dropout: float, key: int) -> list[int]:
-        """Ids of a part after the agenda is through; a literal space mark is kept as its bytes."""
-        rank = self.rank
-        symbols: list[str | None] = [SPACE if c == " " else c for c in part]
-        own = [c != SPACE for c in part]
-        n = len(symbols)
+    def split(self, part: str) -> list[str]:
+        """``part`` cut between characters that no piece holds next to each other."""
+        if SPACE in part:
+            return [part]
+        text = part.replace(" ", SPACE)
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
+        return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
+
+    def merge(self, parts: list[str], dropout: float, key: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each part after its agenda is through.
+
+        A literal space mark is no symbol of the model and is kept as its bytes, like any unknown
+        character. Short parts go through their agendas side by side, a merge of each at a time.
+        """
+        out: list[bytes] = [b""] * len(parts)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        short = [i for i in order if len(parts[i]) <= SHORT_PART]
+        for at in range(0, len(short), SIDE_BY_SIDE):
+            some = short[at : at + SIDE_BY_SIDE]
+            for i, ids in zip(some, self._merge_short([parts[i] for i in some], dropout, key), strict=True):
+                out[i] = ids
+        for i in order[len(short) :]:
+            out[i] = self._merge_long(parts[i], dropout, key)
+        return out
+
+    def _written(self, symbols: list[int]) -> bytes:
+        """Ids as bytes; characters without a piece as their bytes' ids."""
+        ids: list[int] = []
+        for symbol in symbols:
+            if 0 <= symbol < self.size:
+                ids.append(symbol)
+            else:
+                ids += [self.byte[b] for b in chr(self.unlisted.get(symbol, -symbol)).encode()]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score and piece of neighbouring symbols; infinity where they are no piece."""
+        wanted = (left.astype(np.int64) << 32) + right
+        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
+        piece = self.pair_piece[at]
+        return np.where(self.pair[at] == wanted, self.score[piece], np.inf), piece
+
+    def _merge_short(self, parts: list[str], dropout: float, key: int) -> list[bytes]:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        width = int(sizes.max(initial=1)) + 1
+        inside = np.arange(width) < sizes[:, None]
+        symbols = np.full((len(parts), width), NONE, np.int32)
+        symbols[inside] = self.symbol[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        done = symbols.copy()
+        place = np.tile(np.arange(width), (len(parts), 1))
+        score, piece = self._pairs(symbols[:, :-1], symbols[:, 1:])
+        row, limit = np.arange(len(parts)), np.uint64(dropout * 2**53)
+        while len(row):
+            k = score.argmin(1)
+            n = np.arange(len(row))
+            going = score[n, k] < np.inf
+            if not going.all():
+                done[row[~going]] = symbols[~going]
+                row, symbols, place, score, piece, k = (x[going] for x in (row, symbols, place, score, piece, k))
+                n = np.arange(len(row))
+                if not len(row):
+                    break
+            made = piece[n, k]
+            skipped = _keyed(key, place[n, k], made) < limit
+            score[n[skipped], k[skipped]] = np.inf
+            m = n[~skipped]
+            if not len(m):
+                continue
+            km, left = k[m], np.arange(width)
+            keep = np.minimum(left + (left > km[:, None]), width - 1)
+            moved = np.take_along_axis(symbols[m], keep, 1)
+            moved[:, -1] = NONE
+            moved[np.arange(len(m)), km] = made[m]
+            symbols[m] = moved
+            place[m] = np.take_along_axis(place[m], keep, 1)
+            keep = np.minimum(left[:-1] + (left[:-1] > km[:, None]), width - 2)
+            score_m, piece_m = np.take_along_axis(score[m], keep, 1), np.take_along_axis(piece[m], keep, 1)
+            score_m[:, -1] = np.inf
+            own = np.arange(len(m))
+            for at in (km, km - 1):
+                ok = (at >= 0) & (at < width - 1)
+                score_m[own[ok], at[ok]], piece_m[own[ok], at[ok]] = self._pairs(
+                    moved[own[ok], at[ok]], moved[own[ok], at[ok] + 1]
+                )
+            score[m], piece[m] = score_m, piece_m
+        valid = done != NONE
+        flat, ends = done[valid], np.cumsum(valid.sum(1)).tolist()
+        plain = ((done >= 0) & (done < self.size) | ~valid).all(1)
+        whole, out, start = flat.astype("<i4").tobytes(), [], 0
+        for end, simple in zip(ends, plain.tolist(), strict=True):
+            out.append(whole[4 * start : 4 * end] if simple else self._written(flat[start:end].tolist()))
+            start = end
+        return out
+
+    def _merge_long(self, part: str, dropout: float, key: int) -> bytes:
+        """The agenda of one part of any length, as a heap."""
+        symbols = self.symbol[np.frombuffer(part.encode("utf-32-le"), np.uint32)].tolist()
+        n, limit = len(symbols), int(dropout * 2**53)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda = []
+
+        def consider(i: int, j: int) -> None:
+            piece = self.joined.get((symbols[i], symbols[j]))
+            if piece is not None:
+                heappush(agenda, (self.score[piece], i, j, symbols[i], symbols[j], piece))
+
         for i in range(n - 1):
-            if own[i] and own[i + 1] and (found := rank.get(symbols[i] + symbols[i + 1])):
-                agenda.append((found[0], i, i + 1, symbols[i] + symbols[i + 1]))
-        heapify(agenda)
-        limit = int(dropout * 2**64)
+            consider(i, i + 1)
         while agenda:
-            _, i, j, piece = heappop(agenda)
-            if symbols[i] is None or after[i] != j or symbols[j] is None or symbols[i] + symbols[j] != piece:
+            _, i, j, a, b, piece = heappop(agenda)
+            if after[i] != j or symbols[i] != a or symbols[j] != b:
                 continue
-            if limit and xxh64_intdigest(f"{i} {piece}", key) < limit:
+            if limit and int(_keyed(key, np.array([i]), np.array([piece]))[0]) < limit:
                 continue
-            symbols[i], symbols[j] = piece, None
+            symbols[i], symbols[j] = piece, NONE
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and own[a] and own[b] and (found := rank.get(symbols[a] + symbols[b])):
-                    heappush(agenda, (found[0], a, b, symbols[a] + symbols[b]))
-        out: list[int] = []
-        for k, symbol in enumerate(symbols):
-            if symbol is None:
-                continue
-            found = rank.get(symbol) if own[k] else None
-            out += [found[1]] if found else [self.byte[b] for b in symbol.encode()]
-        return out
+                consider(i, after[i])
+            if before[i] >= 0:
+                consider(before[i], i)
+        return self._written([x for x in symbols if x != NONE])
 
     def encode(self, texts: list[str], offsets: list[int], dropout: float, seed: int, keys: int) -> list[bytes]:
         """Little-endian 32-bit ids. Part n of a text is merged under key (offset + n) mod ``keys``."""
@@ -107,12 +233,17 @@ class Vocabulary:
             table = self.merged.setdefault(k, {})
             new = wanted[k].difference(table)
             key = xxh64_intdigest(f"{seed} {k}")
-            for part in new:
-                ids = self.merge(part, dropout, key)
-                table[part] = struct.pack(f"<{len(ids)}i", *ids)
-            full = self.known > PARTS
-            gone = new if full else [p for p in new if len(p) > LONG_PART]
-            self.known += len(new) - len(gone)
+            before = len(table)
+            added = set(new)
+            cut = [(part, self.split(part)) for part in new]
+            added.update(*(pieces for _, pieces in cut))
+            unmerged = list(added.difference(table, (part for part, pieces in cut if len(pieces) > 1)))
+            table.update(zip(unmerged, self.merge(unmerged, dropout, key), strict=True))
+            for part, pieces in cut:
+                if len(pieces) > 1:
+                    table[part] = b"".join(map(table.__getitem__, pieces))
+            gone = added if self.known > PARTS else [p for p in added if len(p) > LONG_PART]
+            self.known += len(table) - before - len(gone)
             drop.append(gone)
         out = []
         for own, offset in zip(parts, offsets, strict=True):
@@ -134,7 +265,7 @@ def vocabulary(path: str, *setting) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encoded(path: str, dropout: float = 0.1, seed: int = 20, keys: int = 8):
+def encoded(path: str, dropout: float = 0.1, seed: int = 20, keys: int = 4):
     """A column function of (text, id): the text's ids as array<int>; null and empty give no ids.
 
     The key of a part follows from the seed, the row's id and the part's place, out of ``keys``
@@ -156,6 +287,7 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, keys: int = 8):
                     blobs += pieces.encode(chunk, offsets, dropout, seed, keys)
                     chunk, offsets, size = [], [], 0
             blobs += pieces.encode(chunk, offsets, dropout, seed, keys)
+            del texts, ids, chunk
             ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs])))
             yield pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
@@ -181,7 +313,7 @@ def decoded(path: str):
 
 
 def encode(
-    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 20, keys: int = 8
+    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 20, keys: int = 4
 ) -> DataFrame:
     """``docs`` with ids (array<int>) of every whole text; see ``encoded``. A column named ids is
     replaced. Rows with the same doc_id and text are cut alike; a null doc_id counts as a hash of

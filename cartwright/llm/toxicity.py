@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from cartwright.llm import hashing
 from cartwright.llm.common import stored
 
-#: Most labelled rows that are trained on (about; they are drawn by hash of doc_id).
+#: Most labelled rows that are trained on (about; they are drawn by hash of doc_id, half of them toxic
+#: ones or as many as there are).
 TRAINING_ROWS = 6_000
 FOLDS = 4
 FEATURE_BITS = 18
@@ -42,22 +43,28 @@ def _has(words: tuple[str, ...]) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, text and the categories insult, contempt and toxic (0 or 1), about ``rows`` at most.
+    """doc_id, text, the categories insult, contempt and toxic (0 or 1) and weight, about ``rows`` at most.
 
-    Labels without a doc_id or verdict are left out; of several, the largest holds. Only the drawn
-    labels, at most about ``rows``, are broadcast to find their texts.
+    Labels without a doc_id or verdict are left out; of several, the largest holds. Toxic and clean ones
+    are drawn apart, so rare toxic ones are all there; a row's weight is the number of labels of its kind
+    that it stands for. Only the drawn labels, at most about ``rows``, are broadcast to find their texts.
     """
     verdicts = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
     )
-    total = verdicts.count()
-    share = min(1.0, rows / max(total, 1))
-    drawn = verdicts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     toxic = F.col("toxic") > 0
+    total, positive = verdicts.agg(F.count("*"), F.count_if(toxic)).first()
+    wanted = min(positive, max(rows // 2, rows - (total - positive)))
+    shares = [min(1.0, n / max(of, 1)) for n, of in ((wanted, positive), (rows - wanted, total - positive))]
+    limit, weight = (
+        F.when(toxic, F.lit(a)).otherwise(F.lit(b))
+        for a, b in ([int(share * (1 << 40)) for share in shares], [1 / max(share, 1e-12) for share in shares])
+    )
+    drawn = verdicts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < limit).withColumn("weight", weight)
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
     return found.select(
         "doc_id", "text", (toxic & _has(INSULTS)).cast("int").alias("insult"),
-        (toxic & _has(CONTEMPT)).cast("int").alias("contempt"), toxic.cast("int").alias("toxic"),
+        (toxic & _has(CONTEMPT)).cast("int").alias("contempt"), toxic.cast("int").alias("toxic"), "weight",
     ).na.fill(0, ["insult", "contempt"])
 
 
@@ -119,12 +126,16 @@ def _ratios(feature: np.ndarray, row: np.ndarray, truth: np.ndarray) -> np.ndarr
     return ratio
 
 
-def fit(first: np.ndarray, feature: np.ndarray, dense: np.ndarray, truth: np.ndarray) -> Linear:
+def fit(
+    first: np.ndarray, feature: np.ndarray, dense: np.ndarray, truth: np.ndarray, weight: np.ndarray | None = None
+) -> Linear:
     """Fits a ridge logistic regression whose features are scaled by their log ratios.
 
     Features that say little (a rare one, or a ratio near 0) keep weight 0. The rarer class counts
-    for more, by the square root of the ratio. A one-sided truth gives a constant.
+    for more, by the square root of the ratio. A one-sided truth gives a constant. A row counts as
+    ``weight`` rows; how much a feature says is a ratio within each class, which drawing does not change.
     """
+    weight = np.ones(len(truth)) if weight is None else weight
     rows, positive, size = len(truth), float(truth.sum()), 1 << FEATURE_BITS
     if positive in (0.0, float(rows)):
         return Linear(np.zeros(size), np.zeros(dense.shape[1]), 8.0 if positive else -8.0)
@@ -136,8 +147,8 @@ def fit(first: np.ndarray, feature: np.ndarray, dense: np.ndarray, truth: np.nda
     place[own] = np.arange(width)
     column = place[feature]
     row, column = row[column >= 0], column[column >= 0]
-    balance = np.sqrt((rows - positive) / positive)
-    importance = np.where(truth > 0, max(balance, 1.0), max(1 / balance, 1.0)) / rows
+    balance = np.sqrt(weight[truth == 0].sum() / weight[truth > 0].sum())
+    importance = np.where(truth > 0, max(balance, 1.0), max(1 / balance, 1.0)) * weight / weight.sum()
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, (w[:width] * scale)[column], rows) + dense @ w[width:-1] + w[-1]
@@ -200,7 +211,7 @@ def _trainer(category: str, earlier: int):
         dense = np.stack([table[f"logit{i}"].to_numpy() for i in range(earlier)], 1) if earlier else np.zeros((len(table), 0))
         truth, fold = table[category].to_numpy().astype(float), table["fold"].to_numpy()
         seen = fold != number
-        model = fit(*_rows(first, feature, seen), dense[seen], truth[seen])
+        model = fit(*_rows(first, feature, seen), dense[seen], truth[seen], table["weight"].to_numpy()[seen])
         held = np.flatnonzero(~seen)
         logits = model.logits(*_rows(first, feature, ~seen), dense[held])
         ids = table["row"].to_numpy()[held]
@@ -228,18 +239,22 @@ class Chain:
 
 
 def fit_chain(training: DataFrame, categories: tuple[str, ...]) -> Chain | None:
-    """The chain for the 0/1 columns ``categories`` of ``training`` (doc_id, text, ...); None if empty.
+    """The chain for the 0/1 columns ``categories`` of ``training`` (doc_id, text, ..., weight); None if empty.
 
     Folds are dealt by hash of doc_id. The models of a category are fitted side by side, one task for
     each fold and one for all rows, from the features of the training rows, a bounded table. The
-    threshold is the probability of the last category at which its out-of-fold F1 is best.
+    threshold is the probability of the last category at which its out-of-fold F1 is best. Without a
+    column weight, every row counts as one.
     """
+    if "weight" not in training.columns:
+        training = training.withColumn("weight", F.lit(1.0))
     rows = stored(
-        training.mapInArrow(
-            _featured, ", ".join(["doc_id long", *[f"{c} int" for c in categories], "features array<int>"])
+        training.select("doc_id", "text", *categories, "weight").mapInArrow(
+            _featured, ", ".join(["doc_id long", *[f"{c} int" for c in categories], "weight double", "features array<int>"])
         ).select(
             F.xxhash64("doc_id", "features").bitwiseAND(F.lit((1 << 62) - 1)).alias("row"),
-            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), *categories, "features",
+            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), *categories,
+            "weight", "features",
         ).dropDuplicates(["row"]),
         "training",
     )
@@ -257,20 +272,37 @@ def fit_chain(training: DataFrame, categories: tuple[str, ...]) -> Chain | None:
         models.append(Linear(blob[:size], blob[size : size + n], float(blob[-1])))
         unseen = fitted.filter("row >= 0").select("row", F.col("logit").alias(f"logit{n}"))
         rows = stored(rows.join(unseen, "row"), "training")
-    last = rows.select(categories[-1], f"logit{len(categories) - 1}").toArrow()
-    return Chain(categories, models, _best_threshold(last[0].to_numpy(), last[1].to_numpy()))
+    last = rows.select(categories[-1], f"logit{len(categories) - 1}", "weight", "fold").toArrow()
+    truth, logit, weight, fold = (column.to_numpy() for column in last.columns)
+    # The model of a fold that saw one verdict only is a constant and says nothing about that fold's rows.
+    said = np.isin(fold, [f for f in range(FOLDS) if len(np.unique(truth[fold != f])) > 1])
+    return Chain(categories, models, _best_threshold(truth, logit, weight, said))
 
 
-def _best_threshold(truth: np.ndarray, logit: np.ndarray) -> float:
-    """The middle between two neighbouring scores that parts the rows with the best F1."""
+def _best_threshold(
+    truth: np.ndarray, logit: np.ndarray, weight: np.ndarray | None = None, said: np.ndarray | None = None
+) -> float:
+    """The middle between two neighbouring scores that parts the rows with the best F1.
+
+    Rows count by ``weight``, and only those ``said`` are parted. Where none of them is positive, or no
+    cut is better than taking every row, the commoner verdict holds for all: above 1 no row is taken, at
+    0 every row.
+    """
+    weight = np.ones(len(truth)) if weight is None else weight
+    common = 0.0 if (weight * truth).sum() > weight.sum() / 2 else 2.0
+    if said is not None:
+        truth, logit, weight = truth[said], logit[said], weight[said]
+    if not truth.any():
+        return common
     order = np.argsort(-logit, kind="stable")
-    truth, logit = truth[order], logit[order]
-    hits = np.cumsum(truth)
-    score = 2 * hits / (np.arange(1, len(truth) + 1) + truth.sum())
+    truth, logit, weight = truth[order], logit[order], weight[order]
+    hits = np.cumsum(truth * weight)
+    score = 2 * hits / (np.cumsum(weight) + hits[-1])
     score[:-1][logit[:-1] == logit[1:]] = -1
     best = int(score.argmax())
-    below = logit[best + 1] if best + 1 < len(logit) else logit[best] - 1
-    return float(1 / (1 + np.exp(-(logit[best] + below) / 2)))
+    if best + 1 == len(logit):
+        return common
+    return float(1 / (1 + np.exp(-(logit[best] + logit[best + 1]) / 2)))
 
 
 def _scorer(chain):

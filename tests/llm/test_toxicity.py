@@ -84,3 +84,26 @@ def test_later_models_see_earlier_logits():
 def test_threshold_parts_best():
     truth, logit = np.array([0, 0, 1, 0, 1, 1]), np.array([-3.0, -2, -1, 0, 1, 2])
     assert toxicity._best_threshold(truth, logit) == pytest.approx(1 / (1 + np.exp(1.5)))
+
+
+def test_clean_labels_reject_nothing(made_rows):
+    labels = made_rows.filter("toxic = 0").select("doc_id", "toxic")
+    assert toxicity.toxic_documents(made_rows.drop("toxic"), labels).filter("rejected").count() == 0
+    one = made_rows.filter("toxic = 0 OR doc_id = 6").select("doc_id", "toxic")
+    assert toxicity.toxic_documents(made_rows.drop("toxic"), one).filter("rejected").count() < 10
+    assert toxicity._best_threshold(np.zeros(4), np.full(4, -8.0)) > 1
+
+
+def test_rare_toxic_labels_are_drawn(spark, made_rows):
+    toxic = made_rows.filter("toxic = 1 AND doc_id < 400").select("doc_id", "toxic")
+    clean = made_rows.filter("toxic = 0 AND doc_id < 600").select("doc_id", "toxic")
+    unseen = spark.range(10_000, 110_000).selectExpr("id AS doc_id", "0 AS toxic")
+    docs = made_rows.drop("toxic").unionByName(
+        spark.range(10_000, 110_000).selectExpr("id AS doc_id", "concat('alpha beta w', id % 50) AS text")
+    )
+    labels = toxic.unionByName(clean).unionByName(unseen)
+    drawn = toxicity.labelled(docs, labels, rows=1000).groupBy("toxic").sum("weight").collect()
+    rows = {r.toxic: r["sum(weight)"] for r in drawn}
+    assert rows[1] == toxic.count() and 0.85 < rows[0] / (100_000 + clean.count()) < 1.15
+    scored = toxicity.toxic_documents(docs, labels, rows=1000).filter("doc_id BETWEEN 600 AND 899").collect()
+    assert sum(r.rejected == (r.doc_id % 6 == 0) for r in scored) >= 290

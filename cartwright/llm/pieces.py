@@ -2,8 +2,9 @@
 
 A text is cut where no merge can reach across (before a run of spaces, around line ends, between
 characters that no piece holds next to each other); each part is merged by an agenda of candidate merges, best score first. A candidate that comes up is skipped if
-its keyed hash falls below the dropout rate. Parts are looked up once merged, so the merging itself,
-the slow part, runs once per part and key.
+its hash, keyed by the seed, the row's id and the place in the text, falls below the dropout rate. The
+merges that a part goes through without dropout are looked up. Where none of them is dropped at a place,
+they hold there; only elsewhere the agenda is gone through again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 import struct
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +26,10 @@ from cartwright.llm.hashing import mix
 
 SPACE = "▁"
 PART = re.compile(r"\n| *[^ \n]+| +")
+#: Parts that are looked up.
 PARTS = 250_000
-LONG_PART = 48
-#: Characters of a part that is merged side by side with others, and how many at once.
-SHORT_PART, SIDE_BY_SIDE = 24, 8192
+#: Characters of a part that is looked up, and merged side by side with others; characters at once.
+SHORT_PART, SIDE_BY_SIDE = 48, 200_000
 #: No symbol.
 NONE = -(1 << 30)
 CHUNK_CHARS = 1 << 18
@@ -35,10 +37,10 @@ CHUNK_CHARS = 1 << 18
 _vocabularies: dict[str, Vocabulary] = {}
 
 
-def _keyed(key: int, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
+def _keyed(key: int | np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """53-bit hash of a candidate merge: the key, where its left symbol starts, the piece it would make."""
     number = (place.astype(np.uint64) << np.uint64(32)) + piece.astype(np.uint64)
-    return mix(number + np.uint64(key)) >> np.uint64(11)
+    return mix(number + np.asarray(key, np.uint64)) >> np.uint64(11)
 
 
 class Vocabulary:
@@ -95,8 +97,9 @@ class Vocabulary:
         keys = np.array([(a << 32) + b for a, b in self.joined], np.int64)
         order = np.argsort(keys)
         self.pair, self.pair_piece = keys[order], np.array(list(self.joined.values()), np.int64)[order]
-        self.merged: dict[int, dict[str, bytes]] = {}
-        self.known = 0
+        #: The merges of a part without dropout (place and piece, as ``_keyed`` puts them) and its ids.
+        self.merged: dict[str, tuple[bytes, bytes]] = {}
+        self.cut: dict[str, list[str]] = {}
 
     def split(self, part: str) -> list[str]:
         """``part`` cut between characters that no piece holds next to each other."""
@@ -106,21 +109,35 @@ class Vocabulary:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
         return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
-    def merge(self, parts: list[str], dropout: float, key: int) -> list[bytes]:
+    def merge(
+        self, parts: list[str], dropout: float, key: int | np.ndarray, merges: list[bytes] | None = None
+    ) -> list[bytes]:
         """Little-endian 32-bit ids of each part after its agenda is through.
 
-        A literal space mark is no symbol of the model and is kept as its bytes, like any unknown
-        character. Short parts go through their agendas side by side, a merge of each at a time.
+        ``key`` is one for all parts or one for each. A literal space mark is no symbol of the model and
+        is kept as its bytes, like any unknown character. Short parts go through their agendas side by
+        side, a merge of each at a time; ``merges`` takes theirs.
         """
+        keys = np.broadcast_to(np.asarray(key, np.uint64), len(parts))
         out: list[bytes] = [b""] * len(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]), reverse=True)
         short = [i for i in order if len(parts[i]) <= SHORT_PART]
-        for at in range(0, len(short), SIDE_BY_SIDE):
-            some = short[at : at + SIDE_BY_SIDE]
-            for i, ids in zip(some, self._merge_short([parts[i] for i in some], dropout, key), strict=True):
+        for i in order[: len(order) - len(short)]:
+            out[i] = self._merge_long(parts[i], dropout, int(keys[i]))
+        at = 0
+        while at < len(short):
+            some = short[at : at + SIDE_BY_SIDE // (len(parts[short[at]]) + 1)]
+            taken: list[tuple] | None = None if merges is None else []
+            done = self._merge_short([parts[i] for i in some], dropout, keys[some], taken)
+            for i, ids in zip(some, done, strict=True):
                 out[i] = ids
-        for i in order[len(short) :]:
-            out[i] = self._merge_long(parts[i], dropout, key)
+            if taken:
+                row, number = (np.concatenate(x) for x in zip(*taken, strict=True))
+                number = number[np.argsort(row, kind="stable")].tobytes()
+                ends = (8 * np.cumsum(np.bincount(row, minlength=len(some)))).tolist()
+                for i, start, end in zip(some, [0, *ends], ends, strict=False):
+                    merges[i] = number[start:end]
+            at += len(some)
         return out
 
     def _written(self, symbols: list[int]) -> bytes:
@@ -140,7 +157,10 @@ class Vocabulary:
         piece = self.pair_piece[at]
         return np.where(self.pair[at] == wanted, self.score[piece], np.inf), piece
 
-    def _merge_short(self, parts: list[str], dropout: float, key: int) -> list[bytes]:
+    def _merge_short(
+        self, parts: list[str], dropout: float, key: int | np.ndarray, taken: list[tuple] | None = None
+    ) -> list[bytes]:
+        key = np.broadcast_to(np.asarray(key, np.uint64), len(parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         width = int(sizes.max(initial=1)) + 1
         inside = np.arange(width) < sizes[:, None]
@@ -161,12 +181,14 @@ class Vocabulary:
                 if not len(row):
                     break
             made = piece[n, k]
-            skipped = _keyed(key, place[n, k], made) < limit
+            skipped = _keyed(key[row], place[n, k], made) < limit
             score[n[skipped], k[skipped]] = np.inf
             m = n[~skipped]
             if not len(m):
                 continue
             km, left = k[m], np.arange(width)
+            if taken is not None:
+                taken.append((row[m], (place[m, km].astype("<u8") << np.uint64(32)) + made[m].astype("<u8")))
             keep = np.minimum(left + (left > km[:, None]), width - 1)
             moved = np.take_along_axis(symbols[m], keep, 1)
             moved[:, -1] = NONE
@@ -221,40 +243,44 @@ class Vocabulary:
                 consider(before[i], i)
         return self._written([x for x in symbols if x != NONE])
 
-    def encode(self, texts: list[str], offsets: list[int], dropout: float, seed: int, keys: int) -> list[bytes]:
-        """Little-endian 32-bit ids. Part n of a text is merged under key (offset + n) mod ``keys``."""
+    def encode(self, texts: list[str], offsets: list[int], dropout: float, seed: int, kept: int = PARTS) -> list[bytes]:
+        """Little-endian 32-bit ids. A part is merged under a key of the seed, its text's offset and its
+        number in the text; at most about ``kept`` parts are looked up later."""
         parts = [PART.findall(" " + text) if text else [] for text in texts]
-        wanted: list[set[str]] = [set() for _ in range(keys)]
-        for own, offset in zip(parts, offsets, strict=True):
-            for k in range(keys):
-                wanted[(offset + k) % keys].update(own[k::keys])
-        drop = []
-        for k in range(keys):
-            table = self.merged.setdefault(k, {})
-            new = wanted[k].difference(table)
-            key = xxh64_intdigest(f"{seed} {k}")
-            before = len(table)
-            added = set(new)
-            cut = [(part, self.split(part)) for part in new]
-            added.update(*(pieces for _, pieces in cut))
-            unmerged = list(added.difference(table, (part for part, pieces in cut if len(pieces) > 1)))
-            table.update(zip(unmerged, self.merge(unmerged, dropout, key), strict=True))
-            for part, pieces in cut:
-                if len(pieces) > 1:
-                    table[part] = b"".join(map(table.__getitem__, pieces))
-            gone = added if self.known > PARTS else [p for p in added if len(p) > LONG_PART]
-            self.known += len(table) - before - len(gone)
-            drop.append(gone)
-        out = []
-        for own, offset in zip(parts, offsets, strict=True):
-            values: list = [b""] * len(own)
-            for k in range(min(keys, len(own))):
-                values[k::keys] = map(self.merged[(offset + k) % keys].__getitem__, own[k::keys])
-            out.append(b"".join(values))
-        for k, gone in enumerate(drop):
-            for part in gone:
-                del self.merged[k][part]
-        return out
+        new_cuts = {
+            part: pieces for part in set().union(*parts).difference(self.merged, self.cut)
+            if len(pieces := self.split(part)) > 1
+        }
+        self.cut.update(new_cuts)
+        parts = [[piece for part in own for piece in self.cut.get(part, (part,))] for own in parts]
+        units = list(chain.from_iterable(parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        starts = np.concatenate(([0], np.cumsum(sizes)))
+        bases = np.array([xxh64_intdigest(f"{seed} {offset}") for offset in offsets], np.uint64)
+        keys = mix(np.repeat(bases, sizes) + (np.arange(len(units)) - np.repeat(starts[:-1], sizes)).astype(np.uint64))
+
+        new = [part for part in set(units).difference(self.merged) if len(part) <= SHORT_PART]
+        merges = [b""] * len(new)
+        ids = self.merge(new, 0.0, 0, merges)
+        self.merged.update(zip(new, zip(merges, ids, strict=True), strict=True))
+        known = [self.merged.get(part, (b"", None)) for part in units]
+        sizes = np.fromiter((len(merged) // 8 for merged, _ in known), np.int64, len(known))
+        ends = np.cumsum(sizes)
+        number = np.frombuffer(b"".join(merged for merged, _ in known), "<u8")
+        hits = mix(number + np.repeat(keys, sizes)) >> np.uint64(11) < np.uint64(dropout * 2**53)
+        hits = np.concatenate(([0], np.cumsum(hits)))
+        again = hits[ends] > hits[ends - sizes]
+        values = [ids for _, ids in known]
+        again = np.flatnonzero(again | np.fromiter((ids is None for ids in values), bool, len(values)))
+        for i, ids in zip(again.tolist(), self.merge([units[i] for i in again], dropout, keys[again]), strict=True):
+            values[i] = ids
+        if len(self.merged) > kept:
+            for part in new:
+                del self.merged[part]
+        for part in new_cuts:
+            if len(self.cut) > kept or len(part) > SHORT_PART:
+                del self.cut[part]
+        return [b"".join(values[a:b]) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
 
 
 def vocabulary(path: str, *setting) -> Vocabulary:
@@ -265,17 +291,16 @@ def vocabulary(path: str, *setting) -> Vocabulary:
     return _vocabularies[key]
 
 
-def encoded(path: str, dropout: float = 0.1, seed: int = 20, keys: int = 4):
+def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
     """A column function of (text, id): the text's ids as array<int>; null and empty give no ids.
 
-    The key of a part follows from the seed, the row's id and the part's place, out of ``keys``
-    keys, so a word is cut in up to that many ways, the same ones in every run. Dropout 0 gives the
-    library's own segmentation.
+    The key of a part follows from the seed, the row's id and the part's place, so a word is cut anew
+    wherever it stands, and alike in every run. Dropout 0 gives the library's own segmentation.
     """
 
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        pieces = vocabulary(path, dropout, seed, keys)
+        pieces = vocabulary(path)
         for texts, ids in batches:
             blobs: list[bytes] = []
             chunk, offsets, size = [], [], 0
@@ -284,9 +309,9 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, keys: int = 4):
                 offsets.append(xxh3_64_intdigest(str(doc.as_py()), seed))
                 size += len(chunk[-1])
                 if size >= CHUNK_CHARS:
-                    blobs += pieces.encode(chunk, offsets, dropout, seed, keys)
+                    blobs += pieces.encode(chunk, offsets, dropout, seed, kept)
                     chunk, offsets, size = [], [], 0
-            blobs += pieces.encode(chunk, offsets, dropout, seed, keys)
+            blobs += pieces.encode(chunk, offsets, dropout, seed, kept)
             del texts, ids, chunk
             ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs])))
             yield pa.ListArray.from_arrays(
@@ -313,12 +338,12 @@ def decoded(path: str):
 
 
 def encode(
-    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 20, keys: int = 4
+    docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS
 ) -> DataFrame:
     """``docs`` with ids (array<int>) of every whole text; see ``encoded``. A column named ids is
     replaced. Rows with the same doc_id and text are cut alike; a null doc_id counts as a hash of
     the text. An empty table gives an empty one. There is no shuffle."""
-    return docs.withColumn("ids", encoded(path, dropout, seed, keys)(F.col("text"), row_key()))
+    return docs.withColumn("ids", encoded(path, dropout, seed, kept)(F.col("text"), row_key()))
 
 
 def decode(encodings: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

@@ -167,3 +167,29 @@ def test_short_and_long_parts_have_one_agenda(text, dropout, key):
     v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     assert v._merge_short([text, "x"], dropout, key)[0] == v._merge_long(text, dropout, key)
     assert "".join(v.split(text)) == text
+
+
+def test_dropout_varies_with_place_and_row(spark, piece_bpe):
+    v = pieces.Vocabulary(piece_bpe)
+    apart = [v.encode([" international"], [n], 0.3, 1)[0] for n in range(300)]
+    assert len(set(apart)) > 8
+    docs = spark.range(300).selectExpr("id AS doc_id", "'international law' AS text")
+    assert pieces.encode(docs, piece_bpe, 0.3).select("ids").distinct().count() > 20
+    whole = np.frombuffer(v.encode(["international " * 300], [1], 0.3, 1)[0], "<i4").tolist()
+    words, own = set(), b""
+    for i in whole:
+        if v.bytes[i].startswith(b" ") and own:
+            words.add(tuple(cut))
+        cut, own = ([i], v.bytes[i]) if v.bytes[i].startswith(b" ") else ([*cut, i], own + v.bytes[i])
+    assert len(words) > 8
+
+
+def test_looked_up_merges_are_those_of_the_agenda(piece_bpe, monkeypatch):
+    docs = ["Some words, of 1,200 characters: internationalisation éa 日本 " * 20, "x" * 200 + " words words", ""]
+    kept = pieces.Vocabulary(piece_bpe)
+    for dropout in (0.0, 0.1, 0.6, 1.0):
+        got = [kept.encode(docs, [1, 2, 3], dropout, 5) for _ in range(2)]
+        fresh = pieces.Vocabulary(piece_bpe)
+        monkeypatch.setattr(pieces, "SHORT_PART", 0)  # every part by its own agenda
+        assert got[0] == got[1] == fresh.encode(docs, [1, 2, 3], dropout, 5, 0)
+        monkeypatch.undo()

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gzip
-import io
 import re
+import struct
+import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 from uuid import uuid4
@@ -22,8 +23,15 @@ FAN_OUT = 16
 _LENGTH = re.compile(rb"^content-length:\s*(\d+)\s*$", re.I | re.M)
 _PAGE = re.compile(rb"^warc-record-id:\s*<urn:page:(-?\d+)>\s*$", re.I | re.M)
 HEAD_BYTES = 1 << 16
+#: What stands behind the gzip member of a record: a member without content.
+GAP = gzip.compress(b"", mtime=0)
+#: The start of a record's member: gzip's magic, a field of its own with the record's number and offset, and
+#: a check sum of these.
+_START = b"\x1f\x8b\x08\x06\x00\x00\x00\x00\x00\xff\x14\x00CW\x10\x00"
+_PLACE = struct.Struct("<QQ")
+_WHOLE = len(_START) + _PLACE.size + 2
 
-_NODE = "file string, level int, number long, start long, stop long, hash binary, page_id long"
+_NODE = "file string, level int, number long, start long, stop long, hash binary, page_id long, damaged boolean"
 
 
 def record(date: Column | str = DATE) -> Column:
@@ -45,18 +53,135 @@ def record(date: Column | str = DATE) -> Column:
 
 
 def write_archive(pages: DataFrame, folder: str, value: Column | None = None) -> str:
-    """Writes one gzip-compressed WARC file per partition of ``pages``; returns the folder.
+    """Writes one WARC file per partition of ``pages``, a gzip member per record; returns the folder.
 
-    A record ends in the two line ends that the format asks for, which stand in as the text sink's
-    line separator. The file name starts with the number of the partition, so two archives of the
-    same partitions name their files alike.
+    A record ends in the two line ends that the format asks for. Its member's header holds the record's
+    number and offset in the file, so that what stands behind damage is still known by its place. Members
+    without content stand in as the text sink's line separator. The file name starts with the number of
+    the partition, so two archives of the same partitions name their files alike.
     """
-    rows = pages.select((record() if value is None else value).alias("value"))
-    rows.write.option("lineSep", END).option("compression", "gzip").text(folder)
+    rows = pages.select((record() if value is None else value).cast("binary").alias("value"))
+    members = rows.mapInArrow(_members_of, "value binary").select(F.col("value").cast("string").alias("value"))
+    sink = members.write.option("lineSep", GAP.decode("latin-1")).option("encoding", "ISO-8859-1")
+    sink.option("compression", "none").option("maxRecordsPerFile", 0).text(folder)
     return folder
 
 
-def _records(stream: io.BufferedIOBase) -> Iterator[tuple[int, int, bytes, int | None]]:
+def _members_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = offset = 0
+    for batch in batches:
+        members = []
+        for value in batch["value"]:
+            data = value.as_py() + END.encode()
+            packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+            head = _START + _PLACE.pack(number, offset)
+            members.append(b"".join((
+                head, (zlib.crc32(head) & 0xFFFF).to_bytes(2, "little"), packer.compress(data), packer.flush(),
+                struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF),
+            )))
+            number, offset = number + 1, offset + len(data)
+        yield pa.RecordBatch.from_arrays([pa.array(members, pa.binary())], names=["value"])
+
+
+class _Member:
+    """The content of the gzip member at ``at`` of ``data``; ``broken`` if it can't be read to its end."""
+
+    def __init__(self, data: memoryview, at: int):
+        self.data, self.at, self.broken = data, at, False
+        self.unpacker = zlib.decompressobj(31)
+
+    def read(self, n: int) -> bytes:
+        while not (self.broken or self.unpacker.eof):
+            fed = self.unpacker.unconsumed_tail
+            if not fed:
+                fed = self.data[self.at : self.at + HEAD_BYTES]
+                self.at += len(fed)
+            try:
+                out = self.unpacker.decompress(fed, n)
+            except zlib.error:
+                self.broken = True
+                break
+            if self.unpacker.eof:
+                self.at -= len(self.unpacker.unused_data)
+            if out:
+                return out
+            self.broken = not len(fed) and not self.unpacker.eof
+        return b""
+
+
+def _place(raw: bytes, at: int) -> tuple[int, int] | None:
+    """Number and offset of the record whose member starts at ``at``; None if its header is no such one."""
+    head = raw[at : at + _WHOLE]
+    if len(head) < _WHOLE or not head.startswith(_START) or (zlib.crc32(head[:-2]) & 0xFFFF).to_bytes(2, "little") != head[-2:]:
+        return None
+    return _PLACE.unpack_from(head, len(_START))
+
+
+def _leaves(raw: bytes) -> list[tuple[int, int, bytes, int | None, bool]]:
+    """(start, stop, hash, page id, damaged) of the records of a stored file, in order.
+
+    Offsets and hashes are of the uncompressed records. Where members tell their place, a record is a
+    member, whatever its content says. A stored range that can't be read ends at the next such member; each
+    record that belongs there is damaged, with a hash of the stored bytes. A file without such members is
+    cut by the heads of its records and read up to its first damage, the last record being damaged then.
+    """
+    leaves: list[tuple[int, int, bytes, int | None, bool]] = []
+    view, at, offset = memoryview(raw), 0, 0
+
+    def spoiled(start: int, stop: int, stored: bytes) -> tuple:
+        return start, stop, sha256(stored + len(leaves).to_bytes(8, "big")).digest(), None, True
+
+    def blame(stored: bytes) -> None:
+        start, stop, digest, page, _ = leaves[-1]
+        leaves[-1] = (start, stop, sha256(digest + stored).digest(), page, True)
+
+    if _START not in raw:
+        while at < len(raw):
+            member, begun = _Member(view, at), offset
+            for start, size, digest, page in _records(member):
+                offset = begun + start + size
+                leaves.append((begun + start, offset, digest, page, False))
+            if member.broken:
+                if offset > begun:
+                    blame(raw[at:])
+                else:
+                    leaves.append(spoiled(offset, offset, raw[at:]))
+                break
+            at = member.at
+            while at < len(raw) and raw[at] == 0:
+                at += 1
+        return leaves
+
+    bad, behind = None, False
+    while 0 <= at < len(raw):
+        place, found = _place(raw, at), False
+        if place and place[0] >= len(leaves):
+            number, start = place
+            if bad is not None and number == len(leaves) and leaves:
+                blame(raw[bad:at])
+            while len(leaves) < number:
+                leaves.append(spoiled(offset, start, raw[at if bad is None else bad : at]))
+            bad, offset, member = None, start, _Member(view, at)
+            data = b"".join(iter(lambda: member.read(1 << 24), b""))
+            if not member.broken:
+                page, found = _PAGE.search(data[: data.find(END.encode()) + 2]), True
+                offset = start + len(data)
+                leaves.append((start, offset, sha256(data).digest(), int(page[1]) if page else None, False))
+                at = member.at
+                if raw.startswith(GAP, at):
+                    at += len(GAP)
+                    continue
+        if bad is None:
+            bad, behind = at, found
+        at = raw.find(_START, at if found else at + 1)
+    if bad is not None and not (behind and len(raw) - bad <= len(GAP)):
+        leaves.append(spoiled(offset, offset, raw[bad:]))
+    elif bad is not None and bad < len(raw):
+        blame(raw[bad:])
+    return leaves
+
+
+def _records(stream: _Member) -> Iterator[tuple[int, int, bytes, int | None]]:
     """(offset, length, digest, page id) of the records of an uncompressed file, in order.
 
     A record is its head, the length that the head states, and the end mark. Where the head is broken
@@ -85,7 +210,7 @@ def _records(stream: io.BufferedIOBase) -> Iterator[tuple[int, int, bytes, int |
 def _trees(fan_out: int):
     schema = pa.schema([
         ("file", pa.string()), ("level", pa.int32()), ("number", pa.int64()), ("start", pa.int64()),
-        ("stop", pa.int64()), ("hash", pa.binary()), ("page_id", pa.int64()),
+        ("stop", pa.int64()), ("hash", pa.binary()), ("page_id", pa.int64()), ("damaged", pa.bool_()),
     ])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,15 +218,14 @@ def _trees(fan_out: int):
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 name = re.search(r"part-\d+", path.as_py().rsplit("/", 1)[-1])
                 name = name[0] if name else path.as_py().rsplit("/", 1)[-1]
-                stream = gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer()))
-                nodes = [(at, at + n, digest, page) for at, n, digest, page in _records(stream)]
+                nodes = _leaves(content.as_py())
                 level = 0
                 while nodes:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * len(nodes)), pa.array([level] * len(nodes), pa.int32()),
                             pa.array(range(len(nodes)), pa.int64()),
-                            *[pa.array([n[i] for n in nodes], schema.field(3 + i).type) for i in range(4)],
+                            *[pa.array([n[i] for n in nodes], schema.field(3 + i).type) for i in range(5)],
                         ],
                         schema=schema,
                     )
@@ -116,13 +240,13 @@ def _trees(fan_out: int):
 def _parent(children: list[tuple]) -> tuple:
     """A node over an ordered range of offsets: the hash covers each child's range and hash."""
     whole = sha256()
-    for start, stop, digest, _ in children:
+    for start, stop, digest, *_ in children:
         whole.update(start.to_bytes(8, "big") + stop.to_bytes(8, "big") + digest)
-    return children[0][0], children[-1][1], whole.digest(), None
+    return children[0][0], children[-1][1], whole.digest(), None, any(child[4] for child in children)
 
 
 def merkle_nodes(spark: SparkSession, folder: str, fan_out: int = FAN_OUT) -> DataFrame:
-    """The tree of each file of an archive: file, level, number, start, stop, hash, page_id.
+    """The tree of each file of an archive: file, level, number, start, stop, hash, page_id, damaged.
 
     Level 0 are the records; a node of a higher level covers ``fan_out`` neighbours. The highest
     level of a file is its root. A file is read by one task; an empty one has no nodes.
@@ -156,12 +280,13 @@ def archive_root(nodes: DataFrame, fan_out: int = FAN_OUT) -> str | None:
 
 
 def damaged_records(first: DataFrame, second: DataFrame, fan_out: int = FAN_OUT) -> DataFrame:
-    """Records that differ between two replicas' nodes: file, number, found (changed, moved, missing
-    or added, seen from the first replica).
+    """Records that differ between two replicas' nodes: file, number, found (damaged, changed, moved,
+    missing or added, seen from the first replica).
 
     Equal archive roots end the audit. Else the roots of the files are compared, and under each node
     that differs its children, level by level: other branches are not looked at. A file whose trees
-    differ in height is compared record by record. ``moved`` is an unchanged record at other offsets.
+    differ in height is compared record by record. ``moved`` is an unchanged record at other offsets, ``damaged`` one whose stored range
+    can't be read in one of the replicas.
     """
     spark = first.sparkSession
     columns = "file string, number long, found string"
@@ -191,14 +316,14 @@ def damaged_records(first: DataFrame, second: DataFrame, fan_out: int = FAN_OUT)
                     under.join(open_nodes, ["file", "parent"], "left_semi").drop("parent")
                 )
             sides.append(part)
-        a = sides[0].select("file", "number", F.struct("start", "stop").alias("range_a"), F.col("hash").alias("hash_a"))
-        b = sides[1].select("file", "number", F.struct("start", "stop").alias("range_b"), F.col("hash").alias("hash_b"))
+        a = sides[0].select("file", "number", F.struct("start", "stop").alias("range_a"), F.col("hash").alias("hash_a"), F.col("damaged").alias("damaged_a"))
+        b = sides[1].select("file", "number", F.struct("start", "stop").alias("range_b"), F.col("hash").alias("hash_b"), F.col("damaged").alias("damaged_b"))
         same = F.col("hash_a").eqNullSafe(F.col("hash_b")) & F.col("range_a").eqNullSafe(F.col("range_b"))
         differ = stored(a.join(b, ["file", "number"], "full").filter(~same), "differing")
         open_nodes = differ.select("file", F.col("number").alias("parent"))
     found = (
         F.when(F.col("hash_b").isNull(), "missing").when(F.col("hash_a").isNull(), "added")
-        .when(F.col("hash_a") != F.col("hash_b"), "changed").otherwise("moved")
+        .when(F.col("damaged_a") | F.col("damaged_b"), "damaged").when(F.col("hash_a") != F.col("hash_b"), "changed").otherwise("moved")
     )
     return differ.select("file", "number", found.alias("found"))
 
@@ -212,11 +337,11 @@ def audit(spark: SparkSession, first: str, second: str, fan_out: int = FAN_OUT)
     a, b = (stored(merkle_nodes(spark, folder, fan_out), "nodes") for folder in (first, second))
     damage = damaged_records(a, b, fan_out)
     record_of = [
-        n.filter("level = 0").select("page_id", "file", "number", "start", F.expr("stop - start").alias("length"), F.lower(F.hex("hash")).alias("sha256"))
+        n.filter("level = 0").select("page_id", "file", "number", "start", F.expr("stop - start").alias("length"), F.lower(F.hex("hash")).alias("sha256"), "damaged")
         for n in (a, b)
     ]
     added = record_of[1].join(damage.filter("found = 'added'"), ["file", "number"])
-    known = record_of[0].join(damage, ["file", "number"], "left").withColumn("found", F.coalesce("found", F.lit("intact")))
+    known = record_of[0].join(damage, ["file", "number"], "left").withColumn("found", F.coalesce("found", F.when(F.col("damaged"), "damaged"), F.lit("intact")))
     order = ["page_id", "file", "number", "start", "length", "sha256", "found"]
     return known.select(*order).unionByName(added.select(*order))
 

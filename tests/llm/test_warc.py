@@ -99,3 +99,59 @@ def test_only_differing_branches_are_open(spark, pages, tmp_path):
     found = warc.damaged_records(*nodes, fan_out=4).collect()
     assert [(r.number, r.found) for r in found] == [(9, "changed")]
     assert warc.archive_root(nodes[0], 4) != warc.archive_root(nodes[1], 4)
+
+
+def stored_copy(spark, pages, tmp_path, edit):
+    """The audit of a replica whose stored bytes ``edit`` changes, given the starts of the members."""
+    warc.write_archive(pages, str(tmp_path / "a"))
+    (tmp_path / "b").mkdir()
+    (path,) = (tmp_path / "a").glob("part-*")
+    data = bytearray(path.read_bytes())
+    starts = [m.start() for m in re.finditer(re.escape(warc._START), data)]
+    assert len(starts) == pages.count()
+    (tmp_path / "b" / path.name).write_bytes(edit(data, starts) or data)
+    return {r.number: (r.found, r.page_id) for r in warc.audit(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect()}
+
+
+def test_flipped_bytes_are_located(spark, pages, tmp_path):
+    def edit(data, starts):
+        for n, at in ((0, 1), (20, 22), (30, 60), (300, 200)):  # magic, place, content
+            data[starts[n] + at] ^= 4
+        data[starts[50] - 24] ^= 1  # length of record 49
+        data[starts[61] - 15] ^= 1  # time in the member behind record 60
+        data[starts[100] : starts[103] - 30] = b"z" * (starts[103] - 30 - starts[100])
+
+    found = stored_copy(spark, pages, tmp_path, edit)
+    damaged = {0, 20, 30, 300, 49, 60, 100, 101, 102}
+    assert {n for n, (kind, _) in found.items() if kind == "damaged"} == damaged
+    assert {kind for n, (kind, _) in found.items() if n not in damaged} == {"intact"} and len(found) == pages.count()
+    assert all(found[n][1] == n for n in damaged)
+
+
+def test_a_file_cut_in_storage(spark, pages, tmp_path):
+    found = stored_copy(spark, pages, tmp_path, lambda data, starts: data[: starts[500] + 70])
+    assert Counter(kind for kind, _ in found.values()) == {"intact": 500, "damaged": 1, "missing": pages.count() - 501}
+    assert found[500] == ("damaged", 500)
+
+
+def test_a_wrong_length_in_a_member_is_one_record(spark, pages, tmp_path):
+    def edit(data, starts):
+        start, stop = starts[7], starts[8] - len(warc.GAP)
+        whole = gzip.decompress(data[start:stop])
+        wrong = whole.replace(b"Content-Length: ", b"Content-Length: 9", 1)
+        packed = gzip.compress(wrong)[10:]
+        return data[: start + warc._WHOLE] + packed + data[stop:]
+
+    found = stored_copy(spark, pages, tmp_path, edit)
+    assert found[7] == ("changed", 7) and Counter(kind for kind, _ in found.values())["intact"] == pages.count() - 1
+
+
+def test_a_flip_in_one_stream_does_not_end_the_audit(spark, pages, tmp_path):
+    warc.write_archive(pages, str(tmp_path / "a"))
+    (tmp_path / "b").mkdir()
+    for name, data in files(tmp_path / "a").items():
+        packed = bytearray(gzip.compress(data, 0))
+        packed[len(packed) // 2] ^= 1
+        (tmp_path / "b" / name).write_bytes(packed[:-9])
+    kinds = Counter(r.found for r in warc.audit(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect())
+    assert kinds["intact"] > 600 and sum(kinds.values()) == pages.count()

@@ -189,8 +189,15 @@ def _records(stream: _Member) -> Iterator[tuple[int, int, bytes, int | None]]:
     """
     data, offset = stream.read(HEAD_BYTES), 0
     while data:
-        while (head := data.find(b"\r\n\r\n")) < 0 and len(data) < 16 * HEAD_BYTES and (more := stream.read(HEAD_BYTES)):
+        while len(data) < 5 and (more := stream.read(HEAD_BYTES)):
             data += more
+        head = data.find(b"\r\n\r\n")
+        if head < 0 and data.startswith(b"WARC/"):
+            whole = bytearray(data)
+            while head < 0 and (more := stream.read(HEAD_BYTES)):
+                whole += more
+                head = whole.find(b"\r\n\r\n", len(whole) - len(more) - 3)
+            data = bytes(whole)
         found = _LENGTH.search(data[: head + 2]) if head >= 0 and data.startswith(b"WARC/") else None
         size = head + 8 + int(found[1]) if found else 0
         while found and len(data) < size and (more := stream.read(max(HEAD_BYTES, size - len(data)))):

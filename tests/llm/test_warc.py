@@ -155,3 +155,12 @@ def test_a_flip_in_one_stream_does_not_end_the_audit(spark, pages, tmp_path):
         (tmp_path / "b" / name).write_bytes(packed[:-9])
     kinds = Counter(r.found for r in warc.audit(spark, str(tmp_path / "a"), str(tmp_path / "b")).collect())
     assert kinds["intact"] > 600 and sum(kinds.values()) == pages.count()
+
+
+def test_a_head_of_any_length(spark, tmp_path):
+    rows = [(1, "u", "a"), (2, "u" * 3_000_000, "b"), (3, "u", "c")]
+    long = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    found = copied(spark, long, tmp_path, lambda data: data)
+    assert sorted((r.page_id, r.found) for r in found) == [(n, "intact") for n in (1, 2, 3)]
+    leaves = warc.merkle_nodes(spark, str(tmp_path / "b")).filter("level = 0").collect()
+    assert sorted(r.page_id for r in leaves) == [1, 2, 3]

@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.llm import (
+    clustering,
     exact_dedup,
     line_dedup,
+    manifest,
     near_dedup,
     packing,
     pieces,
     quality_rules,
+    sharding,
     substring_dedup,
     token_counts,
     toxicity,
     warc,
 )
-from cartwright.llm.common import table
+from cartwright.llm.common import table, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -194,3 +198,111 @@ def documents_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_ledger(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_bitmap_rank_manifest",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT *, list_reduce(  -- CRC-32 by bits: the low bit of the complement
+               list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                     lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))) % 2 AS odd
+      FROM documents
+    ), f AS (
+      SELECT doc_id, source,
+             coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+             || coalesce(strlen(lang) || ':' || lang, '-')
+             || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+             text, CASE WHEN odd = 1 THEN replace(text, chr(10), '') ELSE text END AS found
+      FROM d
+    ), leaf AS (
+      SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h,
+             sha256(head || coalesce(strlen(found) || ':' || found, '-')) AS tampered,
+             row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+      FROM f
+    ), up AS (
+      SELECT 0 AS lvl, source, i, h, n FROM leaf
+      UNION ALL
+      SELECT lvl + 1, source, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+      FROM up WHERE n > 1 GROUP BY lvl, source, i // 3, n
+    ), subroots AS (
+      SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+      FROM up WHERE n = 1
+    ), top AS (
+      SELECT 0 AS lvl, i, h, n FROM subroots
+      UNION ALL
+      SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3
+      FROM top WHERE n > 1 GROUP BY lvl, i // 3, n
+    ), steps AS (
+      SELECT leaf.doc_id, up.lvl AS step, up.i < leaf.i // (3 ** up.lvl)::BIGINT AS is_left, up.i AS place, up.h,
+             up.i = leaf.i // (3 ** up.lvl)::BIGINT AS own
+      FROM leaf JOIN up ON leaf.source IS NOT DISTINCT FROM up.source AND up.n > 1
+       AND up.i // 3 = leaf.i // (3 ** (up.lvl + 1))::BIGINT
+      UNION ALL
+      SELECT leaf.doc_id, 1000 + top.lvl, top.i < s.i // (3 ** top.lvl)::BIGINT, top.i, top.h,
+             top.i = s.i // (3 ** top.lvl)::BIGINT
+      FROM leaf JOIN subroots s ON leaf.source IS NOT DISTINCT FROM s.source
+      JOIN top ON top.n > 1 AND top.i // 3 = s.i // (3 ** (top.lvl + 1))::BIGINT
+    ), sides AS (
+      SELECT doc_id, step, coalesce(string_agg(h, '' ORDER BY place) FILTER (is_left), '') AS l,
+             coalesce(string_agg(h, '' ORDER BY place) FILTER (NOT is_left AND NOT own), '') AS r
+      FROM steps GROUP BY doc_id, step
+    ), paths AS (
+      SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS proof, list(l || ',' || r ORDER BY step) AS folds
+      FROM sides GROUP BY doc_id
+    ), folded AS (
+      SELECT leaf.doc_id, leaf.h AS leaf, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root,
+             sha256(coalesce(proof, '')) AS proof_sha256,
+             list_reduce(list_prepend(tampered, coalesce(folds, [])),
+                         lambda h, x: sha256(split_part(x, ',', 1) || h || split_part(x, ',', 2))) AS folded_root
+      FROM leaf JOIN subroots s ON leaf.source IS NOT DISTINCT FROM s.source LEFT JOIN paths USING (doc_id)
+    )
+    SELECT *, folded_root = root AS verified FROM folded
+    """,
+)
+def document_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    rows = manifest.audited(table(spark, sf_dir, "documents"), F.coalesce(found, "text"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op12_virtual_slots")
+def document_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = f"{work_folder(spark)}/slot-map-{uuid4().hex}"
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=8, path=maps)
+
+
+#: A round in SQL: all distances, the nearest centroid (ties: the smaller one), means rounded down.
+_ROUND = """
+, a{k} AS (
+  SELECT vec_id, any_value(v) AS v, min({{'d': d, 'c': c}}) AS best
+  FROM (SELECT vec_id, kept.v, c, list_sum(list_transform(list_zip(kept.v, c{k}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+        FROM kept, c{k}) GROUP BY vec_id
+), m{k} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v
+  FROM (SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM a{k}, range(1, 65) r(j) GROUP BY best.c, j) GROUP BY c
+), c{next} AS (SELECT c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))
+"""
+
+
+@query(
+    "op13_ptolemaic_clusters",
+    """
+    WITH kept AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), c0 AS (
+      SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM kept
+      QUALIFY c < 8
+    )"""
+    + "".join(_ROUND.format(k=k, next=k + 1) for k in range(11))
+    + """
+    , t AS (SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance FROM a10)
+    SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+           sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c10.v, ',')) AS centroid_sha256
+    FROM t JOIN c10 ON c10.c = cluster
+    """,
+)
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10)

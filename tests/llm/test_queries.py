@@ -20,7 +20,7 @@ def test_result_equals_sql(spark, con, name):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_the_driver_lists_them_and_the_pipeline():

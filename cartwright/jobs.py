@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import time
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,8 +88,8 @@ def compare_formats(spark, args):
     """Write time and size per format, and the filtered revenue read from two of them."""
     folder = f"{args.data}/formats"
     rows = readers.read_csv(spark, f"{args.data}/benchmark.csv", schemas.BENCHMARK_TRANSACTIONS)
-    seconds = storage.write_formats(rows, folder)
-    _show("Formats", storage.storage_format_report(spark, folder, seconds))
+    runs = storage.write_formats_counted(rows, folder)
+    _show("Formats", storage.counted_format_report(spark, folder, runs))
     text = readers.read_csv(spark, f"{folder}/csv", schemas.BENCHMARK_TRANSACTIONS)
     columnar = readers.read_parquet(
         spark, f"{folder}/parquet_zstd", ["category", "country_code", "amount"])
@@ -129,24 +130,26 @@ def load_history(spark, args):
     """Monthly batches, earlier states and a new column, in a catalog table."""
     transactions = _transactions(spark, args)
     _show("Rows per month", history.monthly_split_counts(transactions))
-    path = f"{args.data}/history/{spark.conf.get('spark.app.id')}"
-    table = spark.table(history.load_history(spark, transactions, args.table, path, args.promotion_rows))
+    name = history.load_history(spark, transactions, args.table, f"{args.data}/history/{args.table}", args.promotion_rows)
+    table = spark.table(name)
     _show("January revenue", history.month_revenue_by_category(table))
     january = history.month_batch(transactions, 1)
     _show("Rows at the first batch", history.time_travel_count(table, 1, january))
     _show("Sample of the first batch", history.time_travel_sample(table, 1))
     _show("Earlier rows with the new column", history.evolved_sample(table, 3))
     _show("Largest discounts", history.discounts_on_top(table))
-    _show("Batches", history.batches(table).orderBy("snapshot_id"))
-    print(f"Table {args.table} at {path}")
+    _show("Batches", history.snapshots(spark, name).orderBy("snapshot_id"))
+    print(f"Table {name} at {history.location(spark, name)}")
 
 
 @job
 def show_history(spark, args):
     """Batches of an existing history table, and a sample as of one of them."""
     table = spark.table(args.table)
-    _show("Batches", history.batches(table).orderBy("snapshot_id"))
+    _show("Batches", history.snapshots(spark, args.table).orderBy("snapshot_id"))
     rows = table if args.snapshot is None else history.as_of(table, args.snapshot)
+    if args.at:
+        rows = history.as_of_time(spark, args.table, datetime.fromisoformat(args.at))
     rows.printSchema()
     _show("Sample", sampling.sample_batch(rows, 10))
 
@@ -158,8 +161,8 @@ def load_raw(spark, args):
         "transactions": _transactions(spark, args),
         "customers": spark.read.parquet(_parquet(args, "customers")),
     }
-    names = storage.load_raw_tables(tables, f"{args.data}/raw")
-    _show("Rows", storage.table_counts(spark, names))
+    names, counts = storage.load_raw_tables_counted(tables, f"{args.data}/raw")
+    _show("Rows", spark.createDataFrame(list(counts.items()), "table_name string, row_count long"))
     _show("Columns", storage.table_schemas(spark, names))
 
 
@@ -199,6 +202,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--rows", type=int, help="rows to generate")
     parser.add_argument("--table", default="transactions_history", help="name of the history table")
     parser.add_argument("--snapshot", type=int, help="batch to read as of; the newest if not given")
+    parser.add_argument("--at", help="time (UTC, as 2024-05-01T12:00) to read as of")
     parser.add_argument("--promotion-rows", type=int, help="size of the promotional sample; all of April if not given")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName(f"cartwright {args.job}").getOrCreate()

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cartwright.sources.readers import TIMESTAMP_FORMAT
 
 
+def counted(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` whose rows are counted as they are written, as ``rows``, and further aggregates by name.
+
+    Counting has to be the last step before the writer: the tasks of the writing stage count once each,
+    while a stage before a shuffle may run again for a lost executor. After the write the observation's
+    ``get`` has the values; what was written is not read.
+    """
+    seen = Observation()
+    own = [metric.alias(name) for name, metric in metrics.items()]
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *own), seen
+
+
+def write_counted(df: DataFrame, write: Callable[[DataFrame], str]) -> tuple[str, int]:
+    """What ``write`` returns for ``df``, and the number of rows that it wrote."""
+    watched, seen = counted(df)
+    return write(watched), seen.get["rows"]
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV with a header in every part file. Blanks around values are kept."""
     (
@@ -54,6 +74,20 @@ def create_table_as(df: DataFrame, name: str, path: str) -> str:
     return name
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str) -> str:
+    """Catalog table ``name`` in ``buckets`` files by hash of ``key``, each sorted by it.
+
+    Tables bucketed alike by their join key are joined, or summed by it, without a shuffle. The rows are
+    dealt by bucket first, so every bucket is one file. Buckets can't be split at read time: for keys of
+    which one may hold much of the table see ``joins.left_join_salted``.
+    """
+    (
+        df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+        .option("path", path).saveAsTable(name)
+    )
+    return name
+
+
 def create_view(df: DataFrame, name: str) -> str:
     df.createOrReplaceTempView(name)
     return name

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import IllegalArgumentException
@@ -21,23 +22,43 @@ FORMATS = {
 OPTIONAL_FORMATS = {"parquet_snappy"}
 
 
-def write_formats(df: DataFrame, folder: str) -> dict[str, float | None]:
-    """Writes ``df`` in every format; seconds per format.
+@dataclass(frozen=True)
+class FormatRun:
+    """How long writing a format took and how many rows went in; None if its codec is missing."""
+
+    seconds: float | None
+    rows: int | None
+
+
+def write_formats_counted(df: DataFrame, folder: str) -> dict[str, FormatRun]:
+    """Writes ``df`` in every format, counting rows on the way.
 
     A codec this cluster lacks is reported as None, if the format is an optional one.
     """
-    seconds: dict[str, float | None] = {}
+    runs: dict[str, FormatRun] = {}
     for name, write in FORMATS.items():
         began = time.perf_counter()
         try:
-            write(df, f"{folder}/{name}")
+            _, rows = sinks.write_counted(df, lambda watched, write=write, name=name: write(watched, f"{folder}/{name}"))
         except IllegalArgumentException as error:
             if name not in OPTIONAL_FORMATS or "codec" not in str(error).lower():
                 raise
-            seconds[name] = None
+            runs[name] = FormatRun(None, None)
         else:
-            seconds[name] = round(time.perf_counter() - began, 2)
-    return seconds
+            runs[name] = FormatRun(round(time.perf_counter() - began, 2), rows)
+    return runs
+
+
+def write_formats(df: DataFrame, folder: str) -> dict[str, float | None]:
+    """The same; seconds per format."""
+    return {name: run.seconds for name, run in write_formats_counted(df, folder).items()}
+
+
+def counted_format_report(spark: SparkSession, folder: str, runs: dict[str, FormatRun]) -> DataFrame:
+    """``storage_format_report`` with the rows that each write counted."""
+    report = storage_format_report(spark, folder, {name: run.seconds for name, run in runs.items()})
+    rows = [(name, run.rows) for name, run in runs.items()]
+    return report.join(F.broadcast(spark.createDataFrame(rows, "format string, row_count long")), "format")
 
 
 def storage_format_report(spark: SparkSession, folder: str,
@@ -79,6 +100,38 @@ def format_row_counts(spark: SparkSession, folder: str, schema) -> DataFrame:
     return reduce(DataFrame.unionAll, counts)
 
 
+@dataclass(frozen=True)
+class Parted:
+    """A CSV's good rows in its declared columns, its malformed lines with their file, and how many of each."""
+
+    good: DataFrame
+    malformed: DataFrame
+    good_rows: int
+    malformed_rows: int
+
+
+def part_csv(spark: SparkSession, csv_path: str, folder: str, schema) -> Parted:
+    """Reads a CSV once and stores good rows and malformed lines apart, as Parquet below ``folder``.
+
+    One write, partitioned by the verdict, so neither part is parsed again; the counts come with the
+    write. A file of bad lines alone is no error here: what to do with many of them is the caller's choice.
+    """
+    name = F.regexp_extract("_metadata.file_path", r"[^/]+$", 0)
+    rows = readers.read_csv_permissive(spark, csv_path, schema).withColumns(
+        {"source_file": name, "is_malformed": F.col(readers.MALFORMED).isNotNull()}
+    )
+    watched, seen = sinks.counted(rows, malformed=F.count(readers.MALFORMED))
+    watched.write.mode("overwrite").partitionBy("is_malformed").parquet(folder)
+    malformed = seen.get["malformed"]
+    stored = spark.read.schema(rows.schema).parquet(folder)
+    return Parted(
+        stored.where(~F.col("is_malformed")).select(*schema.names),
+        stored.where("is_malformed").select("source_file", readers.MALFORMED),
+        seen.get["rows"] - malformed,
+        malformed,
+    )
+
+
 def write_seed_csv(tables: dict[str, DataFrame], folder: str) -> str:
     for name, df in tables.items():
         sinks.write_csv(df, f"{folder}/{name}.csv")
@@ -87,15 +140,13 @@ def write_seed_csv(tables: dict[str, DataFrame], folder: str) -> str:
 
 def convert_csv_to_columnar(spark: SparkSession, csv_paths: dict[str, str], parquet_folder: str,
                             tables=schemas.SEED_TABLES) -> DataFrame:
-    """Each CSV table as Parquet; one row per table with its row count."""
-    counts = []
+    """Each CSV table as Parquet; one row per table with the number of rows that the write counted."""
+    counts = {}
     for name, csv_path in csv_paths.items():
         path = f"{parquet_folder}/{name}.parquet"
-        sinks.write_parquet(readers.read_csv(spark, csv_path, tables[name]), path)
-        counts.append(spark.read.parquet(path).agg(F.count("*").alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count"
-        ))
-    return reduce(DataFrame.unionAll, counts)
+        rows = readers.read_csv(spark, csv_path, tables[name])
+        _, counts[name] = sinks.write_counted(rows, lambda watched, path=path: sinks.write_parquet(watched, path))
+    return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
 
 
 def load_raw_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "raw_",
@@ -107,6 +158,14 @@ def load_raw_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "ra
     }
 
 
+def load_raw_tables_counted(tables: dict[str, DataFrame], folder: str, prefix: str = "raw_",
+                            suffix: str = "") -> tuple[dict[str, str], dict[str, int]]:
+    """The same, and the number of rows that went into each; the tables are not read again."""
+    watched = {key: sinks.counted(df) for key, df in tables.items()}
+    names = load_raw_tables({key: df for key, (df, _) in watched.items()}, folder, prefix, suffix)
+    return names, {key: seen.get["rows"] for key, (_, seen) in watched.items()}
+
+
 def table_counts(spark: SparkSession, names: dict[str, str]) -> DataFrame:
     """Rows per table; ``names`` maps a label to a catalog table."""
     return reduce(DataFrame.unionAll, [

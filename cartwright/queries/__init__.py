@@ -7,6 +7,7 @@ from cartwright.queries import (  # noqa: F401  (each module registers its queri
     columns,
     filters,
     generated,
+    incremental,
     joined,
     ordering,
     reports,

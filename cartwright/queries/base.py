@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 from hashlib import sha1
 from os.path import abspath
 from typing import Any
@@ -112,12 +113,20 @@ def table_name(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{name}_{source_id(sf_dir)}_{app}"
 
 
-def history_table(spark: SparkSession, sf_dir: str, promotion_rows: int | None = None) -> DataFrame:
+#: When the log says the four batches were loaded: at the end of their month.
+LOAD_TIMES = {month: datetime(2024, month, 28, 18) for month in (1, 2, 3, 4)}
+
+
+def history_name(spark: SparkSession, sf_dir: str, promotion_rows: int | None = None) -> str:
     """January to March, a new column, and April with discounts: all of it, or a sample."""
     name = "history" if promotion_rows is None else f"history_{promotion_rows}"
-    return spark.table(prepared(
+    return prepared(
         spark, sf_dir, name,
         lambda folder: history.load_history(
-            spark, stored_transactions(spark, sf_dir), table_name(spark, sf_dir, name), folder, promotion_rows
+            spark, stored_transactions(spark, sf_dir), table_name(spark, sf_dir, name), folder, promotion_rows, LOAD_TIMES
         ),
-    ))
+    )
+
+
+def history_table(spark: SparkSession, sf_dir: str, promotion_rows: int | None = None) -> DataFrame:
+    return spark.table(history_name(spark, sf_dir, promotion_rows))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from cartwright.operators import quality
 from cartwright.plans import history
 from cartwright.queries.base import (
+    history_name,
     history_table,
     prepared,
     query,
@@ -76,12 +78,32 @@ def month_revenue_by_category(spark, sf_dir):
     "SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id, 'append' AS operation,"
     " CAST(SUM(added) OVER (ORDER BY snapshot_id) AS VARCHAR) AS total_records FROM sizes"))
 def snapshot_history(spark, sf_dir):
-    """Rows after each batch. The window runs over one row per batch."""
-    added = F.element_at("summary", "added-records").cast("bigint")
-    so_far = F.sum(added).over(Window.orderBy("snapshot_id"))
-    return history.batches(history_table(spark, sf_dir)).select(
-        "snapshot_id", F.lit("append").alias("operation"), so_far.cast("string").alias("total_records"))
+    """Rows after each batch, from the log of loads."""
+    return history.snapshots(spark, history_name(spark, sf_dir)).select(
+        "snapshot_id", "operation", F.col("total_records").cast("string").alias("total_records"))
+
 
+@query("commit_history", "Q9 S9 K9 K13 O5", over_sizes(
+    "SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id,"
+    " make_timestamp(2024, snapshot_id, 28, 18, 0, 0.0) AS committed_at, 'append' AS operation,"
+    " added AS added_records,"
+    " CASE WHEN snapshot_id = 4 THEN (SELECT COUNT(discount_pct) FROM evolved) ELSE 0 END AS discounts,"
+    " CAST(SUM(added) OVER (ORDER BY snapshot_id) AS BIGINT) AS total_records FROM sizes"))
+def commit_history(spark, sf_dir):
+    """The same with the times of the loads and what each write counted."""
+    log = history.snapshots(spark, history_name(spark, sf_dir))
+    counted = {"added_records": "added-records", "discounts": "discounts"}
+    return log.select(
+        "snapshot_id", "committed_at", "operation", "total_records",
+        *[F.element_at("summary", key).cast("bigint").alias(name) for name, key in counted.items()],
+    ).orderBy("committed_at")
+
+
+@query("state_at_time", "S8 Q10", over_history("SELECT * FROM m1 UNION ALL SELECT * FROM m2"))
+def state_at_time(spark, sf_dir):
+    """The rows as of an afternoon in March: January's and February's loads."""
+    moment = datetime(2024, 3, 20, 16, 30)
+    return history.as_of_time(spark, history_name(spark, sf_dir), moment).drop(history.DISCOUNT)
 
 @query("snapshot_summaries", "S9 X17", over_sizes(
     "SELECT CAST(snapshot_id AS BIGINT) AS snapshot_id,"
@@ -99,9 +121,10 @@ def snapshot_summaries(spark, sf_dir):
 
 @query("first_snapshot", "O5 K14", over_history("SELECT CAST(1 AS BIGINT) AS snapshot_id, COUNT(*) AS row_count FROM m1"))
 def first_snapshot(spark, sf_dir):
-    """The number of the first batch, found first, names the state that is then counted."""
+    """The batch of the first load, by its time, names the state that is then counted."""
+    log = history.snapshots(spark, history_name(spark, sf_dir))
+    first = log.orderBy("committed_at").first()["snapshot_id"]
     table = history_table(spark, sf_dir)
-    first = history.batches(table).orderBy("snapshot_id").first()["snapshot_id"]
     return history.as_of(table, first).agg(F.count("*").alias("row_count")).select(
         F.lit(first).cast("bigint").alias("snapshot_id"), "row_count")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -31,6 +31,27 @@ def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     )
 
 
+#: Column of the lines that a permissive read could not parse; NULL for the others.
+MALFORMED = "malformed_line"
+
+
+def read_csv_permissive(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV with a header and declared types, every line of it: one whose fields don't parse, or are too few
+    or too many, has the whole line in ``malformed_line``, and NULL for what could not be read.
+
+    Every column is parsed whatever is selected, so that a line's verdict doesn't hang on the query.
+    """
+    return (
+        spark.read.schema(StructType([*schema.fields, StructField(MALFORMED, StringType())]))
+        .option("header", True)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .option("columnPruning", False)
+        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
+        .csv(path)
+    )
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     """CSV with detected types, for exploration only: detection is an extra pass over the files."""
     return (

@@ -116,3 +116,62 @@ def test_batch_or_fallback(spark, tmp_path):
     assert sampling.batch_or_fallback(stored, month == 2).count() == 3
     assert sampling.batch_or_fallback(stored, month == 9).count() == 6
     assert sampling.batch_or_fallback(stored.limit(0), month == 9).count() == 0
+
+
+def log(spark, name):
+    return {r.snapshot_id: (r.operation, r.total_records, r.summary) for r in history.snapshots(spark, name).collect()}
+
+
+def test_the_log_tells_what_was_loaded_and_when(spark, new_table):
+    days = {n: datetime(2024, n, 28) for n in range(1, 8)}
+    history.load_batch(spark, new_table, rows(spark, 1), 1, days[1])
+    history.append_rows(spark, new_table, rows(spark, 2, n=2), 2, days[2])
+    history.append_rows(spark, new_table, rows(spark, 2, n=1), 2, days[3])
+    history.add_discount(spark, new_table)
+    history.load_batch(spark, new_table, rows(spark, 4).withColumn(history.DISCOUNT, F.lit(7.5)), 3, days[4])
+    count = lambda n, d=0: {"added-records": str(n), "discounts": str(d)}
+    assert log(spark, new_table) == {1: ("append", 3, count(3)), 2: ("append", 6, count(3)), 3: ("append", 9, count(3, 3))}
+    at = lambda *moment: sorted(r.transaction_id for r in history.as_of_time(spark, new_table, datetime(*moment)).collect())
+    assert at(2023, 1, 1) == [] and at(2024, 1, 28) == ["t1-0", "t1-1", "t1-2"] and len(at(2024, 5, 1)) == 9
+    with pytest.raises(ValueError, match=r"\[2\].*loaded again"):
+        at(2024, 3, 1)
+    history.load_batch(spark, new_table, rows(spark, 2, n=5), 2, days[5])
+    assert log(spark, new_table)[2] == ("overwrite", 8, count(5)) and len(at(2024, 5, 28)) == 11
+    with pytest.raises(ValueError, match="loaded again"):
+        at(2024, 4, 28)
+    history.load_batch(spark, new_table, rows(spark), 1, days[6])
+    assert log(spark, new_table)[1] == ("overwrite", 0, count(0))
+
+
+def test_the_snapshot_list_reads_the_log_alone(spark, new_table, tmp_path):
+    history.load_batch(spark, new_table, rows(spark, 1), 1)
+    for file in (tmp_path / new_table).rglob("part-*"):
+        file.unlink()
+    assert log(spark, new_table) == {1: ("append", 3, {"added-records": "3", "discounts": "0"})}
+
+
+def test_loading_the_history_twice_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / uuid4().hex)
+    rows(spark, 1, 2, 3, 4, 5, n=4).write.parquet(f"{path}-source")
+    name, source = f"history_{uuid4().hex}", spark.read.parquet(f"{path}-source")
+    found = []
+    for _ in range(2):
+        history.load_history(spark, source, name, path)
+        found.append(sorted(map(str, spark.table(name).collect())))
+    assert found[0] == found[1] and len(found[0]) == 16
+    assert [log(spark, name)[n][:2] for n in (1, 4)] == [("overwrite", 4), ("overwrite", 16)]
+    assert history.commits(spark, name).count() == 8
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_new_batches_are_written_in_one_pass(spark, new_table, tmp_path):
+    rows(spark, 1, 2, 3, n=5).write.parquet(str(tmp_path / "source"))
+    source = spark.read.parquet(str(tmp_path / "source"))
+    stale = tmp_path / new_table / "batch_id=2" / "txn_month=2024-02-01"
+    stale.mkdir(parents=True)
+    (stale / "part-0.parquet").write_bytes(next((tmp_path / "source").glob("part-*")).read_bytes())
+    history.load_batches(spark, new_table, source, F.month("txn_timestamp"), (1, 2))
+    assert counts(spark, new_table) == {1: 5, 2: 5}
+    history.load_batches(spark, new_table, source.where("customer_id < 2"), F.month("txn_timestamp"), (2, 3))
+    assert counts(spark, new_table) == {1: 5, 2: 2, 3: 2}
+    assert [log(spark, new_table)[n][0] for n in (1, 2, 3)] == ["append", "overwrite", "append"]

@@ -20,8 +20,9 @@ import sys
 import time
 
 from cartwright.operators import joins, sinks
-from cartwright.plans import exploration, history, marts, staging, storage, summaries
+from cartwright.plans import exploration, history, incremental, marts, staging, storage, summaries
 from cartwright.queries import QUERIES, base
+from cartwright.queries import incremental as queries_incremental
 from cartwright.session import local_session, scratch_dir
 from cartwright.sources import generators, readers, schemas
 from cartwright.sources.store import Store
@@ -90,6 +91,13 @@ def stored(spark) -> dict[str, float]:
         summary = summaries.daily_summary_by_fact_category(transactions)
         run_fully(spark.read.parquet(summaries.write_daily_summary(summary, scratch_dir(spark, "bench", "daily"))))
 
+    def daily_by_month():
+        summary = summaries.daily_summary_by_fact_category(transactions)
+        path = summaries.write_daily_summary_by_month(summary, scratch_dir(spark, "bench", "daily_by_month"))
+        run_fully(spark.read.parquet(path))
+
+    partials = queries_incremental.partials(spark, SF_DIR, "partials_daily", incremental.DAILY)
+
     queries = {
         "category_country_summary": lambda: run_fully(summaries.category_country_summary(transactions)),
         "filtered_revenue": lambda: run_fully(
@@ -101,6 +109,8 @@ def stored(spark) -> dict[str, float]:
             summaries.daily_summary_by_product_category(transactions, products, joins.left_join_sort_merge)),
         "daily_by_fact": lambda: run_fully(summaries.daily_summary_by_fact_category(transactions)),
         "daily_summary_partitioned": daily_partitioned,
+        "daily_summary_by_month": daily_by_month,
+        "daily_from_partials": lambda: run_fully(incremental.merged(incremental.DAILY, partials)),
         "fct_daily_revenue": lambda: run_fully(marts.fct_daily_revenue(cleaned)),
         "dim_customers": lambda: run_fully(marts.dim_customers(customers, cleaned)),
         "time_travel_count": lambda: run_fully(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,18 @@ def batch_or_fallback(rows: DataFrame, in_batch: Column) -> DataFrame:
     chosen = F.coalesce(in_batch, F.lit(False))
     present = rows.select(chosen.alias("chosen")).agg(F.coalesce(F.bool_or("chosen"), F.lit(False)))
     return rows.where(chosen | ~present.scalar())
+
+
+def sample_per_group(df: DataFrame, group: str, n: int, drawn: Column) -> DataFrame:
+    """Exactly ``n`` rows of every group, or all of a smaller one: those with the smallest ``drawn``.
+
+    ``drawn`` is a draw from the row's own key, so the sample is the same under any partitioning, and a
+    larger ``n`` adds rows to it. Ties go by all columns. Each task keeps its ``n`` best rows of a group
+    before the shuffle, so a group that holds much of the table sends no more than others.
+    """
+    draw, place = "sample_draw", "sample_place"
+    order = Window.partitionBy(group).orderBy(draw, *[F.col(f"`{c}`") for c in df.columns])
+    return (
+        df.withColumn(draw, drawn).withColumn(place, F.row_number().over(order))
+        .where(F.col(place) <= n).drop(draw, place)
+    )

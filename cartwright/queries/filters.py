@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwright.functions import calendar, cleaning, draws
+from cartwright.operators import sampling
 from cartwright.queries.base import store_query
 from cartwright.queries.canonical import over_store
 from cartwright.queries.generated import below_sql, draw_sql
@@ -87,3 +88,14 @@ def filter_random_share(store):
 @store_query("filter_not_in_list", "F10", kept("upper(trim(currency)) NOT IN ('AFRICA', 'ASIA')"))
 def filter_not_in_list(store):
     return store.transactions.where(~cleaning.code(F.col("currency")).isin("AFRICA", "ASIA"))
+
+
+@store_query("sample_per_category", "F9 O7", over_store(
+    "SELECT transaction_id, customer_id, product_id, category, amount FROM transactions QUALIFY row_number() OVER ("
+    f"PARTITION BY category ORDER BY {draw_sql('per category', 'customer_id * 1000003 + product_id', 0)},"
+    " transaction_id NULLS FIRST, customer_id, product_id, amount NULLS FIRST) <= 100"))
+def sample_per_category(store):
+    """A hundred sales of every category, the same ones on every run."""
+    rows = store.transactions.select("transaction_id", "customer_id", "product_id", "category", "amount")
+    drawn = draws.draw("per category", F.col("customer_id") * 1000003 + F.col("product_id"))
+    return sampling.sample_per_group(rows, "category", 100, drawn)

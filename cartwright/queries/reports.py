@@ -39,12 +39,13 @@ DAILY_BY_PRODUCT_CATEGORY = over_store(
     " FROM transactions t LEFT JOIN products p ON t.product_id = p.product_id"
     " WHERE t.transaction_id IS NOT NULL AND t.amount > 0 GROUP BY 1, 2"
 )
-DAILY_BY_FACT_CATEGORY = over_store(
+DAILY_BY_FACT_CATEGORY_ROWS = (
     f"SELECT CAST(t.txn_timestamp AS DATE) AS sale_date, t.category, {money()} AS total_revenue,"
     " COUNT(t.transaction_id) AS tx_count"
     " FROM transactions t LEFT JOIN products p ON t.product_id = p.product_id"
     " WHERE t.transaction_id IS NOT NULL AND t.amount > 0 GROUP BY 1, 2"
 )
+DAILY_BY_FACT_CATEGORY = over_store(DAILY_BY_FACT_CATEGORY_ROWS)
 FCT_DAILY_REVENUE = over_store(
     "SELECT txn_date AS sale_date, category, country_code, COUNT(transaction_id) AS order_count,"
     f" {rounded_money()} AS gross_revenue FROM stg_transactions GROUP BY 1, 2, 3"
@@ -155,6 +156,33 @@ def daily_summary_partitioned(spark, sf_dir):
     return spark.read.parquet(prepared(spark, sf_dir, "daily_summary", build))
 
 
+def daily_by_month(spark, sf_dir):
+    def build(folder):
+        summary = summaries.daily_summary_by_fact_category(tables(spark, sf_dir).transactions)
+        return summaries.write_daily_summary_by_month(summary, folder)
+
+    return spark.read.parquet(prepared(spark, sf_dir, "daily_by_month", build))
+
+
+@query("daily_summary_by_month", "Q6 K6", DAILY_BY_FACT_CATEGORY)
+def daily_summary_by_month(spark, sf_dir):
+    """Stored by month, the days in order inside."""
+    return daily_by_month(spark, sf_dir).drop("sale_month")
+
+
+@query("daily_summary_of_chosen_days", "Q6 K6 F10", over_store(
+    "SELECT * FROM daily WHERE sale_date IN (SELECT CAST(o_orderdate AS DATE) FROM orders"
+    " WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')",
+    daily=DAILY_BY_FACT_CATEGORY_ROWS))
+def daily_summary_of_chosen_days(spark, sf_dir):
+    """The days of urgent orders of one year: which months are read is found at run time."""
+    day = F.col("o_orderdate")
+    urgent = (F.col("o_orderpriority") == "1-URGENT") & (day >= F.lit("1997-01-01").cast("timestamp_ntz")) & (
+        day < F.lit("1998-01-01").cast("timestamp_ntz"))
+    days = store_table(spark, sf_dir, "orders").where(urgent).select(F.to_date(day).alias("sale_date"))
+    return summaries.summary_of_days(daily_by_month(spark, sf_dir), days)
+
+
 DISCOUNTED_REVENUE = """
 SELECT l_returnflag, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))
                           AS DOUBLE) AS revenue
@@ -194,7 +222,7 @@ def written_formats(spark, sf_dir):
     def build(folder):
         # From a stored copy, so that the timings are of the writes and not of the store's joins.
         stored = stored_transactions(spark, sf_dir).withColumnRenamed("txn_timestamp", "timestamp")
-        return folder, storage.write_formats(stored, folder)
+        return folder, storage.write_formats_counted(stored, folder)
 
     return prepared(spark, sf_dir, "formats", build)
 
@@ -208,6 +236,17 @@ def storage_format_rows(spark, sf_dir):
     return storage.format_row_counts(spark, folder, schemas.TRANSACTIONS)
 
 
+@query("storage_format_counts", "Q18 K13", over_store("""
+SELECT 'csv' AS format, COUNT(*) AS row_count, CAST(NULL AS BOOLEAN) AS smaller_than_csv FROM transactions
+UNION ALL SELECT 'parquet_zstd', COUNT(*), TRUE FROM transactions
+UNION ALL SELECT 'parquet_snappy', COUNT(*), TRUE FROM transactions"""))
+def storage_format_counts(spark, sf_dir):
+    """The format report: rows as the writes counted them, and whether a format takes less room than CSV."""
+    folder, runs = written_formats(spark, sf_dir)
+    report = storage.counted_format_report(spark, folder, runs)
+    return report.select("format", "row_count", (F.col("size_reduction_pct") > 0).alias("smaller_than_csv"))
+
+
 @query("convert_csv_to_columnar", "Q19 S4 K2 A12", over_store("""
 SELECT 'transactions' AS table_name, COUNT(*) AS row_count FROM transactions
 UNION ALL SELECT 'customers', COUNT(*) FROM customers
@@ -231,3 +270,17 @@ SELECT 'transactions' AS table_name, COUNT(*) AS row_count FROM transactions
 UNION ALL SELECT 'customers', COUNT(*) FROM customers"""))
 def load_raw_tables(spark, sf_dir):
     return storage.table_counts(spark, raw_tables(spark, sf_dir))
+
+
+@query("load_raw_tables_counted", "Q21 K7 K13", over_store("""
+SELECT 'transactions' AS table_name, COUNT(*) AS row_count FROM transactions
+UNION ALL SELECT 'customers', COUNT(*) FROM customers"""))
+def load_raw_tables_counted(spark, sf_dir):
+    """The same from what the loads counted; the tables are not read."""
+    def build(folder):
+        store = tables(spark, sf_dir)
+        raw = {"transactions": store.transactions, "customers": store.customers}
+        return storage.load_raw_tables_counted(raw, folder, suffix=f"_counted_{source_id(sf_dir)}")[1]
+
+    counts = prepared(spark, sf_dir, "raw_tables_counted", build)
+    return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cartwright.operators import quality, sampling
-from cartwright.plans import exploration, staging
+from cartwright.operators import key_index, quality, sampling
+from cartwright.plans import exploration, history, staging
 from cartwright.queries.base import (
+    history_table,
+    prepared,
     query,
     seed_csv,
     store_query,
     stored_transactions,
+    table_name,
     transactions_parquet,
 )
 from cartwright.queries.canonical import money, over_store
 from cartwright.queries.reports import CATEGORY, COUNTRY
+from cartwright.queries.versions import BATCHES
 from cartwright.sources import readers, schemas
 
 # The test tables' own code lists: every region but one, every nation.
@@ -198,3 +202,28 @@ def completed_share(store):
     "SELECT *, COUNT(*) AS copies FROM transactions GROUP BY ALL HAVING COUNT(*) > 1"))
 def duplicated_rows(store):
     return quality.duplicated_rows(store.transactions)
+
+
+REPEATED = "SELECT * FROM m4 UNION ALL SELECT * FROM m3 WHERE customer_id % 50 = 0"
+
+
+@query("unique_in_new_batch", "D1 D9", over_store(
+    "SELECT n.value, n.copies, COALESCE(e.copies, 0) AS earlier_copies FROM n LEFT JOIN e USING (value)"
+    " WHERE n.copies > 1 OR e.copies > 0",
+    **BATCHES, loaded=REPEATED,
+    n="SELECT transaction_id AS value, COUNT(*) AS copies FROM loaded WHERE transaction_id IS NOT NULL GROUP BY 1",
+    e="SELECT transaction_id AS value, CAST(COUNT(*) AS BIGINT) AS copies FROM"
+      " (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3) GROUP BY 1"))
+def unique_in_new_batch(spark, sf_dir):
+    """April's batch, with some of March's sales again, against an index of the ids of earlier batches."""
+    source = history_table(spark, sf_dir)
+
+    def build(folder):
+        name = key_index.create_index(spark, table_name(spark, sf_dir, "sale_ids"), folder, "transaction_id")
+        for number in (1, 2, 3):
+            key_index.add_batch(spark, name, history.in_batch(source, number), number)
+        return name
+
+    again = history.in_batch(source, 3).where(F.col("customer_id") % 50 == 0)
+    batch = history.in_batch(source, 4).unionByName(again)
+    return key_index.violations(spark, prepared(spark, sf_dir, "sale_ids", build), batch, 4)

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cartwright.functions import calendar
-from cartwright.operators import sinks
+from cartwright.operators import layout, sinks
 from cartwright.plans import marts, staging
-from cartwright.queries.base import prepared, query, source_id, tables, transactions_parquet
+from cartwright.queries.base import (
+    prepared,
+    query,
+    source_id,
+    stored_transactions,
+    tables,
+    transactions_parquet,
+)
 from cartwright.queries.canonical import over_store
 from cartwright.queries.reports import DIM_CUSTOMERS
 from cartwright.sources import readers, schemas
@@ -105,3 +112,17 @@ def materialise_mart_table(spark, sf_dir):
         return sinks.create_table_as(mart, f"dim_customers_{source_id(sf_dir)}", folder)
 
     return spark.table(prepared(spark, sf_dir, "dim_customers", build))
+
+
+FILTERED = over_store(
+    "SELECT transaction_id, amount, country_code FROM transactions"
+    " WHERE category = '1-URGENT' AND country_code = 'nation_3 ' AND amount > 50000")
+
+
+@query("z_ordered_filter", "K3 F1 F2 Q3", FILTERED)
+def z_ordered_filter(spark, sf_dir):
+    """Rows by two codes and an amount, from files along a curve through the three."""
+    path = prepared(spark, sf_dir, "z_ordered", lambda folder: layout.write_z_ordered(
+        stored_transactions(spark, sf_dir), folder, ["category", "country_code"], ["amount"]))
+    wanted = (F.col("category") == "1-URGENT") & (F.col("country_code") == "nation_3 ") & (F.col("amount") > 50000)
+    return spark.read.parquet(path).where(wanted).select("transaction_id", "amount", "country_code")

@@ -89,3 +89,38 @@ def seed_transactions(spark: SparkSession, path: str) -> DataFrame:
         .withColumnRenamed("timestamp", "txn_timestamp")
         .withColumn("txn_timestamp", F.col("txn_timestamp").cast("timestamp_ntz"))
     )
+
+
+#: Wider of two types, for those that Parquet files can be read as without rewriting them.
+_WIDER = {
+    ("int", "bigint"): "bigint", ("float", "double"): "double", ("int", "double"): "double",
+    ("date", "timestamp_ntz"): "timestamp_ntz", ("smallint", "int"): "int", ("smallint", "bigint"): "bigint",
+    ("tinyint", "int"): "int", ("tinyint", "bigint"): "bigint", ("tinyint", "smallint"): "smallint",
+}
+
+
+def merged_schema(schemas: list[StructType]) -> StructType:
+    """Every column of any of the schemas, in the order of first sight, with the widest of its types.
+
+    Names are compared without case. Types without a common one are an error that names the column.
+    """
+    found: dict[str, StructField] = {}
+    for field in (f for schema in schemas for f in schema.fields):
+        held = found.setdefault(field.name.lower(), StructField(field.name, field.dataType, True))
+        pair = (held.dataType.simpleString(), field.dataType.simpleString())
+        wide = pair[0] if pair[0] == pair[1] else _WIDER.get(pair) or _WIDER.get(pair[::-1])
+        if wide is None:
+            raise ValueError(f"column {field.name} is both {pair[0]} and {pair[1]}")
+        if wide == pair[1]:
+            found[field.name.lower()] = StructField(held.name, field.dataType, True)
+    return StructType(list(found.values()))
+
+
+def read_mixed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Parquet folders written at different times with different columns, as one table without a catalog.
+
+    Columns that a folder lacks are NULL there, narrower numbers are widened while they are read. One
+    footer of each folder tells its schema; files of one folder are taken to be alike.
+    """
+    schema = merged_schema([spark.read.parquet(path).schema for path in paths])
+    return spark.read.schema(schema).parquet(*paths)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,18 @@ def unpacked(rows: DataFrame, columns: list[str], added: list[str]) -> DataFrame
     new = {a.lower() for a in added}
     own = [F.col("text") if c.lower() == "text" else F.col("rest")[c].alias(c) for c in columns if c.lower() not in new]
     return rows.select(*own, *added)
+
+
+_worker_tables: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What a Python worker keeps from task to task for one operator.
+
+    Spark uses its workers for one operator after another. Whoever asks here first drops the tables of the
+    others, so a worker holds those of one operator at a time.
+    """
+    if _worker_tables.keys() - {owner}:
+        _worker_tables.clear()
+        pa.default_memory_pool().release_unused()
+    return _worker_tables.setdefault(owner, {})

@@ -1,8 +1,9 @@
 """Words of UTF-8 texts and hashes of words and word windows, as numpy arrays.
 
-A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Hashes are 64 bits: a polynomial over the
-bytes modulo 2**64, then mixed. Texts are taken in chunks of about a megabyte, longer ones whole with
-their hashing cut in slices, so memory is a small multiple of the longest text.
+A word is a run of bytes outside ``[\\x20\\x09-\\x0D]``. Its hash is the sum of a 64-bit mix of every byte
+with its place in the word, mixed again; there is no polynomial whose roots some words could share. Texts
+are taken in chunks of about a megabyte, longer ones whole with their hashing cut in slices, so memory is a
+small multiple of the longest text.
 """
 
 from __future__ import annotations
@@ -20,17 +21,8 @@ SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 _U = np.uint64
 _IN_WORD = np.ones(256, bool)
 _IN_WORD[list(SEPARATORS)] = False
-_BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64)
-
-
-def _powers(base: int) -> np.ndarray:
-    factors = np.full(SLICE + 1, base, _U)
-    factors[0] = 1
-    return np.cumprod(factors, dtype=_U)
-
-
-_POWERS, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 2**64))
+_PLACE = _U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,35 +71,22 @@ def word_spans(
 
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    out = np.empty(len(starts), _U)
+    out = np.zeros(len(starts), _U)
     low = 0
     while low < len(starts):
         base = starts[low]
-        high = int(np.searchsorted(ends, base + SLICE, "right"))
-        if high <= low:
-            out[low] = _hash_long(data[base : ends[low]])
-            low += 1
-            continue
-        part = _BYTES[data[base : ends[high - 1]]]
-        part *= _POWERS[: len(part)]
-        sums = np.zeros(len(part) + 1, _U)
-        np.cumsum(part, out=sums[1:])
-        at = starts[low:high] - base
-        out[low:high] = (sums[ends[low:high] - base] - sums[at]) * _INVERSE[at]
+        high = max(low + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        for at in range(base, ends[high - 1], SLICE):  # several slices only for a longer word
+            part = data[at : min(at + SLICE, ends[high - 1])]
+            inner = np.clip(starts[low:high] - at, 0, len(part))
+            place = np.arange(at, at + len(part)) - np.repeat(starts[low:high], np.diff(inner, append=len(part)))
+            sums = np.zeros(len(part) + 1, _U)
+            np.cumsum(mix(_BYTES[part] + place.astype(_U) * _PLACE), out=sums[1:])
+            out[low:high] += sums[np.clip(ends[low:high] - at, 0, len(part))] - sums[inner]
         low = high
     return mix(out)
 
 
-def _hash_long(word: np.ndarray) -> int:
-    """The same polynomial for a word longer than a slice."""
-    total, power = 0, 1
-    for at in range(0, len(word), SLICE):
-        part = _BYTES[word[at : at + SLICE]]
-        total += power * int((part * _POWERS[: len(part)]).sum(dtype=_U))
-        power = power * int(_POWERS[SLICE]) % 2**64
-    return total % 2**64
-
-
 def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
     """Hash of each run of ``length`` words, from hashes of runs of 1, 2, 4, ... words."""
     if len(words) < length:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
-from cartwright.llm.common import row_key
+from cartwright.llm.common import row_key, worker_tables
 from cartwright.llm.hashing import mix
 
 SPACE = "▁"
@@ -34,8 +34,6 @@ SHORT_PART, SIDE_BY_SIDE = 48, 200_000
 NONE = -(1 << 30)
 CHUNK_CHARS = 1 << 18
 
-_vocabularies: dict[str, Vocabulary] = {}
-
 
 def _keyed(key: int | np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
     """53-bit hash of a candidate merge: the key, where its left symbol starts, the piece it would make."""
@@ -285,10 +283,10 @@ class Vocabulary:
 
 def vocabulary(path: str, *setting) -> Vocabulary:
     """The worker's vocabulary; parts are looked up per ``setting``."""
-    key = f"{path} {setting}"
-    if key not in _vocabularies:
-        _vocabularies[key] = Vocabulary(path)
-    return _vocabularies[key]
+    key, vocabularies = f"{path} {setting}", worker_tables("pieces")
+    if key not in vocabularies:
+        vocabularies[key] = Vocabulary(path)
+    return vocabularies[key]
 
 
 def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):

@@ -4,7 +4,7 @@ Only windows that repeat at half the length are extended to the whole length. At
 window is looked at only where it has the smallest hash of all half-length windows inside some
 whole window: every whole window holds such an anchor, and equal windows hold it at the same place,
 so no repeat is lost while about a sixth of the positions are counted. A whole window then travels
-with its anchor, identified by 112 bits (its anchor's hash and its own).
+with its anchor, identified by 128 bits (its anchor's hash and its own).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from cartwright.llm.common import packed, stored, unpacked
 #: Occurrences of one anchor that are compared in one task; more are dealt over salts first.
 GROUP_ROWS = 20_000
 #: Bytes of a whole window's hash; it is compared only with windows of the same anchor.
-WINDOW_BYTES = 6
+WINDOW_BYTES = 8
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -261,6 +261,26 @@ def remove_repeats(docs: DataFrame, length: int = 20, group_rows: int = GROUP_RO
     before the shuffle, the join's hot keys can be split, and an anchor with more than ``group_rows``
     occurrences is compared in salts of that size before its first windows meet.
     """
+    return unpacked(_judged(docs, length, group_rows), docs.columns, ["n_words", "n_removed", "kept_text"])
+
+
+def without_repeats(docs: DataFrame, length: int = 20, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``docs`` with such words taken out of their texts; every other column is as it was, whatever its name.
+
+    A text that loses nothing stays as it is, null included; one that loses words has its others joined by
+    one space, and n_chars, if there is such a column, says its new length. An empty table stays empty.
+    """
+    judged, changed = _judged(docs, length, group_rows), F.col("n_removed") > 0
+    new = {
+        "text": lambda own: F.when(changed, F.col("kept_text")).otherwise(own),
+        "n_chars": lambda own: F.when(changed, F.length("kept_text").cast("long")).otherwise(own),
+    }
+    own = {c: F.col("text") if c.lower() == "text" else F.col("rest")[c] for c in docs.columns}
+    return judged.select(*[new.get(c.lower(), lambda own: own)(value).alias(c) for c, value in own.items()])
+
+
+def _judged(docs: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """rest and text as in ``packed``, n_words, n_removed and kept_text."""
     if not 4 <= length <= 120:
         raise ValueError("length must be from 4 to 120 words")
     keyed = packed(docs)
@@ -289,5 +309,4 @@ def remove_repeats(docs: DataFrame, length: int = 20, group_rows: int = GROUP_RO
     schema = StructType([keyed.schema["rest"], keyed.schema["text"]])
     for name, kind in (("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")):
         schema = schema.add(name, kind)
-    out = keyed.join(marks, "id", "left").select("rest", "text", "marks").mapInArrow(_removed(length), schema)
-    return unpacked(out, docs.columns, ["n_words", "n_removed", "kept_text"])
+    return keyed.join(marks, "id", "left").select("rest", "text", "marks").mapInArrow(_removed(length), schema)

@@ -1,8 +1,10 @@
 """Token ids of whole texts from a public vocabulary file, by the ``tokenizers`` library.
 
 The byte-level pre-tokenizer always starts a new token at a single space between two characters that
-are not white space, so a text may be cut there: such units are encoded once, by the library, and
-looked up from then on. The table of units is bounded and only saves time.
+are not white space, so a text may be cut there: such units are encoded by the library and looked up from
+then on. The table of units only saves time. It has two generations: a unit that is looked up in the older
+one moves to the younger, which becomes the older when it is full. So units that come again stay, others
+go, and neither the number of units nor a worker's memory grows with the text.
 """
 
 from __future__ import annotations
@@ -13,15 +15,17 @@ import re
 import struct
 from collections.abc import Callable, Iterator
 
+from cartwright.llm.common import worker_tables
+
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
-UNITS = 700_000
+#: Units of a generation.
+UNITS = 250_000
 LONG_UNIT = 48
+#: Bytes of UTF-8 that are encoded at a time.
 BATCH_BYTES = 1 << 20
 PIECE_CHARS = 1 << 18
 
-_encoders: dict[tuple[str, str], UnitEncoder] = {}
-
 
 def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[tuple[bool, str]]:
     """``text`` cut at safe spaces about every ``limit`` characters, as (follows a space, piece).
@@ -51,42 +55,47 @@ class UnitEncoder:
         if made["normalizer"] or (made["pre_tokenizer"] or {}).get("type") != "ByteLevel":
             raise ValueError(f"{path} is not a plain byte-level vocabulary")
         self.value = value
-        self.first: dict = {}
-        self.spaced: dict = {}
-
-    def _learn(self, table: dict, units: set[str], prefix: str) -> list[str]:
-        """Adds missing units; returns those to be dropped after use: long ones, or all if full."""
-        full = len(table) >= UNITS
-        new = list(units)
+        #: Younger and older units, with a space before them or at the start of a text.
+        self.units: dict[str, list[dict]] = {" ": [{}, {}], "": [{}, {}]}
+
+    def _learn(self, prefix: str, units: set[str]) -> list[str]:
+        """Brings units to the younger generation; returns long ones, which are to be dropped after use."""
+        young, old = self.units[prefix]
+        held = units & old.keys()
+        young.update({u: old[u] for u in held})
+        new = list(units - held)
         encoded = self.tokenizer.encode_batch_fast(
             [prefix + u for u in new] if prefix else new, add_special_tokens=False
         )
-        table.update(zip(new, map(self.value, encoded), strict=True))
-        return new if full else [u for u in new if len(u) > LONG_UNIT]
+        young.update(zip(new, map(self.value, encoded), strict=True))
+        return [u for u in new if len(u) > LONG_UNIT]
 
     def batch(self, pieces: list[tuple[bool, str]]) -> Iterator[list]:
         """The values of each piece's units."""
+        spaced, first = self.units[" "][0], self.units[""][0]
         found, firsts, missing = [], set(), set()
-        for spaced, piece in pieces:
+        for is_spaced, piece in pieces:
             units = _units(piece)
-            head = None if spaced else units.pop(0)
-            if head is not None and head not in self.first:
+            head = None if is_spaced else units.pop(0)
+            if head is not None and head not in first:
                 firsts.add(head)
-            values = list(map(self.spaced.get, units))
+            values = list(map(spaced.get, units))
             if None in values:
                 missing.update(u for u, v in zip(units, values, strict=True) if v is None)
                 found.append((head, units, None))
             else:
                 found.append((head, units, values))
-        drop_first, drop_spaced = self._learn(self.first, firsts, ""), self._learn(self.spaced, missing, " ")
+        long_first, long_spaced = self._learn("", firsts), self._learn(" ", missing)
         for head, units, values in found:
             if values is None:
-                values = list(map(self.spaced.__getitem__, units))
-            yield values if head is None else [self.first[head], *values]
-        for u in drop_first:
-            del self.first[u]
-        for u in drop_spaced:
-            del self.spaced[u]
+                values = list(map(spaced.__getitem__, units))
+            yield values if head is None else [first[head], *values]
+        for young, long in ((first, long_first), (spaced, long_spaced)):
+            for u in long:
+                del young[u]
+        for prefix, (young, _) in self.units.items():
+            if len(young) >= UNITS:
+                self.units[prefix] = [{}, young]
 
     def texts(self, texts: Iterator[str | None]) -> Iterator[list]:
         """For each text its pieces' value lists, encoded in batches of about a megabyte."""
@@ -103,7 +112,7 @@ class UnitEncoder:
             pieces = 0
             for piece in safe_pieces(text or ""):
                 waiting.append(piece)
-                size += len(piece[1])
+                size += len(piece[1]) if piece[1].isascii() else len(piece[1].encode("utf-8", "surrogatepass"))
                 pieces += 1
                 if size >= BATCH_BYTES:
                     flush()
@@ -131,6 +140,7 @@ def _packed(encoding) -> bytes:
 
 def encoder(path: str, what: str) -> UnitEncoder:
     """The worker's encoder; ``what`` is ``lengths`` or ``ids`` (little-endian unsigned 32 bits)."""
-    if (path, what) not in _encoders:
-        _encoders[path, what] = UnitEncoder(path, {"lengths": len, "ids": _packed}[what])
-    return _encoders[path, what]
+    encoders = worker_tables("tokens")
+    if (path, what) not in encoders:
+        encoders[path, what] = UnitEncoder(path, {"lengths": len, "ids": _packed}[what])
+    return encoders[path, what]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartwright.llm import hashing
-from cartwright.llm.common import stored
+from cartwright.llm.common import stored, worker_tables
 
 #: Most labelled rows that are trained on (about; they are drawn by hash of doc_id, half of them toxic
 #: ones or as many as there are).
@@ -31,6 +31,8 @@ LEAST_RATIO = 0.3
 PRIOR = 10.0
 STEPS = 60
 RIDGE = 1.0
+#: Entries of the training rows that are summed at a time.
+BLOCK = 1 << 20
 _U = np.uint64
 
 #: Words by which a row labelled toxic is given the categories before the last.
@@ -150,11 +152,20 @@ def fit(
     balance = np.sqrt(weight[truth == 0].sum() / weight[truth > 0].sum())
     importance = np.where(truth > 0, max(balance, 1.0), max(1 / balance, 1.0)) * weight / weight.sum()
 
+    blocks = [slice(a, a + BLOCK) for a in range(0, len(row), BLOCK)]
+
+    def summed(groups: np.ndarray, values: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Sums of ``values[at]`` by group, a block of entries at a time."""
+        total = np.zeros(size)
+        for block in blocks:
+            total += np.bincount(groups[block], values[at[block]], size)
+        return total
+
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, (w[:width] * scale)[column], rows) + dense @ w[width:-1] + w[-1]
+        z = summed(row, w[:width] * scale, column, rows) + dense @ w[width:-1] + w[-1]
         chance = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         error = (chance - truth) * importance
-        slope = np.concatenate((np.bincount(column, error[row], width) * scale, dense.T @ error, [error.sum()]))
+        slope = np.concatenate((summed(column, error, row, width) * scale, dense.T @ error, [error.sum()]))
         slope[:-1] += RIDGE / rows * w[:-1]
         cost = (importance * (np.logaddexp(0, z) - truth * z)).sum()
         return cost + RIDGE / rows / 2 * (w[:-1] @ w[:-1]), slope
@@ -203,11 +214,14 @@ def _trainer(category: str, earlier: int):
     """Per group ``model``: a model of all rows but its fold; the last group's has seen all rows."""
 
     def train(table: pa.Table) -> pa.Table:
+        worker_tables("toxicity")
         number = table["model"][0].as_py()
-        table = table.sort_by("row")
-        lists = table["features"].combine_chunks()
+        order = np.argsort(table["row"].to_numpy())
+        lists = table["features"].take(pa.array(order)).combine_chunks()
+        table = table.drop_columns("features").take(pa.array(order))
         first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy()))).astype(np.int64)
         feature = lists.flatten().to_numpy()
+        del lists
         dense = np.stack([table[f"logit{i}"].to_numpy() for i in range(earlier)], 1) if earlier else np.zeros((len(table), 0))
         truth, fold = table[category].to_numpy().astype(float), table["fold"].to_numpy()
         seen = fold != number
@@ -305,12 +319,16 @@ def _best_threshold(
     return float(1 / (1 + np.exp(-(logit[best] + logit[best + 1]) / 2)))
 
 
-def _scorer(chain):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chances(chain):
+    """A column function: the categories' probabilities of a text, null like empty."""
+
+    @F.arrow_udf("array<double>")
+    def chances(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_tables("toxicity")
         models = chain.value.models
-        for batch in batches:
-            parts = []
-            for low, high, data, bounds in hashing.text_chunks(batch["text"]):
+        for texts in batches:
+            parts = [np.zeros((0, len(models)))]
+            for low, high, data, bounds in hashing.text_chunks(texts):
                 doc, feature = features(data, bounds)
                 first = np.searchsorted(doc, np.arange(high - low + 1))
                 logits = np.zeros((high - low, 0))
@@ -318,14 +336,11 @@ def _scorer(chain):
                     more = model.logits(first, feature, logits)
                     logits = np.concatenate((logits, more[:, None]), 1)
                 parts.append(logits)
-            logits = np.concatenate(parts) if parts else np.zeros((0, len(models)))
-            chance = 1 / (1 + np.exp(-np.clip(logits, -700, 700)))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc"], *[pa.array(c) for c in chance.T]],
-                names=["doc", *[f"p_{c}" for c in chain.value.categories]],
-            )
+            chance = 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -700, 700)))
+            ends = np.arange(0, chance.size + 1, len(models), dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(ends), pa.array(chance.reshape(-1)))
 
-    return score
+    return chances
 
 
 def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...]) -> DataFrame:
@@ -334,22 +349,15 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...]) ->
     A null text is scored like an empty one. Without a chain (no labelled rows) the probabilities are 0
     and nothing is rejected. Equal texts get equal scores. Columns of ``docs`` with these names are
     replaced; an empty table gives an empty one. There is no shuffle; the chain, of a fixed size, is
-    broadcast.
+    broadcast, and only texts go to Python.
     """
     added = [f"p_{c}" for c in categories]
-    own = [c for c in docs.columns if c.lower() not in {*added, "rejected"}]
-    doc = F.struct(*[F.col(f"`{c}`") for c in own]).alias("doc")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*added, "rejected"}]
     if chain is None:
-        return docs.select(
-            *[F.col(f"`{c}`") for c in own], *[F.lit(0.0).alias(a) for a in added], F.lit(False).alias("rejected")
-        )
-    packed = docs.select("text", doc)
-    schema = packed.select("doc").schema
-    for a in added:
-        schema = schema.add(a, "double")
-    held = docs.sparkSession.sparkContext.broadcast(chain)
-    return packed.mapInArrow(_scorer(held), schema).select(
-        *[F.col("doc")[c].alias(c) for c in own], *added, (F.col(added[-1]) >= chain.threshold).alias("rejected")
+        return docs.select(*own, *[F.lit(0.0).alias(a) for a in added], F.lit(False).alias("rejected"))
+    held = _chances(docs.sparkSession.sparkContext.broadcast(chain))(F.col("text"))
+    return docs.select(
+        *own, *[held[n].alias(a) for n, a in enumerate(added)], (held[len(added) - 1] >= chain.threshold).alias("rejected")
     )
 
 
@@ -360,3 +368,15 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROW
     """``docs`` scored by a chain for insult, contempt and toxic that is learned from ``labels``."""
     chain = fit_chain(labelled(docs, labels, rows), CATEGORIES)
     return score(docs, chain, CATEGORIES)
+
+
+def without_toxic_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """The rows of ``docs`` that such a chain doesn't reject, all columns as they are, whatever their names.
+
+    Without labelled rows every row stays; a null text is judged like an empty one; an empty table stays empty.
+    """
+    chain = fit_chain(labelled(docs, labels, rows), CATEGORIES)
+    if chain is None:
+        return docs
+    held = _chances(docs.sparkSession.sparkContext.broadcast(chain))(F.col("text"))
+    return docs.filter(held[len(CATEGORIES) - 1] < chain.threshold)

@@ -62,6 +62,33 @@ def test_repeats_in_odd_rows(odd, odd_rows, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_that_share_polynomial_roots_differ(spark, size):
+    """Thue-Morse words over two letters collide under every polynomial hash with an odd base modulo 2**64."""
+    head = " ".join(f"w{i}" for i in range(19))
+    a, b = thue_morse(size, "ab"), thue_morse(size, "ba")
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    starts, ends, _ = hashing.word_spans(data, np.array([0, len(data)]))
+    assert len(set(hashing.hash_words(data, starts, ends).tolist())) == 2
+    df = spark.createDataFrame([(1, f"{head} {a}"), (2, f"{head} {b}"), (3, f"{head} {b}")], "doc_id long, text string")
+    out = substring_dedup.remove_repeats(df).collect()
+    assert {r.doc_id: r.n_removed for r in out} == {1: 0, 2: 0, 3: 20}
+
+
+def test_own_columns_survive_the_removal(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, passage, 7, "own", 0.5), (2, passage + " tail", 7, "own", 0.5), (3, None, None, None, None), (4, "a b", 99, "x", 1.5)]
+    df = spark.createDataFrame(rows, "doc_id long, Text string, n_chars long, `n_removed` string, `a.b` double")
+    out = substring_dedup.without_repeats(df)
+    assert out.columns == df.columns
+    found = {r[0]: tuple(r) for r in out.collect()}
+    assert found == {1: rows[0], 2: (2, "tail", 4, "own", 0.5), 3: rows[2], 4: rows[3]}
+
+
 def test_words_and_hashes_of_slices():
     text = ("é" * 50 + " ") * 9000 + "z" * (3 * hashing.SLICE) + "\x0b q"
     data = np.frombuffer(text.encode(), np.uint8)

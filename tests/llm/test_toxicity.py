@@ -107,3 +107,71 @@ def test_rare_toxic_labels_are_drawn(spark, made_rows):
     assert rows[1] == toxic.count() and 0.85 < rows[0] / (100_000 + clean.count()) < 1.15
     scored = toxicity.toxic_documents(docs, labels, rows=1000).filter("doc_id BETWEEN 600 AND 899").collect()
     assert sum(r.rejected == (r.doc_id % 6 == 0) for r in scored) >= 290
+
+
+def test_documents_that_stay_keep_their_columns(spark, made_rows, plan_of):
+    docs = made_rows.selectExpr("doc_id", "text", "true AS rejected", "9.0D AS p_toxic", "'x' AS `a.b`")
+    labels = made_rows.select("doc_id", "toxic")
+    kept = toxicity.without_toxic_documents(docs, labels)
+    assert kept.columns == docs.columns
+    scored = toxicity.toxic_documents(docs.select("doc_id", "text"), labels)
+    stay = {r.doc_id for r in scored.collect() if not r.rejected}
+    found = kept.collect()
+    assert 0 < len(found) < docs.count() and {r.doc_id for r in found} == stay
+    assert {tuple(r)[2:] for r in found} == {(True, 9.0, "x")}
+    plan = plan_of(scored)
+    assert plan.count("ArrowEvalPython [") <= 1 and "chances" in plan
+
+
+def test_a_chain_of_two_equals_plain_logistic_fits(spark):
+    """Every fold's models fitted by plain gradient descent on dense inputs, the second on the first's unseen logits."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        a, b = rng.random() < 0.4, rng.random() < 0.5
+        words = ["alpha"] * (a and rng.random() < 0.9) + ["beta"] * (b and rng.random() < 0.9) + list(rng.choice(["x", "yy", "zzz"], 3))
+        rows.append((i, " ".join(words), int(a), int(a and b)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, first int, second int")
+    chain = toxicity.fit_chain(df, ("first", "second"))
+    seen = {r.doc_id: r.fold for r in df.selectExpr("doc_id", f"int(pmod(xxhash64(doc_id, 5), {toxicity.FOLDS})) AS fold").collect()}
+    fold = np.array([seen[i] for i, *_ in rows])
+    text = "".join(t for _, t, *_ in rows).encode()
+    bounds = np.concatenate(([0], np.cumsum([len(t) for _, t, *_ in rows])))
+    doc, feature = toxicity.features(np.frombuffer(text, np.uint8), bounds)
+    names, column = np.unique(feature, return_inverse=True)
+    whole = np.zeros((len(rows), len(names)))
+    whole[doc, column] = 1
+
+    def plain(x, dense, truth):
+        n, positive = len(truth), truth.sum()
+        share, hits, misses = truth.mean(), x.T @ truth, x.T @ (1 - truth)
+        ratio = np.log((hits + toxicity.PRIOR * share) / positive * (n - positive) / (misses + toxicity.PRIOR * (1 - share)))
+        ratio[(hits + misses < toxicity.LEAST_ROWS) | (np.abs(ratio) < toxicity.LEAST_RATIO)] = 0
+        inputs = np.concatenate((x[:, ratio != 0] * ratio[ratio != 0], dense, np.ones((n, 1))), 1)
+        balance = np.sqrt((n - positive) / positive)
+        weight = np.where(truth > 0, max(balance, 1), max(1 / balance, 1)) / n
+        ridge = np.full(inputs.shape[1], toxicity.RIDGE / n)
+        ridge[-1] = 0
+        w = np.zeros(inputs.shape[1])
+        for _ in range(60):  # Newton steps
+            chance = 1 / (1 + np.exp(-inputs @ w))
+            slope = inputs.T @ ((chance - truth) * weight) + ridge * w
+            curve = (inputs * (weight * chance * (1 - chance))[:, None]).T @ inputs + np.diag(ridge + 1e-12)
+            w -= np.linalg.solve(curve, slope)
+        full = np.zeros(len(names))
+        full[ratio != 0] = w[: (ratio != 0).sum()] * ratio[ratio != 0]
+        return full, w[(ratio != 0).sum() : -1], w[-1]
+
+    dense = np.zeros((len(rows), 0))
+    for n, at in enumerate((2, 3)):
+        truth = np.array([r[at] for r in rows], float)
+        full, own, constant = plain(whole, dense, truth)
+        logits = chain.models[n].logits(np.searchsorted(doc, np.arange(len(rows) + 1)), feature, dense)
+        expected = whole @ full + dense @ own + constant
+        assert np.abs(logits - expected).max() < 0.15 and np.corrcoef(logits, expected)[0, 1] > 0.999
+        unseen = np.zeros(len(rows))
+        for f in range(toxicity.FOLDS):
+            out = fold == f
+            a, b, c = plain(whole[~out], dense[~out], truth[~out])
+            unseen[out] = whole[out] @ a + dense[out] @ b + c
+        dense = np.concatenate((dense, unseen[:, None]), 1)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from cartwright.functions import calendar, cleaning
 from cartwright.operators import quality
+from cartwright.sources.generators import COUNTRIES
 
 # The codes a store accepts.
 CURRENCIES = ["USD", "EUR", "GBP", "JPY", "SGD"]
-COUNTRIES = ["US", "GB", "DE", "FR", "SG"]
 
 
 def stg_transactions(raw: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from cartwright.llm import exact_dedup, near_dedup, packing, substring_dedup, toxicity
 from cartwright.llm.common import stored, table
@@ -16,27 +15,37 @@ ORACLE_SQL = None
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the chain, learned from the labelled ones among them, doesn't reject."""
-    scored = toxicity.toxic_documents(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("NOT rejected").select(docs.columns)
+    """Documents that the chain, learned from the labelled ones among them, doesn't reject.
+
+    Columns stay as they are, whatever their names; a null text is judged like an empty one, rows are judged
+    one by one, and without labels or documents nothing is rejected.
+    """
+    return toxicity.without_toxic_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each text, that of the largest doc_id."""
+    """One whole row for each text, that of the largest doc_id, then of the largest other columns.
+
+    A null text equals an empty one, null doc_ids are the smallest; an empty table stays empty.
+    """
     return exact_dedup.without_duplicates(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each class of near duplicates, that of the smallest doc_id."""
+    """One document for each class of near duplicates, that of the smallest doc_id; columns stay as they are.
+
+    Texts without five words, null ones included, are alike only to copies of themselves.
+    """
     return near_dedup.without_near_duplicates(docs, threshold=0.8, size=5)
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without 20-word passages that occur earlier; texts that lose nothing stay as they are."""
-    kept = substring_dedup.remove_repeats(docs, length=20)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return kept.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    """Documents without 20-word passages that occur earlier; texts that lose nothing stay as they are.
+
+    So do all columns but text and n_chars, whatever their names. Rows without a doc_id come last; no row
+    goes, a text that is repeated whole becomes empty.
+    """
+    return substring_dedup.without_repeats(docs, length=20)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

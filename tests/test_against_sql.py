@@ -29,3 +29,15 @@ def test_entry_and_driver_contract(spark):
 
     assert driver.entry(spark).columns == ["category", "country_code", "total_revenue", "order_count"]
     assert set(driver.oracle_sql()) <= set(driver.queries())
+
+
+def test_the_other_queries_live_without_what_the_training_part_needs():
+    """In a process of its own, whose imports of that part or of its libraries fail."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    for blocked in ("cartwright.llm", "xxhash", "corpus_pipeline"):
+        code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(len(e.queries()))"
+        run = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=Path(__file__).parent.parent, capture_output=True, text=True)
+        assert run.returncode == 0 and int(run.stdout) >= len(QUERIES), run.stderr

@@ -20,7 +20,7 @@ from cartwright.llm.common import worker_tables
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 #: Units of a generation.
-UNITS = 250_000
+UNITS = 600_000
 LONG_UNIT = 48
 #: Bytes of UTF-8 that are encoded at a time.
 BATCH_BYTES = 1 << 20
@@ -80,15 +80,13 @@ class UnitEncoder:
             if head is not None and head not in first:
                 firsts.add(head)
             values = list(map(spaced.get, units))
-            if None in values:
-                missing.update(u for u, v in zip(units, values, strict=True) if v is None)
-                found.append((head, units, None))
-            else:
-                found.append((head, units, values))
+            unknown = [(i, units[i]) for i, v in enumerate(values) if v is None] if None in values else ()
+            missing.update(u for _, u in unknown)
+            found.append((head, values, unknown))
         long_first, long_spaced = self._learn("", firsts), self._learn(" ", missing)
-        for head, units, values in found:
-            if values is None:
-                values = list(map(spaced.__getitem__, units))
+        for head, values, unknown in found:
+            for i, unit in unknown:
+                values[i] = spaced[unit]
             yield values if head is None else [first[head], *values]
         for young, long in ((first, long_first), (spaced, long_spaced)):
             for u in long:

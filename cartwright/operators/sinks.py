@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.sources.readers import TIMESTAMP_FORMAT
@@ -28,6 +28,12 @@ def write_counted(df: DataFrame, write: Callable[[DataFrame], str]) -> tuple[str
     return write(watched), seen.get["rows"]
 
 
+def named_values(spark: SparkSession, values: dict, key: str, value: str, kind: str = "bigint") -> DataFrame:
+    """A row per entry of a small dict, as literals of the plan."""
+    rows = [F.struct(F.lit(k).alias(key), F.lit(v).cast(kind).alias(value)) for k, v in values.items()]
+    return spark.range(1).select(F.inline(F.array(*rows)))
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     """CSV with a header in every part file. Blanks around values are kept."""
     (

@@ -57,8 +57,8 @@ def write_formats(df: DataFrame, folder: str) -> dict[str, float | None]:
 def counted_format_report(spark: SparkSession, folder: str, runs: dict[str, FormatRun]) -> DataFrame:
     """``storage_format_report`` with the rows that each write counted."""
     report = storage_format_report(spark, folder, {name: run.seconds for name, run in runs.items()})
-    rows = [(name, run.rows) for name, run in runs.items()]
-    return report.join(F.broadcast(spark.createDataFrame(rows, "format string, row_count long")), "format")
+    rows = sinks.named_values(spark, {name: run.rows for name, run in runs.items()}, "format", "row_count")
+    return report.join(F.broadcast(rows), "format")
 
 
 def storage_format_report(spark: SparkSession, folder: str,
@@ -72,7 +72,7 @@ def storage_format_report(spark: SparkSession, folder: str,
     sizes = data_files.groupBy(name.alias("format")).agg(
         F.count("*").alias("files"), F.sum("bytes").alias("bytes")
     )
-    timings = spark.createDataFrame(list(seconds.items()), "format string, write_seconds double")
+    timings = sinks.named_values(spark, seconds, "format", "write_seconds", "double")
     base = sizes.where(F.col("format") == BASE_FORMAT).select(F.col("bytes").alias("base_bytes"))
     measured = timings.join(sizes, "format", "left").withColumn(
         "base_bytes", base.scalar()
@@ -146,7 +146,7 @@ def convert_csv_to_columnar(spark: SparkSession, csv_paths: dict[str, str], parq
         path = f"{parquet_folder}/{name}.parquet"
         rows = readers.read_csv(spark, csv_path, tables[name])
         _, counts[name] = sinks.write_counted(rows, lambda watched, path=path: sinks.write_parquet(watched, path))
-    return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
+    return sinks.named_values(spark, counts, "table_name", "row_count")
 
 
 def load_raw_tables(tables: dict[str, DataFrame], folder: str, prefix: str = "raw_",

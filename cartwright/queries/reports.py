@@ -283,4 +283,4 @@ def load_raw_tables_counted(spark, sf_dir):
         return storage.load_raw_tables_counted(raw, folder, suffix=f"_counted_{source_id(sf_dir)}")[1]
 
     counts = prepared(spark, sf_dir, "raw_tables_counted", build)
-    return spark.createDataFrame(list(counts.items()), "table_name string, row_count long")
+    return sinks.named_values(spark, counts, "table_name", "row_count")

@@ -140,8 +140,8 @@ UNION ALL SELECT 'malformed', CAST(COUNT_IF(l_quantity IN {BROKEN}) AS BIGINT) F
 def csv_line_counts(spark, sf_dir):
     """How many of each there were, counted while they were parted."""
     parted = parted_lines(spark, sf_dir)
-    counts = [("good", parted.good_rows), ("malformed", parted.malformed_rows)]
-    return spark.createDataFrame(counts, "part string, row_count long")
+    counts = {"good": parted.good_rows, "malformed": parted.malformed_rows}
+    return sinks.named_values(spark, counts, "part", "row_count")
 
 
 @query("scan_mixed_schemas", "S1 K10", """

@@ -1,22 +1,24 @@
 """SentencePiece encoding with seeded merge dropout, and decoding.
 
 A text is cut where no merge can reach across (before a run of spaces, around line ends, between
-characters that no piece holds next to each other); each part is merged by an agenda of candidate merges, best score first. A candidate that comes up is skipped if
-its hash, keyed by the seed, the row's id and the place in the text, falls below the dropout rate. The
-merges that a part goes through without dropout are looked up. Where none of them is dropped at a place,
-they hold there; only elsewhere the agenda is gone through again.
+characters that no piece holds next to each other); each part is merged by an agenda of candidate merges,
+best score first. A candidate that comes up is skipped if its hash, keyed by the seed, the row's id and the
+place in the text, falls below the dropout rate. The merges that a part goes through without dropout are
+looked up. Where none of them is dropped at a place, they hold there; only elsewhere the agenda is gone
+through again, for many parts side by side. Parts that come again stay in the tables, others go, so a
+worker's memory doesn't grow with the texts.
 """
 
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
@@ -26,13 +28,16 @@ from cartwright.llm.hashing import mix
 
 SPACE = "▁"
 PART = re.compile(r"\n| *[^ \n]+| +")
-#: Parts that are looked up.
-PARTS = 250_000
-#: Characters of a part that is looked up, and merged side by side with others; characters at once.
-SHORT_PART, SIDE_BY_SIDE = 48, 200_000
-#: No symbol.
-NONE = -(1 << 30)
+PART_END = re.compile(r"(?<=[^ \n])[ \n]")
+#: Parts of a generation that are looked up, and cut parts.
+PARTS, CUTS = 200_000, 50_000
+#: Characters of a part that is looked up, and merged side by side with others (at most 64); characters at once.
+SHORT_PART, SIDE_BY_SIDE = 48, 400_000
+#: No symbol; no candidate.
+NONE, NEVER = -(1 << 30), np.iinfo(np.int32).max
 CHUNK_CHARS = 1 << 18
+#: Texts that are decoded at a time.
+DECODED_ROWS = 256
 
 
 def _keyed(key: int | np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -41,6 +46,99 @@ def _keyed(key: int | np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.nd
     return mix(number + np.asarray(key, np.uint64)) >> np.uint64(11)
 
 
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs of ``sizes`` from ``starts``, one run after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+def _blobs(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    whole, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+class Numbers:
+    """From 64-bit keys to numbers, in a hash table that is probed for many keys at once; ``missing`` for others."""
+
+    EMPTY = np.iinfo(np.int64).min
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray, missing: int):
+        bits = max(4, (8 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, self.EMPTY)
+        self.numbers = np.full(1 << bits, missing, np.int32)
+        at, left = self._first(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] == self.EMPTY]
+            self.keys[at[free]] = keys[free]
+            placed = self.keys[at[left]] == keys[left]
+            self.numbers[at[left[placed]]] = numbers[left[placed]]
+            left = left[~placed]
+            at[left] = (at[left] + 1) & self.mask
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._first(keys)
+        held = self.keys[at]
+        others = np.flatnonzero((held != keys) & (held != self.EMPTY))
+        while len(others):
+            at[others] = (at[others] + 1) & self.mask
+            held = self.keys[at[others]]
+            others = others[(held != keys[others]) & (held != self.EMPTY)]
+        return self.numbers[at]
+
+
+class Runs:
+    """Parts by number, with the merges that each goes through without dropout and the ids it then has."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.parts: list[str] = []
+        self.merges, self.ids = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int32)
+        self.merge_ends, self.id_ends = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    def add(self, parts: list[str], merges: np.ndarray, sizes: np.ndarray, ids: np.ndarray, id_sizes: np.ndarray) -> None:
+        n = len(self.parts)
+        for values, ends, more, own in (("merges", "merge_ends", merges, sizes), ("ids", "id_ends", ids, id_sizes)):
+            used = int(getattr(self, ends)[n])
+            for name, at, new in ((values, used, more), (ends, n + 1, used + np.cumsum(own))):
+                held = getattr(self, name)
+                if at + len(new) > len(held):
+                    held = np.concatenate((held[:at], np.zeros(at + 2 * len(new), held.dtype)))
+                    setattr(self, name, held)
+                held[at : at + len(new)] = new
+        self.number.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.parts += parts
+
+    def merges_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.merge_ends[rows + 1] - self.merge_ends[rows]
+        return self.merges[_ragged(self.merge_ends[rows], sizes)], sizes
+
+    def ids_of(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.id_ends[rows + 1] - self.id_ends[rows]
+        return self.ids[_ragged(self.id_ends[rows], sizes)], sizes
+
+
+def piece_bytes(model) -> list[bytes]:
+    """The bytes that each id of a sentencepiece model stands for; none for control and unknown ones."""
+    out = []
+    for i in range(model.vocab_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            out.append(bytes([int(piece[3:5], 16)]))
+        elif model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
+            out.append(b"")
+        else:
+            out.append(piece.replace(SPACE, " ").encode())
+    return out
+
+
 class Vocabulary:
     """Pieces of a byte-fallback merge model at ``path``, read by the sentencepiece library.
 
@@ -55,17 +153,15 @@ class Vocabulary:
         ids = range(model.vocab_size())
         self.size = len(ids)
         self.byte = [0] * 256
-        self.bytes = [b""] * len(ids)
+        self.bytes = piece_bytes(model)
         self.score = np.full(len(ids), np.inf)
         listed: dict[str, int] = {}
         for i in ids:
             piece = model.id_to_piece(i)
             if model.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte[value], self.bytes[i] = i, bytes([value])
+                self.byte[self.bytes[i][0]] = i
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 listed[piece], self.score[i] = i, -model.get_score(i)
-                self.bytes[i] = piece.replace(SPACE, " ").encode()
                 if "\n" in piece or SPACE in piece.lstrip(SPACE):
                     raise ValueError(f"{path} merges across spaces or lines")
         probe = " ﬁ  x "
@@ -93,11 +189,15 @@ class Vocabulary:
             if piece[:i] in known and piece[i:] in known
         }
         keys = np.array([(a << 32) + b for a, b in self.joined], np.int64)
-        order = np.argsort(keys)
-        self.pair, self.pair_piece = keys[order], np.array(list(self.joined.values()), np.int64)[order]
-        #: The merges of a part without dropout (place and piece, as ``_keyed`` puts them) and its ids.
-        self.merged: dict[str, tuple[bytes, bytes]] = {}
+        self.pair = Numbers(keys, np.array(list(self.joined.values()), np.int64), -1)
+        #: A piece's place in the order of scores; the last one, for -1, stands for no piece.
+        self.rank = np.append(np.unique(self.score, return_inverse=True)[1], NEVER >> 6).astype(np.int32)
+        near = np.array([(ord(a) << 32) + ord(b) for a, b in self.neighbours], np.int64)
+        self.near = Numbers(near, np.ones(len(near), np.int64), 0)
+        #: Parts looked up: those that came lately, and those before them.
+        self.young, self.old = Runs(), Runs()
         self.cut: dict[str, list[str]] = {}
+        self.spelled: dict[int, np.ndarray] = {}
 
     def split(self, part: str) -> list[str]:
         """``part`` cut between characters that no piece holds next to each other."""
@@ -107,110 +207,135 @@ class Vocabulary:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
         return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
-    def merge(
-        self, parts: list[str], dropout: float, key: int | np.ndarray, merges: list[bytes] | None = None
-    ) -> list[bytes]:
-        """Little-endian 32-bit ids of each part after its agenda is through.
+    def _parted(self, parts: list[str]) -> dict[str, list[str]]:
+        """Those of ``parts`` that are cut, with their pieces."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        codes[codes == ord(" ")] = ord(SPACE)
+        apart = self.near((codes[:-1] << 32) + codes[1:]) == 0
+        owner = np.repeat(np.arange(len(parts)), sizes)
+        owners = np.unique(owner[:-1][apart & (owner[:-1] == owner[1:])])
+        return {parts[i]: pieces for i in owners.tolist() if len(pieces := self.split(parts[i])) > 1}
+
+    def merge(self, parts: list[str], dropout: float, key: int | np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each part after its agenda is through; see ``_merge``."""
+        return _blobs(*self._merge(parts, dropout, key)[:2])
+
+    def _merge(
+        self, parts: list[str], dropout: float, key: int | np.ndarray, traced: bool = False
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the parts and their number by part; then, if ``traced``, the merges of short parts (place
+        and piece, as ``_keyed`` puts them) and their number by part.
 
         ``key`` is one for all parts or one for each. A literal space mark is no symbol of the model and
         is kept as its bytes, like any unknown character. Short parts go through their agendas side by
-        side, a merge of each at a time; ``merges`` takes theirs.
+        side, a merge of each at a time.
         """
         keys = np.broadcast_to(np.asarray(key, np.uint64), len(parts))
-        out: list[bytes] = [b""] * len(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]), reverse=True)
-        short = [i for i in order if len(parts[i]) <= SHORT_PART]
-        for i in order[: len(order) - len(short)]:
-            out[i] = self._merge_long(parts[i], dropout, int(keys[i]))
-        at = 0
-        while at < len(short):
-            some = short[at : at + SIDE_BY_SIDE // (len(parts[short[at]]) + 1)]
-            taken: list[tuple] | None = None if merges is None else []
-            done = self._merge_short([parts[i] for i in some], dropout, keys[some], taken)
-            for i, ids in zip(some, done, strict=True):
-                out[i] = ids
-            if taken:
-                row, number = (np.concatenate(x) for x in zip(*taken, strict=True))
-                number = number[np.argsort(row, kind="stable")].tobytes()
-                ends = (8 * np.cumsum(np.bincount(row, minlength=len(some)))).tolist()
-                for i, start, end in zip(some, [0, *ends], ends, strict=False):
-                    merges[i] = number[start:end]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        order = np.argsort(-lengths, kind="stable")
+        at = int((lengths > SHORT_PART).sum())
+        done = [np.frombuffer(self._merge_long(parts[i], dropout, int(keys[i])), "<i4") for i in order[:at].tolist()]
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[order[:at]] = [len(ids) for ids in done]
+        taken: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        while at < len(parts):
+            some = order[at : at + SIDE_BY_SIDE // (int(lengths[order[at]]) + 1)]
+            own: list[tuple] | None = [] if traced else None
+            ids, sizes[some] = self._side_by_side([parts[i] for i in some.tolist()], dropout, keys[some], own)
+            done.append(ids)
+            taken += [(some[row], number) for row, number in own or ()]
             at += len(some)
-        return out
-
-    def _written(self, symbols: list[int]) -> bytes:
-        """Ids as bytes; characters without a piece as their bytes' ids."""
-        ids: list[int] = []
-        for symbol in symbols:
-            if 0 <= symbol < self.size:
-                ids.append(symbol)
-            else:
-                ids += [self.byte[b] for b in chr(self.unlisted.get(symbol, -symbol)).encode()]
-        return struct.pack(f"<{len(ids)}i", *ids)
+        ids = np.concatenate(done) if done else np.zeros(0, np.int32)
+        ids = ids[_ragged(_starts(sizes[order])[np.argsort(order)], sizes)]
+        row, number = (np.concatenate(x) for x in zip(*taken, strict=True))
+        return ids, sizes, number[np.argsort(row, kind="stable")], np.bincount(row, minlength=len(parts))
+
+    def _spelled(self, symbol: int) -> np.ndarray:
+        """Ids of the bytes of a character without a piece."""
+        if symbol not in self.spelled:
+            code = self.unlisted.get(symbol, -symbol)
+            self.spelled[symbol] = np.array([self.byte[b] for b in chr(code).encode()], np.int32)
+        return self.spelled[symbol]
+
+    def _written(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of parts of ``sizes`` as ids; characters without a piece as their bytes' ids."""
+        odd = np.flatnonzero((symbols < 0) | (symbols >= self.size))
+        if not len(odd):
+            return symbols, sizes
+        spelled = [self._spelled(symbol) for symbol in symbols[odd].tolist()]
+        lengths = np.ones(len(symbols), np.int64)
+        lengths[odd] = [len(ids) for ids in spelled]
+        ids = np.repeat(symbols, lengths)
+        ids[_ragged(_starts(lengths)[odd], lengths[odd])] = np.concatenate(spelled)
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
+        return ids, np.diff(ends)
 
     def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Score and piece of neighbouring symbols; infinity where they are no piece."""
-        wanted = (left.astype(np.int64) << 32) + right
-        at = np.minimum(np.searchsorted(self.pair, wanted), len(self.pair) - 1)
-        piece = self.pair_piece[at]
-        return np.where(self.pair[at] == wanted, self.score[piece], np.inf), piece
-
-    def _merge_short(
-        self, parts: list[str], dropout: float, key: int | np.ndarray, taken: list[tuple] | None = None
-    ) -> list[bytes]:
-        key = np.broadcast_to(np.asarray(key, np.uint64), len(parts))
+        """Rank and piece of neighbouring symbols; the last rank and -1 where they are no piece."""
+        piece = self.pair((left.astype(np.int64) << 32) + right)
+        return self.rank[piece], piece
+
+    def _merge_short(self, parts: list[str], dropout: float, key: int | np.ndarray) -> list[bytes]:
+        return _blobs(*self._side_by_side(parts, dropout, np.broadcast_to(np.asarray(key, np.uint64), len(parts))))
+
+    def _side_by_side(
+        self, parts: list[str], dropout: float, key: np.ndarray, taken: list[tuple] | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and their number by part. A column for each part, a line for each place in it.
+
+        A merge stays at the place of its left symbol and frees that of its right one; a candidate is at
+        the place of its left symbol, as its rank and, in the last six bits, its place.
+        """
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        width = int(sizes.max(initial=1)) + 1
-        inside = np.arange(width) < sizes[:, None]
-        symbols = np.full((len(parts), width), NONE, np.int32)
-        symbols[inside] = self.symbol[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
-        done = symbols.copy()
-        place = np.tile(np.arange(width), (len(parts), 1))
-        score, piece = self._pairs(symbols[:, :-1], symbols[:, 1:])
-        row, limit = np.arange(len(parts)), np.uint64(dropout * 2**53)
-        while len(row):
-            k = score.argmin(1)
-            n = np.arange(len(row))
-            going = score[n, k] < np.inf
-            if not going.all():
-                done[row[~going]] = symbols[~going]
-                row, symbols, place, score, piece, k = (x[going] for x in (row, symbols, place, score, piece, k))
-                n = np.arange(len(row))
-                if not len(row):
-                    break
-            made = piece[n, k]
-            skipped = _keyed(key[row], place[n, k], made) < limit
-            score[n[skipped], k[skipped]] = np.inf
-            m = n[~skipped]
-            if not len(m):
-                continue
-            km, left = k[m], np.arange(width)
-            if taken is not None:
-                taken.append((row[m], (place[m, km].astype("<u8") << np.uint64(32)) + made[m].astype("<u8")))
-            keep = np.minimum(left + (left > km[:, None]), width - 1)
-            moved = np.take_along_axis(symbols[m], keep, 1)
-            moved[:, -1] = NONE
-            moved[np.arange(len(m)), km] = made[m]
-            symbols[m] = moved
-            place[m] = np.take_along_axis(place[m], keep, 1)
-            keep = np.minimum(left[:-1] + (left[:-1] > km[:, None]), width - 2)
-            score_m, piece_m = np.take_along_axis(score[m], keep, 1), np.take_along_axis(piece[m], keep, 1)
-            score_m[:, -1] = np.inf
-            own = np.arange(len(m))
-            for at in (km, km - 1):
-                ok = (at >= 0) & (at < width - 1)
-                score_m[own[ok], at[ok]], piece_m[own[ok], at[ok]] = self._pairs(
-                    moved[own[ok], at[ok]], moved[own[ok], at[ok] + 1]
+        width, count = int(sizes.max(initial=1)), len(parts)
+        place = np.arange(width, dtype=np.int32)[:, None]
+        symbols = np.full((width, count), NONE, np.int32)
+        symbols.T[place.T < sizes[:, None]] = self.symbol[np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)]
+        pieces, agenda = np.full((2, width, count), NEVER, np.int32)
+        rank, pieces[:-1] = (x.reshape(width - 1, count) for x in self._pairs(symbols[:-1].ravel(), symbols[1:].ravel()))
+        agenda[:-1] = np.where(rank < NEVER >> 6, rank << 6 | place[:-1], NEVER)
+        after, before = np.empty((2, width, count), np.int8)
+        after[:], before[:] = place + 1, place - 1
+        row, limit, done = np.arange(count), np.uint64(dropout * 2**53), symbols
+        while True:
+            best = agenda.min(0)
+            c = np.flatnonzero(best != NEVER)
+            if len(c) < 0.75 * len(row):
+                if done is not symbols:
+                    done[:, row] = symbols
+                symbols, pieces, agenda, after, before, row, best = (
+                    np.ascontiguousarray(x[..., c]) for x in (symbols, pieces, agenda, after, before, row, best)
                 )
-            score[m], piece[m] = score_m, piece_m
-        valid = done != NONE
-        flat, ends = done[valid], np.cumsum(valid.sum(1)).tolist()
-        plain = ((done >= 0) & (done < self.size) | ~valid).all(1)
-        whole, out, start = flat.astype("<i4").tobytes(), [], 0
-        for end, simple in zip(ends, plain.tolist(), strict=True):
-            out.append(whole[4 * start : 4 * end] if simple else self._written(flat[start:end].tolist()))
-            start = end
-        return out
+                c = np.arange(len(row))
+            if not len(c):
+                break
+            n = len(row)
+            k = (best[c] & 63).astype(np.int64)
+            flat = k * n + c
+            made = pieces.ravel()[flat]
+            skipped = _keyed(key[row[c]], k, made) < limit
+            if skipped.any():
+                agenda.ravel()[flat[skipped]] = NEVER
+                c, k, flat, made = (x[~skipped] for x in (c, k, flat, made))
+            if taken is not None:
+                taken.append((row[c], (k.astype(np.uint64) << np.uint64(32)) + made.astype(np.uint64)))
+            right = after.ravel()[flat].astype(np.int64) * n + c
+            following, previous = after.ravel()[right].astype(np.int64), before.ravel()[flat].astype(np.int64)
+            symbols.ravel()[flat], symbols.ravel()[right] = made, NONE
+            agenda.ravel()[right] = agenda.ravel()[flat] = NEVER
+            after.ravel()[flat] = following
+            more, own = np.flatnonzero(following < width), np.flatnonzero(previous >= 0)
+            behind = following[more] * n + c[more]
+            before.ravel()[behind] = k[more]
+            at = np.concatenate((flat[more], previous[own] * n + c[own]))
+            rank, piece = self._pairs(
+                symbols.ravel()[at], symbols.ravel()[np.concatenate((behind, flat[own]))]
+            )
+            pieces.ravel()[at] = piece
+            agenda.ravel()[at] = np.where(rank < NEVER >> 6, rank << 6 | (at // n).astype(np.int32), NEVER)
+        valid = done.T != NONE
+        return self._written(done.T[valid], valid.sum(1))
 
     def _merge_long(self, part: str, dropout: float, key: int) -> bytes:
         """The agenda of one part of any length, as a heap."""
@@ -239,46 +364,93 @@ class Vocabulary:
                 consider(i, after[i])
             if before[i] >= 0:
                 consider(before[i], i)
-        return self._written([x for x in symbols if x != NONE])
-
-    def encode(self, texts: list[str], offsets: list[int], dropout: float, seed: int, kept: int = PARTS) -> list[bytes]:
+        left = np.array([x for x in symbols if x != NONE], np.int32)
+        return self._written(left, np.array([len(left)]))[0].astype("<i4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Brings ``new`` parts to the young ones, from the old ones or by their agendas."""
+        held = [part for part in new if part in self.old.number]
+        if held:
+            rows = np.fromiter(map(self.old.number.get, held), np.int64, len(held))
+            self.young.add(held, *self.old.merges_of(rows), *self.old.ids_of(rows))
+            new = [part for part in new if part not in self.old.number]
+        ids, sizes, merges, merge_sizes = self._merge(new, 0.0, 0, traced=True)
+        self.young.add(new, merges, merge_sizes, ids, sizes)
+
+    def encode(
+        self, texts: Iterable[str], offsets: Iterable[int], dropout: float, seed: int, kept: int = PARTS
+    ) -> list[bytes]:
         """Little-endian 32-bit ids. A part is merged under a key of the seed, its text's offset and its
-        number in the text; at most about ``kept`` parts are looked up later."""
-        parts = [PART.findall(" " + text) if text else [] for text in texts]
-        new_cuts = {
-            part: pieces for part in set().union(*parts).difference(self.merged, self.cut)
-            if len(pieces := self.split(part)) > 1
-        }
-        self.cut.update(new_cuts)
-        parts = [[piece for part in own for piece in self.cut.get(part, (part,))] for own in parts]
-        units = list(chain.from_iterable(parts))
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        bases = np.array([xxh64_intdigest(f"{seed} {offset}") for offset in offsets], np.uint64)
-        keys = mix(np.repeat(bases, sizes) + (np.arange(len(units)) - np.repeat(starts[:-1], sizes)).astype(np.uint64))
-
-        new = [part for part in set(units).difference(self.merged) if len(part) <= SHORT_PART]
-        merges = [b""] * len(new)
-        ids = self.merge(new, 0.0, 0, merges)
-        self.merged.update(zip(new, zip(merges, ids, strict=True), strict=True))
-        known = [self.merged.get(part, (b"", None)) for part in units]
-        sizes = np.fromiter((len(merged) // 8 for merged, _ in known), np.int64, len(known))
-        ends = np.cumsum(sizes)
-        number = np.frombuffer(b"".join(merged for merged, _ in known), "<u8")
-        hits = mix(number + np.repeat(keys, sizes)) >> np.uint64(11) < np.uint64(dropout * 2**53)
+        number in the text; twice about ``kept`` parts are looked up later, at most. Long texts are gone
+        through in slices that end where a part does."""
+        out: list[bytes] = []
+        waiting: list[tuple[str, int]] = []
+        size = 0
+        for text, offset in zip(texts, offsets, strict=True):
+            size += len(text)
+            if size > CHUNK_CHARS:
+                out += self._encode(waiting, 0, dropout, seed, kept)[0]
+                waiting, size = [], len(text)
+            if len(text) <= CHUNK_CHARS:
+                waiting.append((" " + text if text else "", offset))
+                continue
+            at = number = size = 0
+            slices = []
+            while at < len(text):
+                cut = PART_END.search(text, at + CHUNK_CHARS)
+                end = cut.start() if cut else len(text)
+                blobs, parts = self._encode([(text[at:end] if at else " " + text[:end], offset)], number, dropout, seed, kept)
+                slices += blobs
+                at, number = end, number + parts
+            out.append(b"".join(slices))
+        return out + self._encode(waiting, 0, dropout, seed, kept)[0]
+
+    def _encode(
+        self, texts: list[tuple[str, int]], first: int, dropout: float, seed: int, kept: int
+    ) -> tuple[list[bytes], int]:
+        """Ids of texts (with their offsets) whose parts are numbered from ``first``; then the number of parts."""
+        parts = [PART.findall(text) for text, _ in texts]
+        if len(self.young.parts) > kept:
+            self.young, self.old = Runs(), self.young
+        words, find = list(chain.from_iterable(parts)), self.young.number.get
+        rows = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
+        unknown = np.flatnonzero(rows < 0)
+        others = [words[i] for i in unknown.tolist()]
+        self.cut.update(self._parted(list(set(others).difference(self.cut))))
+        others = [self.cut.get(word) or [word] for word in others]
+        lengths = np.ones(len(words), np.int64)
+        lengths[unknown] = list(map(len, others))
+        others = list(chain.from_iterable(others))
+        new = set(others).difference(self.young.number)
+        self._learn([part for part in new if len(part) <= SHORT_PART])
+        names, long = self.young.parts, [part for part in new if len(part) > SHORT_PART]
+        beyond = {part: len(names) + i for i, part in enumerate(long)}
+        rows = np.repeat(rows, lengths)
+        rows[_ragged(_starts(lengths)[unknown], lengths[unknown])] = [*map(find, others, map(beyond.get, others))]
+        sizes = np.array(list(map(len, parts)), np.int64)
+        sizes = np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))])
+        bases = np.array([xxh64_intdigest(f"{seed} {offset}") for _, offset in texts], np.uint64)
+        keys = mix(np.repeat(bases, sizes) + _ragged(np.full(len(sizes), first), sizes).astype(np.uint64))
+
+        known = np.flatnonzero(rows < len(names))
+        number, merges = self.young.merges_of(rows[known])
+        hits = mix(number + np.repeat(keys[known], merges)) >> np.uint64(11) < np.uint64(dropout * 2**53)
         hits = np.concatenate(([0], np.cumsum(hits)))
-        again = hits[ends] > hits[ends - sizes]
-        values = [ids for _, ids in known]
-        again = np.flatnonzero(again | np.fromiter((ids is None for ids in values), bool, len(values)))
-        for i, ids in zip(again.tolist(), self.merge([units[i] for i in again], dropout, keys[again]), strict=True):
-            values[i] = ids
-        if len(self.merged) > kept:
-            for part in new:
-                del self.merged[part]
-        for part in new_cuts:
-            if len(self.cut) > kept or len(part) > SHORT_PART:
-                del self.cut[part]
-        return [b"".join(values[a:b]) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+        ends = np.cumsum(merges)
+        again = np.ones(len(rows), bool)
+        again[known] = hits[ends] > hits[ends - merges]
+        found, lengths = np.flatnonzero(~again), np.zeros(len(rows), np.int64)
+        again = np.flatnonzero(again)
+        some = [names[r] if r < len(names) else long[r - len(names)] for r in rows[again].tolist()]
+        own, lengths[again], *_ = self._merge(some, dropout, keys[again])
+        held, lengths[found] = self.young.ids_of(rows[found])
+        ids, starts = np.zeros(int(lengths.sum()), np.int32), _starts(lengths)
+        ids[_ragged(starts[found], lengths[found])] = held
+        ids[_ragged(starts[again], lengths[again])] = own
+        if len(self.cut) > CUTS or any(len(part) > CHUNK_CHARS for part in others):
+            self.cut = {}
+        ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
+        return _blobs(ids, np.diff(ends)), len(rows)
 
 
 def vocabulary(path: str, *setting) -> Vocabulary:
@@ -300,17 +472,11 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = vocabulary(path)
         for texts, ids in batches:
-            blobs: list[bytes] = []
-            chunk, offsets, size = [], [], 0
-            for text, doc in zip(texts, ids, strict=True):
-                chunk.append(text.as_py() or "")
-                offsets.append(xxh3_64_intdigest(str(doc.as_py()), seed))
-                size += len(chunk[-1])
-                if size >= CHUNK_CHARS:
-                    blobs += pieces.encode(chunk, offsets, dropout, seed, kept)
-                    chunk, offsets, size = [], [], 0
-            blobs += pieces.encode(chunk, offsets, dropout, seed, kept)
-            del texts, ids, chunk
+            blobs = pieces.encode(
+                (text.as_py() or "" for text in texts), (xxh3_64_intdigest(str(doc.as_py()), seed) for doc in ids),
+                dropout, seed, kept,
+            )
+            del texts, ids
             ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs])))
             yield pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
@@ -319,17 +485,34 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
     return encode
 
 
+def _piece_bytes(path: str) -> pa.Array:
+    """The bytes that each id stands for; all that a worker needs to decode."""
+    held = worker_tables("piece bytes")
+    if path not in held:
+        from sentencepiece import SentencePieceProcessor
+
+        model = SentencePieceProcessor(model_file=path)
+        held[path] = pa.array(piece_bytes(model), pa.binary())
+    return held[path]
+
+
 def decoded(path: str):
     """A column function: the text of an array of ids; no ids give an empty text, null gives null."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = vocabulary(path).bytes
+        pieces = _piece_bytes(path)
         for lists in batches:
-            out = []
-            for ids in lists:
-                whole = None if ids.values is None else b"".join(map(pieces.__getitem__, ids.values.to_numpy()))
-                out.append(None if whole is None else whole[1:].decode("utf-8", "replace"))
+            out: list[str | None] = []
+            for at in range(0, len(lists), DECODED_ROWS):
+                some = lists.slice(at, DECODED_ROWS)
+                sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
+                runs = pa.ListArray.from_arrays(
+                    pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pieces.take(some.flatten())
+                )
+                joined = pc.binary_join(runs, b"").to_pylist()
+                known = some.is_valid().to_pylist()
+                out += [b[1:].decode("utf-8", "replace") if ok else None for b, ok in zip(joined, known, strict=True)]
             yield pa.array(out, pa.string())
 
     return decode

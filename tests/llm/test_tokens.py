@@ -193,3 +193,27 @@ def test_looked_up_merges_are_those_of_the_agenda(piece_bpe, monkeypatch):
         monkeypatch.setattr(pieces, "SHORT_PART", 0)  # every part by its own agenda
         assert got[0] == got[1] == fresh.encode(docs, [1, 2, 3], dropout, 5, 0)
         monkeypatch.undo()
+
+
+def test_slices_and_generations_change_nothing(piece_bpe, monkeypatch):
+    texts = ["Words, of 1,200 characters:\n\n  internationalisation éa 日本 \n" * 30, "", "plain words " * 40]
+    whole = pieces.Vocabulary(piece_bpe).encode(texts, [1, 2, 3], 0.3, 5)
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 50)
+    assert pieces.Vocabulary(piece_bpe).encode(texts, [1, 2, 3], 0.3, 5) == whole
+    few = pieces.Vocabulary(piece_bpe)
+    assert few.encode(texts, [1, 2, 3], 0.3, 5, kept=3) == whole and len(few.young.parts) + len(few.old.parts) < 40
+
+
+def test_numbers_of_many_keys():
+    keys = np.random.default_rng(1).integers(-(2**40), 2**40, 5000)
+    keys = np.unique(keys)
+    table = pieces.Numbers(keys, np.arange(len(keys)), -1)
+    assert (table(keys) == np.arange(len(keys))).all() and (table(keys + (1 << 45)) == -1).all()
+
+
+def test_many_units_are_encoded_as_one_text(byte_bpe):
+    units = ["plain", "a  b", " ", "", "x\n", "\ny", "<|endoftext|>", "日本語", "don't", "1,200"]
+    encoder = tokens.UnitEncoder(byte_bpe, tokens._blobs)
+    got = dict(encoder._together(units))
+    expected = library_ids(byte_bpe, [" " + u for u in units])
+    assert [got[u] for u in units] == [np.array(x, "<u4").tobytes() for x in expected]

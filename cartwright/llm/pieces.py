@@ -487,13 +487,14 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
 
 def _piece_bytes(path: str) -> pa.Array:
     """The bytes that each id stands for; all that a worker needs to decode."""
-    held = worker_tables("piece bytes")
-    if path not in held:
+    held = worker_tables("pieces")
+    key = f"{path} bytes"
+    if key not in held:
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
-        held[path] = pa.array(piece_bytes(model), pa.binary())
-    return held[path]
+        held[key] = pa.array(piece_bytes(model), pa.binary())
+    return held[key]
 
 
 def decoded(path: str):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartwright.llm import hashing
@@ -35,17 +35,15 @@ RIDGE = 1.0
 BLOCK = 1 << 20
 _U = np.uint64
 
-#: Words by which a row labelled toxic is given the categories before the last.
-INSULTS = ("idiot", "moron", "loser", "clown", "stupid")
-CONTEMPT = ("trash", "scum", "worthless", "pathetic", "disgusting")
-
-
-def _has(words: tuple[str, ...]) -> Column:
-    return F.lower("text").rlike(rf"\b({'|'.join(words)})\b")
+#: Categories of toxic rows that are learned from the labels, the first links of the chain, the narrower first.
+GRADES = ("heavy", "explicit")
+#: A feature is typical of toxic rows if so many of them hold it, and so many times the share of the clean rows.
+TYPICAL_ROWS = 5
+TYPICAL_RATIO = 10.0
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, text, the categories insult, contempt and toxic (0 or 1) and weight, about ``rows`` at most.
+    """doc_id, text, lang (empty where unknown), toxic (0 or 1) and weight, about ``rows`` at most.
 
     Labels without a doc_id or verdict are left out; of several, the largest holds. Toxic and clean ones
     are drawn apart, so rare toxic ones are all there; a row's weight is the number of labels of its kind
@@ -63,11 +61,40 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> D
         for a, b in ([int(share * (1 << 40)) for share in shares], [1 / max(share, 1e-12) for share in shares])
     )
     drawn = verdicts.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < limit).withColumn("weight", weight)
-    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
-    return found.select(
-        "doc_id", "text", (toxic & _has(INSULTS)).cast("int").alias("insult"),
-        (toxic & _has(CONTEMPT)).cast("int").alias("contempt"), toxic.cast("int").alias("toxic"), "weight",
-    ).na.fill(0, ["insult", "contempt"])
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    found = docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(drawn), "doc_id")
+    return found.select("doc_id", "text", "lang", toxic.cast("int").alias("toxic"), "weight")
+
+
+def graded(rows: DataFrame, verdict: str = "toxic") -> DataFrame:
+    """``rows`` (row, fold, lang, ``verdict``, features, ...) with heavy and explicit, the grades of a toxic row, 0 or 1.
+
+    Typical features are found among the rows of the other folds, whatever their language. A toxic row is
+    explicit if it holds one, and heavy if it holds at least as many as the median explicit row of its language. Without typical features, or toxic rows, nothing is either. ``rows`` is a
+    bounded table with one row for each ``row``.
+    """
+    sizes = {(r.fold, r[verdict]): r["count"] for r in rows.groupBy("fold", verdict).count().collect()}
+    found = rows.select("row", "fold", verdict, F.explode("features").alias("feature"))
+
+    def rows_in(fold: int, truth: int) -> Column:
+        return F.count_if((F.col("fold") == fold) & (F.col(verdict) == truth)).alias(f"n{truth}_{fold}")
+
+    counts = found.groupBy("feature").agg(*[rows_in(f, truth) for f in range(FOLDS) for truth in (0, 1)])
+
+    def typical(fold: int) -> Column:
+        others = [f for f in range(FOLDS) if f != fold]
+        clean, toxic = (sum((F.col(f"n{truth}_{f}") for f in others), F.lit(0)) for truth in (0, 1))
+        n_clean, n_toxic = (sum(sizes.get((f, truth), 0) for f in others) for truth in (0, 1))
+        return (toxic >= TYPICAL_ROWS) & (toxic * F.lit(float(n_clean)) >= (clean + 0.5) * F.lit(TYPICAL_RATIO * n_toxic))
+
+    folds = F.array(*[F.when(typical(f), F.lit(f)) for f in range(FOLDS)])
+    kept = counts.select("feature", F.explode(F.array_compact(folds)).alias("fold"))
+    hits = found.filter(F.col(verdict) == 1).join(kept, ["feature", "fold"]).groupBy("row").agg(F.count("*").alias("hits"))
+    explicit = rows.select("row", "lang").join(hits, "row")
+    middle = F.median("hits").over(Window.partitionBy("lang"))
+    grades = explicit.select("row", F.lit(1).alias("explicit"), (F.col("hits") >= middle).cast("int").alias("heavy"))
+    own = [c for c in rows.columns if c not in GRADES]
+    return stored(rows.select(*own).join(grades, "row", "left").na.fill(0, list(GRADES)), "graded")
 
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -258,22 +285,28 @@ def fit_chain(training: DataFrame, categories: tuple[str, ...]) -> Chain | None:
     Folds are dealt by hash of doc_id. The models of a category are fitted side by side, one task for
     each fold and one for all rows, from the features of the training rows, a bounded table. The
     threshold is the probability of the last category at which its out-of-fold F1 is best. Without a
-    column weight, every row counts as one.
+    column weight, every row counts as one; without lang, all have one language. Where the ``GRADES`` are
+    asked for and ``training`` lacks them, they are derived from the last category (see ``graded``).
     """
+    given = [c for c in categories if c in training.columns]
     if "weight" not in training.columns:
         training = training.withColumn("weight", F.lit(1.0))
+    if "lang" not in training.columns:
+        training = training.withColumn("lang", F.lit(""))
     rows = stored(
-        training.select("doc_id", "text", *categories, "weight").mapInArrow(
-            _featured, ", ".join(["doc_id long", *[f"{c} int" for c in categories], "weight double", "features array<int>"])
+        training.select("doc_id", "text", "lang", *given, "weight").mapInArrow(
+            _featured, ", ".join(["doc_id long", "lang string", *[f"{c} int" for c in given], "weight double", "features array<int>"])
         ).select(
             F.xxhash64("doc_id", "features").bitwiseAND(F.lit((1 << 62) - 1)).alias("row"),
-            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), *categories,
+            F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)).cast("int").alias("fold"), "lang", *given,
             "weight", "features",
         ).dropDuplicates(["row"]),
         "training",
     )
     if rows.isEmpty():
         return None
+    if len(given) < len(categories):
+        rows = graded(rows, categories[-1])
     models: list[Linear] = []
     for n, category in enumerate(categories):
         copies = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS))))
@@ -361,11 +394,11 @@ def score(docs: DataFrame, chain: Chain | None, categories: tuple[str, ...]) ->
     )
 
 
-CATEGORIES = ("insult", "contempt", "toxic")
+CATEGORIES = (*GRADES, "toxic")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """``docs`` scored by a chain for insult, contempt and toxic that is learned from ``labels``."""
+    """``docs`` scored by a chain for heavy, explicit and toxic that is learned from ``labels``."""
     chain = fit_chain(labelled(docs, labels, rows), CATEGORIES)
     return score(docs, chain, CATEGORIES)
 

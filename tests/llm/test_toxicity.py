@@ -1,6 +1,7 @@
 """The classifier chain on held-out and odd documents."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,12 +9,13 @@ import pytest
 from cartwright.llm import toxicity
 
 SF_DIR = "/root/testdata/sf0.1"
+INSULTS = ("idiot", "moron", "loser", "clown", "stupid")
 
 
 def made(rng, toxic):
     own = [rng.choice(["alpha", "beta", "gamma", "delta"]) + rng.choice(["ing", "ed", "s", ""]) for _ in range(rng.randint(20, 80))]
     if toxic:
-        own[rng.randrange(len(own))] = rng.choice(toxicity.INSULTS)
+        own[rng.randrange(len(own))] = rng.choice(INSULTS)
         own[rng.randrange(len(own))] = rng.choice(["zorgu", "zorgling", "zorgest"])
     return " ".join(own)
 
@@ -37,10 +39,41 @@ def test_held_out_documents_of_the_test_table(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
     known, held = labels.filter("doc_id % 5 != 0"), labels.filter("doc_id % 5 = 0")
-    scored = toxicity.toxic_documents(docs, known).join(held, "doc_id").select("toxic", "rejected").collect()
+    scored = toxicity.toxic_documents(docs, known).join(held, "doc_id").collect()
     toxic = [r.rejected for r in scored if r.toxic]
     clean = [r.rejected for r in scored if not r.toxic]
     assert np.mean(toxic) > 0.85 and np.mean(clean) < 0.02
+    for lang in ("en", "de", "fr", "es"):  # the grades say something in every language
+        for grade in toxicity.GRADES:
+            bad, good = (np.array([r[f"p_{grade}"] for r in scored if r.lang == lang and r.toxic == t]) for t in (1, 0))
+            assert (bad[:, None] > good).mean() + (bad[:, None] == good).mean() / 2 > 0.85, (lang, grade)
+
+
+def test_grades_equal_a_plain_count(spark):
+    """Typical features of the other folds, counted in dictionaries."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        toxic = int(rng.random() < 0.3)
+        own = set(rng.sample(range(40), rng.randint(0, 8))) | (set(rng.sample(range(100, 104), rng.randint(1, 3))) if toxic and rng.random() < 0.8 else set())
+        own |= {200} if rng.random() < (0.5 if toxic else 0.04) else set()
+        rows.append((i, rng.randrange(toxicity.FOLDS), toxic, rng.choice("xy"), sorted(own)))
+    df = spark.createDataFrame(rows, "row long, fold int, toxic int, lang string, features array<int>")
+    hits = {}
+    for fold in range(toxicity.FOLDS):
+        seen = {t: [set(r[4]) for r in rows if r[1] != fold and r[2] == t] for t in (0, 1)}
+        held = {t: Counter(f for own in seen[t] for f in own) for t in (0, 1)}
+        typical = {
+            f for f, n in held[1].items() if n >= toxicity.TYPICAL_ROWS
+            and n / len(seen[1]) >= toxicity.TYPICAL_RATIO * (held[0][f] + 0.5) / len(seen[0])
+        }
+        hits |= {r[0]: len(typical & set(r[4])) * r[2] for r in rows if r[1] == fold}
+    middle = {lang: np.median([hits[r[0]] for r in rows if r[3] == lang and hits[r[0]]]) for lang in "xy"}
+    found = {r.row: (r.explicit, r.heavy) for r in toxicity.graded(df).collect()}
+    assert found == {i: (int(hits[i] > 0), int(hits[i] >= middle[lang])) for i, _, _, lang, _ in rows}
+    assert 0 < sum(h for _, h in found.values()) < sum(e for e, _ in found.values()) < sum(r[2] for r in rows)
+    for none in (df.filter("toxic = 0"), df.limit(0), df.filter("row < 9")):
+        assert not toxicity.graded(none).filter("explicit + heavy > 0").count()
 
 
 def test_odd_rows(spark, odd, odd_rows, nothing, made_rows):

@@ -16,6 +16,8 @@ SEPARATOR = r"[\x20\x09-\x0D]"
 IN_WORD = r"[^\x20\x09-\x0D]"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 5
+#: Finds candidates only; which windows are equal is told from their words.
+WINDOW_HASH = "xxhash64({})"
 
 
 @dataclass(frozen=True)
@@ -57,27 +59,32 @@ def mask(names: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> int:
     return sum(bits[n] for n in set(names))
 
 
-def _repeated_words() -> tuple[str, str, str]:
+def _repeated_words() -> tuple[str, str, str, str]:
     """Words in 5-word windows that occur twice or more, from columns words, n_words and bits.
 
     Window hashes and their starts share a 64-bit value: the start in the low ``bits`` bits, as many
-    as the text needs, the hash above. Sorted, equal windows are neighbours; a window counts if the
-    words of a neighbour are the same. The covered words follow from the gaps between the starts.
+    as the text needs, the hash above. Sorted, windows of one hash are neighbours; those without a
+    neighbour of their hash occur once. The others are sorted by their words, so equal windows stand
+    together however many different ones share a hash. The covered words follow from the gaps between
+    the starts.
     """
     words = ", ".join(f"words[i + {k}]" for k in range(WINDOW))
     place = "(1L << bits) - 1"
 
+    def near(step: int) -> str:
+        return f"((x >>> bits) <=> (get(hashes, j + {step}) >>> bits))"
+
     def same(step: int) -> str:
-        other = f"get(hashes, j + {step})"
-        return (
-            f"((x >>> bits) <=> ({other} >>> bits) AND slice(words, int(x & {place}) + 1, {WINDOW})"
-            f" = slice(words, int({other} & {place}) + 1, {WINDOW}))"
-        )
+        return f"(x.win <=> get(alike, j + {step}).win)"
 
-    hashes = f"sort_array(transform(sequence(0, n_words - {WINDOW}), i -> xxhash64({words}) << bits | i))"
-    starts = f"sort_array(transform(filter(hashes, (x, j) -> {same(-1)} OR {same(1)}), x -> x & {place}))"
+    hashes = f"sort_array(transform(sequence(0, n_words - {WINDOW}), i -> {WINDOW_HASH.format(words)} << bits | i))"
+    alike = (
+        f"sort_array(transform(filter(hashes, (x, j) -> {near(-1)} OR {near(1)}), "
+        f"x -> struct(slice(words, int(x & {place}) + 1, {WINDOW}) AS win, x & {place} AS start)))"
+    )
+    starts = f"sort_array(transform(filter(alike, (x, j) -> {same(-1)} OR {same(1)}), x -> x.start))"
     covered = f"aggregate(transform(starts, (p, k) -> least({WINDOW}L, get(starts, k + 1) - p)), 0L, (a, x) -> a + x)"
-    return hashes, starts, covered
+    return hashes, alike, starts, covered
 
 
 def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -90,7 +97,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     trimmed = F.regexp_replace(text, rf"\A{SEPARATOR}+|{SEPARATOR}+\z", "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(IN_WORD))
-    hashes, starts, covered = _repeated_words()
+    hashes, alike, starts, covered = _repeated_words()
     enough = F.col("n_words") >= WINDOW
     read = (
         docs.select("doc_id", text.alias("text"), trimmed.alias("trimmed"), lines.alias("lines"))
@@ -102,6 +109,7 @@ def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         .withColumn("n_words", F.size("words"))
         .withColumn("bits", F.length(F.bin("n_words")))
         .withColumn("hashes", F.when(enough, F.expr(hashes)).otherwise(F.array().cast("array<bigint>")))
+        .withColumn("alike", F.expr(alike))
         .withColumn("starts", F.expr(starts))
     )
     measured = read.select(

@@ -39,6 +39,16 @@ def test_measurements_of_random_texts(spark):
     assert rows_of(q.ledger(df)) == Counter((i, *measured(t)) for i, t in rows)
 
 
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 90)))) for i in range(60)]
+    rows += [(60, "w " * 3000), (61, " ".join(str(n // 2 % 700) for n in range(3000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window_hash in ("0L", "xxhash64({}) & 3"):
+        monkeypatch.setattr(q, "WINDOW_HASH", window_hash)
+        assert rows_of(q.ledger(df)) == Counter((i, *measured(t)) for i, t in rows)
+
+
 def test_ledger_plan_has_neither_shuffle_nor_python(spark, plan_of):
     plan = plan_of(q.ledger(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
     assert "Exchange" not in plan and "Python" not in plan

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cartwright.sources.readers import TIMESTAMP_FORMAT
@@ -34,16 +34,36 @@ def named_values(spark: SparkSession, values: dict, key: str, value: str, kind:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """CSV with a header in every part file. Blanks around values are kept."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
+def _csv_writer(df: DataFrame) -> DataFrameWriter:
+    """Blanks around values are kept."""
+    return (
+        df.write.option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .csv(path)
     )
+
+
+def write_csv(df: DataFrame, path: str) -> str:
+    """CSV with a header in every part file. Blanks around values are kept."""
+    _csv_writer(df).mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+#: Folder of a part in a CSV of a fixed number of parts.
+CSV_PART = "csv_part"
+
+
+def write_csv_in_parts(df: DataFrame, path: str, parts: int) -> str:
+    """CSV in a fixed number of parts with a header each, at any size and also without rows.
+
+    A part is a folder: a file with the header and those of the tasks that are dealt to it. Rows are written
+    where they are, so there are as many writing tasks as ``df`` has partitions, and none reads a whole part.
+    """
+    part = F.pmod(F.spark_partition_id(), F.lit(parts)).alias(CSV_PART)
+    _csv_writer(df.select("*", part)).mode("overwrite").partitionBy(CSV_PART).csv(path)
+    names = [F.lit(name).alias(name) for name in df.columns]
+    headers = df.sparkSession.range(parts).select(*names, F.col("id").cast("int").alias(CSV_PART))
+    _csv_writer(headers).mode("append").partitionBy(CSV_PART).csv(path)
     return path
 
 

@@ -77,7 +77,7 @@ def prepared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[str],
     return _prepared[key]
 
 
-#: Part files of the transactions CSV, so that its header lines can be stated beforehand.
+#: Parts of the transactions CSV, so that its header lines can be stated beforehand.
 TRANSACTIONS_PARTS = 8
 
 

@@ -67,10 +67,10 @@ DIM_CUSTOMERS = over_store(
     f"SELECT COUNT(*) + {TRANSACTIONS_PARTS} AS lines, CAST({TRANSACTIONS_PARTS} AS BIGINT) AS header_lines,"
     " COUNT(*) AS data_lines FROM transactions"))
 def line_count(spark, sf_dir):
-    """Over a CSV of a known number of part files, each with its header."""
+    """Over a CSV of a known number of parts, each with its header."""
     def build(folder):
-        rows = tables(spark, sf_dir).seed_tables["transactions"].repartition(TRANSACTIONS_PARTS)
-        return sinks.write_csv(rows, folder)
+        rows = tables(spark, sf_dir).seed_tables["transactions"]
+        return sinks.write_csv_in_parts(rows, folder, TRANSACTIONS_PARTS)
 
     lines = readers.read_lines(spark, prepared(spark, sf_dir, "transactions_in_parts", build))
     return exploration.line_count(lines, TRANSACTIONS_HEADER)

@@ -2,6 +2,7 @@ from uuid import uuid4
 
 import pytest
 from pyspark.errors import IllegalArgumentException
+from pyspark.sql import functions as F
 
 from cartwright import jobs
 from cartwright.operators import sinks
@@ -118,3 +119,40 @@ def test_only_a_missing_codec_is_tolerated(rows, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "FORMATS", dict(storage.FORMATS, parquet_snappy=full))
     with pytest.raises(OSError):
         storage.write_formats(rows, str(tmp_path / "b"))
+
+
+@pytest.mark.parametrize("n", [0, 3, 5_000])
+def test_csv_in_parts_has_a_header_for_each_at_any_size(spark, tmp_path, n):
+    df = spark.range(0, n, 1, 24).select("id", F.lit('a,"b ').alias("text"), F.lit(None).cast("int").alias("gap"))
+    path = sinks.write_csv_in_parts(df, str(tmp_path / "csv"), 8)
+    counts = exploration.line_count(readers.read_lines(spark, path), "id,text,gap").first()
+    assert tuple(counts) == (n + 8, 8, n)
+    data = readers.read_lines(spark, path).where("value != 'id,text,gap'").select("value")
+    whole = readers.read_lines(spark, sinks.write_csv(df, str(tmp_path / "whole"))).where("value != 'id,text,gap'")
+    assert sorted(data.collect()) == sorted(whole.collect())
+
+
+def test_csv_in_parts_is_written_by_as_many_tasks_as_there_are(spark, tmp_path):
+    path = tmp_path / "csv"
+    sinks.write_csv_in_parts(spark.range(0, 24_000, 1, 24), str(path), 8)
+    assert sorted(p.name for p in path.iterdir() if p.is_dir()) == [f"csv_part={i}" for i in range(8)]
+    for part in path.glob("csv_part=*"):
+        lines = [p.read_text().split() for p in part.glob("part-*")]
+        assert sorted(len(x) for x in lines) == [1, 1000, 1000, 1000] and ["id"] in lines
+
+
+def test_line_count_shuffles_no_whole_part(spark, monkeypatch, tmp_path):
+    """Its rows are not brought together into as many tasks as there are parts."""
+    from pyspark.sql import DataFrame
+
+    from cartwright.queries import QUERIES, base
+
+    monkeypatch.setattr(base, "_prepared", {})
+
+    def refused(*_):
+        raise AssertionError("rows of all sizes in a fixed number of tasks")
+
+    for kind in {type(spark.range(1)), DataFrame}:
+        monkeypatch.setattr(kind, "repartition", refused)
+    lines = QUERIES["line_count"].run(spark, "/root/testdata/sf0.001").first()
+    assert lines["header_lines"] == 8 and lines["lines"] == lines["data_lines"] + 8

@@ -116,9 +116,8 @@ def part_csv(spark: SparkSession, csv_path: str, folder: str, schema) -> Parted:
     One write, partitioned by the verdict, so neither part is parsed again; the counts come with the
     write. A file of bad lines alone is no error here: what to do with many of them is the caller's choice.
     """
-    name = F.regexp_extract("_metadata.file_path", r"[^/]+$", 0)
     rows = readers.read_csv_permissive(spark, csv_path, schema).withColumns(
-        {"source_file": name, "is_malformed": F.col(readers.MALFORMED).isNotNull()}
+        {"source_file": F.col("_metadata.file_name"), "is_malformed": F.col(readers.MALFORMED).isNotNull()}
     )
     watched, seen = sinks.counted(rows, malformed=F.count(readers.MALFORMED))
     watched.write.mode("overwrite").partitionBy("is_malformed").parquet(folder)

@@ -184,3 +184,18 @@ def test_files_of_different_schemas(spark, tmp_path):
     assert sorted(map(tuple, mixed.collect())) == [(1, 1.5, date(2024, 1, 1), None), (5000000000, 2.5, None, "x")]
     with pytest.raises(ValueError, match="column a"):
         readers.merged_schema([spark.sql("SELECT 1 AS a").schema, spark.sql("SELECT 'x' AS a").schema])
+
+
+def test_file_names_of_parted_lines_cost_no_pattern_per_row(spark, tmp_path, monkeypatch):
+    """A search from every place of the path, for every line, took more time than parsing the line."""
+    for name in ("a b.csv", "c.csv"):
+        (tmp_path / name).write_text("id,day\n1,2024-01-01\nx,2024-01-01\n")
+    paths = spark.read.text(str(tmp_path / "*.csv")).select("_metadata.file_path").distinct().collect()
+
+    def refused(*_):
+        raise AssertionError("a pattern per row")
+
+    for pattern in ("regexp_extract", "regexp_replace", "regexp_substr", "split"):
+        monkeypatch.setattr(F, pattern, refused)
+    found = storage.part_csv(spark, str(tmp_path / "*.csv"), str(tmp_path / "out"), readers.StructType.fromDDL("id long, day date"))
+    assert {r.source_file for r in found.malformed.collect()} == {r.file_path.split("/")[-1] for r in paths}

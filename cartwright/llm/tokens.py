@@ -19,7 +19,8 @@ import numpy as np
 from cartwright.llm.common import worker_tables
 
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
+#: One class of characters, so that the search goes from one white space to the next.
+DOUBLE_SPACE = re.compile(r"\s\s")
 #: Units of a generation.
 UNITS = 600_000
 LONG_UNIT = 48
@@ -43,7 +44,9 @@ def safe_pieces(text: str, limit: int = PIECE_CHARS) -> Iterator[tuple[bool, str
 
 
 def _units(piece: str) -> list[str]:
-    return SAFE.split(piece) if IRREGULAR.search(piece) else piece.split(" ")
+    """``piece`` cut at its safe spaces; where white space is single and inside, every space is one."""
+    irregular = piece[:1].isspace() or piece[-1:].isspace() or DOUBLE_SPACE.search(piece)
+    return SAFE.split(piece) if irregular else piece.split(" ")
 
 
 class UnitEncoder:

@@ -217,3 +217,13 @@ def test_many_units_are_encoded_as_one_text(byte_bpe):
     got = dict(encoder._together(units))
     expected = library_ids(byte_bpe, [" " + u for u in units])
     assert [got[u] for u in units] == [np.array(x, "<u4").tobytes() for x in expected]
+
+
+def test_units_are_those_of_safe_spaces_whatever_the_white_space():
+    """The quick cut at every space is taken only where it gives the same; no lone search for a text's ends."""
+    draw = random.Random(3)
+    signs = ["a", "é", "\ud800", " ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "​"]
+    for _ in range(20_000):
+        piece = "".join(draw.choices(signs, k=draw.randrange(9)))
+        assert tokens._units(piece) == tokens.SAFE.split(piece), repr(piece)
+    assert tokens.DOUBLE_SPACE.pattern == r"\s\s"

@@ -110,7 +110,8 @@ class Runs:
             for name, at, new in ((values, used, more), (ends, n + 1, used + np.cumsum(own))):
                 held = getattr(self, name)
                 if at + len(new) > len(held):
-                    held = np.concatenate((held[:at], np.zeros(at + 2 * len(new), held.dtype)))
+                    grown = np.empty(at + at // 4 + 2 * len(new), held.dtype)  # what is not written takes no memory
+                    grown[:at], held = held[:at], grown
                     setattr(self, name, held)
                 held[at : at + len(new)] = new
         self.number.update(zip(parts, range(n, n + len(parts)), strict=True))
@@ -196,7 +197,8 @@ class Vocabulary:
         self.near = Numbers(near, np.ones(len(near), np.int64), 0)
         #: Parts looked up: those that came lately, and those before them.
         self.young, self.old = Runs(), Runs()
-        self.cut: dict[str, list[str]] = {}
+        #: Parts that are cut, as their pieces with line ends between (no such part holds one).
+        self.cut: dict[str, str] = {}
         self.spelled: dict[int, np.ndarray] = {}
 
     def split(self, part: str) -> list[str]:
@@ -207,15 +209,15 @@ class Vocabulary:
         cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in self.neighbours]
         return [part[a:b] for a, b in zip([0, *cuts], [*cuts, len(part)], strict=True)]
 
-    def _parted(self, parts: list[str]) -> dict[str, list[str]]:
-        """Those of ``parts`` that are cut, with their pieces."""
+    def _parted(self, parts: list[str]) -> dict[str, str]:
+        """Those of ``parts`` that are cut, with their pieces, line ends between."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
         codes[codes == ord(" ")] = ord(SPACE)
         apart = self.near((codes[:-1] << 32) + codes[1:]) == 0
         owner = np.repeat(np.arange(len(parts)), sizes)
         owners = np.unique(owner[:-1][apart & (owner[:-1] == owner[1:])])
-        return {parts[i]: pieces for i in owners.tolist() if len(pieces := self.split(parts[i])) > 1}
+        return {parts[i]: "\n".join(pieces) for i in owners.tolist() if len(pieces := self.split(parts[i])) > 1}
 
     def merge(self, parts: list[str], dropout: float, key: int | np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each part after its agenda is through; see ``_merge``."""
@@ -383,13 +385,19 @@ class Vocabulary:
         """Little-endian 32-bit ids. A part is merged under a key of the seed, its text's offset and its
         number in the text; twice about ``kept`` parts are looked up later, at most. Long texts are gone
         through in slices that end where a part does."""
-        out: list[bytes] = []
+        return list(chain.from_iterable(self.chunks(texts, offsets, dropout, seed, kept)))
+
+    def chunks(
+        self, texts: Iterable[str], offsets: Iterable[int], dropout: float, seed: int, kept: int = PARTS
+    ) -> Iterator[list[bytes]]:
+        """As ``encode``, the ids of some texts after others: of one long text, or of texts of ``CHUNK_CHARS`` together."""
         waiting: list[tuple[str, int]] = []
         size = 0
         for text, offset in zip(texts, offsets, strict=True):
             size += len(text)
             if size > CHUNK_CHARS:
-                out += self._encode(waiting, 0, dropout, seed, kept)[0]
+                if waiting:
+                    yield self._encode(waiting, 0, dropout, seed, kept)[0]
                 waiting, size = [], len(text)
             if len(text) <= CHUNK_CHARS:
                 waiting.append((" " + text if text else "", offset))
@@ -402,8 +410,9 @@ class Vocabulary:
                 blobs, parts = self._encode([(text[at:end] if at else " " + text[:end], offset)], number, dropout, seed, kept)
                 slices += blobs
                 at, number = end, number + parts
-            out.append(b"".join(slices))
-        return out + self._encode(waiting, 0, dropout, seed, kept)[0]
+            yield [b"".join(slices)]
+        if waiting:
+            yield self._encode(waiting, 0, dropout, seed, kept)[0]
 
     def _encode(
         self, texts: list[tuple[str, int]], first: int, dropout: float, seed: int, kept: int
@@ -417,7 +426,7 @@ class Vocabulary:
         unknown = np.flatnonzero(rows < 0)
         others = [words[i] for i in unknown.tolist()]
         self.cut.update(self._parted(list(set(others).difference(self.cut))))
-        others = [self.cut.get(word) or [word] for word in others]
+        others = [cut.split("\n") if (cut := self.cut.get(word)) else [word] for word in others]
         lengths = np.ones(len(words), np.int64)
         lengths[unknown] = list(map(len, others))
         others = list(chain.from_iterable(others))
@@ -472,15 +481,16 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
     def encode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = vocabulary(path)
         for texts, ids in batches:
-            blobs = pieces.encode(
+            for blobs in pieces.chunks(
                 (text.as_py() or "" for text in texts), (xxh3_64_intdigest(str(doc.as_py()), seed) for doc in ids),
                 dropout, seed, kept,
-            )
+            ):
+                ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs])))
+                yield pa.ListArray.from_arrays(
+                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
+                )
             del texts, ids
-            ends = np.concatenate(([0], np.cumsum([len(b) // 4 for b in blobs])))
-            yield pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), "<i4"), pa.int32())
-            )
+            pa.default_memory_pool().release_unused()
 
     return encode
 
@@ -504,7 +514,6 @@ def decoded(path: str):
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = _piece_bytes(path)
         for lists in batches:
-            out: list[str | None] = []
             for at in range(0, len(lists), DECODED_ROWS):
                 some = lists.slice(at, DECODED_ROWS)
                 sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
@@ -513,8 +522,11 @@ def decoded(path: str):
                 )
                 joined = pc.binary_join(runs, b"").to_pylist()
                 known = some.is_valid().to_pylist()
-                out += [b[1:].decode("utf-8", "replace") if ok else None for b, ok in zip(joined, known, strict=True)]
-            yield pa.array(out, pa.string())
+                yield pa.array(
+                    [b[1:].decode("utf-8", "replace") if ok else None for b, ok in zip(joined, known, strict=True)], pa.string()
+                )
+            lists = some = None
+            pa.default_memory_pool().release_unused()
 
     return decode
 

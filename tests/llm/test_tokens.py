@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -204,6 +205,33 @@ def test_slices_and_generations_change_nothing(piece_bpe, monkeypatch):
     assert few.encode(texts, [1, 2, 3], 0.3, 5, kept=3) == whole and len(few.young.parts) + len(few.old.parts) < 40
 
 
+def test_a_batch_leaves_the_worker_in_small_arrays(spark, piece_bpe, monkeypatch):
+    """Ids and texts of a whole batch were held at once before: thousands of rows in one array."""
+    monkeypatch.setattr(pieces, "CHUNK_CHARS", 2_000)
+    texts = ["Words, of 1,200 characters: internationalisation 日本 " * 4, None, "", "long words " * 900, "a"] * 120
+    batch = pa.array(texts), pa.array(range(len(texts)))
+    held = []
+    for empty in (0, 1):
+        given = [tuple(x.slice(0, 0) for x in batch)] * empty + [batch]
+        held.append(list(pieces.encoded(piece_bpe, 0.3, 5).func(iter(given))))
+    ids = pa.concat_arrays(held[0])
+    assert pa.concat_arrays(held[1]).equals(ids) and ids.type == pa.list_(pa.int32())
+    assert max(len(x) for x in held[0]) < 40 and max(len(x.values) for x in held[0]) < 9_000 < len(ids.values)
+    back = list(pieces.decoded(piece_bpe).func(iter([ids.slice(0, 0), ids])))
+    assert [t.as_py() for x in back for t in x] == [t or "" for t in texts]
+    assert max(map(len, back)) <= pieces.DECODED_ROWS
+
+
+def test_tables_of_parts_hold_little_more_than_the_parts(piece_bpe):
+    v, draw = pieces.Vocabulary(piece_bpe), random.Random(4)
+    for n in range(40):
+        v.encode([" ".join("".join(draw.choices(["er", "in", "al", "st"], k=6)) for _ in range(200)) + " é日本"], [n], 0.1, 1)
+    runs, parts = v.young, len(v.young.parts)
+    assert parts > 2_000
+    assert len(runs.merges) < 1.5 * runs.merge_ends[parts] and len(runs.ids) < 1.5 * runs.id_ends[parts]
+    assert v.cut and all(isinstance(cut, str) and cut.replace("\n", "") == part for part, cut in v.cut.items())
+
+
 def test_numbers_of_many_keys():
     keys = np.random.default_rng(1).integers(-(2**40), 2**40, 5000)
     keys = np.unique(keys)

@@ -12,13 +12,13 @@ worker's memory doesn't grow with the texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 from heapq import heappop, heappush
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
@@ -36,8 +36,6 @@ SHORT_PART, SIDE_BY_SIDE = 48, 400_000
 #: No symbol; no candidate.
 NONE, NEVER = -(1 << 30), np.iinfo(np.int32).max
 CHUNK_CHARS = 1 << 18
-#: Texts that are decoded at a time.
-DECODED_ROWS = 256
 
 
 def _keyed(key: int | np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -212,12 +210,26 @@ class Vocabulary:
     def _parted(self, parts: list[str]) -> dict[str, str]:
         """Those of ``parts`` that are cut, with their pieces, line ends between."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
-        codes[codes == ord(" ")] = ord(SPACE)
-        apart = self.near((codes[:-1] << 32) + codes[1:]) == 0
+        signs = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32)
         owner = np.repeat(np.arange(len(parts)), sizes)
-        owners = np.unique(owner[:-1][apart & (owner[:-1] == owner[1:])])
-        return {parts[i]: "\n".join(pieces) for i in owners.tolist() if len(pieces := self.split(parts[i])) > 1}
+        codes = np.where(signs == ord(" "), ord(SPACE), signs).astype(np.int64)
+        apart = (self.near((codes[:-1] << 32) + codes[1:]) == 0) & (owner[:-1] == owner[1:])
+        cuttable = np.ones(len(parts), bool)
+        cuttable[owner[signs == ord(SPACE)]] = False
+        cuts = np.flatnonzero(apart & cuttable[owner[1:]]) + 1
+        if not len(cuts):
+            return {}
+        owners = np.unique(owner[cuts])
+        chosen = np.zeros(len(parts), bool)
+        chosen[owners] = True
+        # A line end before each piece but a part's first, two before each part but the first.
+        ends = np.zeros(len(signs), np.int64)
+        ends[cuts], ends[_starts(sizes)[owners[1:]]] = 1, 2
+        own = chosen[owner]
+        text = np.full(int(own.sum() + ends.sum()), ord("\n"), "<u4")
+        text[np.cumsum(ends[own] + 1) - 1] = signs[own]
+        texts = text.tobytes().decode("utf-32-le").split("\n\n")
+        return dict(zip([parts[i] for i in owners.tolist()], texts, strict=True))
 
     def merge(self, parts: list[str], dropout: float, key: int | np.ndarray) -> list[bytes]:
         """Little-endian 32-bit ids of each part after its agenda is through; see ``_merge``."""
@@ -456,7 +468,7 @@ class Vocabulary:
         ids, starts = np.zeros(int(lengths.sum()), np.int32), _starts(lengths)
         ids[_ragged(starts[found], lengths[found])] = held
         ids[_ragged(starts[again], lengths[again])] = own
-        if len(self.cut) > CUTS or any(len(part) > CHUNK_CHARS for part in others):
+        if len(self.cut) > CUTS or max(map(len, others), default=0) > CHUNK_CHARS:
             self.cut = {}
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(sizes)))]
         return _blobs(ids, np.diff(ends)), len(rows)
@@ -495,38 +507,25 @@ def encoded(path: str, dropout: float = 0.1, seed: int = 20, kept: int = PARTS):
     return encode
 
 
-def _piece_bytes(path: str) -> pa.Array:
-    """The bytes that each id stands for; all that a worker needs to decode."""
-    held = worker_tables("pieces")
-    key = f"{path} bytes"
-    if key not in held:
-        from sentencepiece import SentencePieceProcessor
+@cache
+def _piece_hex(path: str) -> str:
+    """The bytes that each id stands for, as hexadecimal digits, commas between."""
+    from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        held[key] = pa.array(piece_bytes(model), pa.binary())
-    return held[key]
-
-
-def decoded(path: str):
-    """A column function: the text of an array of ids; no ids give an empty text, null gives null."""
-
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        pieces = _piece_bytes(path)
-        for lists in batches:
-            for at in range(0, len(lists), DECODED_ROWS):
-                some = lists.slice(at, DECODED_ROWS)
-                sizes = pc.fill_null(pc.list_value_length(some), 0).to_numpy()
-                runs = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pieces.take(some.flatten())
-                )
-                joined = pc.binary_join(runs, b"").to_pylist()
-                known = some.is_valid().to_pylist()
-                yield pa.array(
-                    [b[1:].decode("utf-8", "replace") if ok else None for b, ok in zip(joined, known, strict=True)], pa.string()
-                )
-            lists = some = None
-            pa.default_memory_pool().release_unused()
+    return ",".join(b.hex() for b in piece_bytes(SentencePieceProcessor(model_file=path)))
+
+
+def decoded(path: str) -> Callable[[Column], Column]:
+    """A column function: the text of an array of ids; no ids give an empty text, null gives null.
+
+    Expressions only, so that no Python worker but the encoding ones holds tables. Bytes that are no
+    UTF-8 are replaced; an id that the model doesn't have is an error.
+    """
+    table = F.split(F.lit(_piece_hex(path)), ",")
+
+    def decode(ids: Column) -> Column:
+        digits = F.transform(ids, lambda i: F.coalesce(F.get(table, i), F.raise_error(F.lit("an id that is no piece"))))
+        return F.make_valid_utf8(F.substring(F.unhex(F.array_join(digits, "")), 2, NEVER).cast("string"))
 
     return decode
 

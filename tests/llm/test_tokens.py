@@ -1,6 +1,7 @@
 """Token counts, packing and piece encodings against the libraries and exact round trips."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -206,7 +207,7 @@ def test_slices_and_generations_change_nothing(piece_bpe, monkeypatch):
 
 
 def test_a_batch_leaves_the_worker_in_small_arrays(spark, piece_bpe, monkeypatch):
-    """Ids and texts of a whole batch were held at once before: thousands of rows in one array."""
+    """The ids of a whole batch were held at once before: thousands of rows in one array."""
     monkeypatch.setattr(pieces, "CHUNK_CHARS", 2_000)
     texts = ["Words, of 1,200 characters: internationalisation 日本 " * 4, None, "", "long words " * 900, "a"] * 120
     batch = pa.array(texts), pa.array(range(len(texts)))
@@ -217,9 +218,29 @@ def test_a_batch_leaves_the_worker_in_small_arrays(spark, piece_bpe, monkeypatch
     ids = pa.concat_arrays(held[0])
     assert pa.concat_arrays(held[1]).equals(ids) and ids.type == pa.list_(pa.int32())
     assert max(len(x) for x in held[0]) < 40 and max(len(x.values) for x in held[0]) < 9_000 < len(ids.values)
-    back = list(pieces.decoded(piece_bpe).func(iter([ids.slice(0, 0), ids])))
-    assert [t.as_py() for x in back for t in x] == [t or "" for t in texts]
-    assert max(map(len, back)) <= pieces.DECODED_ROWS
+
+
+def test_decoding_takes_no_worker_and_equals_the_bytes(spark, piece_bpe, plan_of):
+    """Workers that changed roles held the encoder's tables twice over before."""
+    v, draw = pieces.Vocabulary(piece_bpe), random.Random(5)
+    byte = [v.byte[x] for x in (0xE6, 0x97, 0xA5, 0xFF, 0xC3, 0x41, 0xF0, 0x9F, 0x80)]
+    rows = [(n, [draw.choice([draw.randrange(v.size), *byte]) for _ in range(draw.randrange(12))]) for n in range(400)]
+    both = pieces.decode(spark.createDataFrame(rows, "n int, ids array<int>"), piece_bpe)
+    got = {r.n: r.decoded for r in both.collect()}
+    assert got == {n: b"".join(v.bytes[i] for i in ids)[1:].decode("utf-8", "replace") for n, ids in rows}
+    docs = spark.range(1)
+    assert not re.search("Python|Arrow", plan_of(pieces.decode(docs.selectExpr("array(5) AS ids"), piece_bpe)))
+    for wrong in ("array(-1)", f"array(5, {v.size})", "array(5, NULL)"):
+        with pytest.raises(Exception, match="no piece"):
+            pieces.decode(docs.selectExpr(f"{wrong} AS ids"), piece_bpe).collect()
+
+
+def test_parts_are_cut_side_by_side_as_one_by_one(piece_bpe):
+    v, draw = pieces.Vocabulary(piece_bpe), random.Random(6)
+    parts = {"".join(draw.choices("ab1,é日▁ \x00𝒳", k=draw.randrange(1, 9))) for _ in range(3_000)} | {"\n", " ", "plain"}
+    expected = {part: "\n".join(cut) for part in parts if len(cut := v.split(part)) > 1}
+    assert v._parted(list(parts)) == expected and len(expected) > 500
+    assert v._parted([]) == v._parted(["\n"]) == {}
 
 
 def test_tables_of_parts_hold_little_more_than_the_parts(piece_bpe):

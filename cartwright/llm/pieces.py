@@ -433,15 +433,17 @@ class Vocabulary:
         parts = [PART.findall(text) for text, _ in texts]
         if len(self.young.parts) > kept:
             self.young, self.old = Runs(), self.young
+        if "\n" not in self.young.number:  # so that parts not found hold no line end
+            self._learn(["\n"])
         words, find = list(chain.from_iterable(parts)), self.young.number.get
         rows = np.fromiter(map(find, words, repeat(-1)), np.int64, len(words))
         unknown = np.flatnonzero(rows < 0)
         others = [words[i] for i in unknown.tolist()]
         self.cut.update(self._parted(list(set(others).difference(self.cut))))
-        others = [cut.split("\n") if (cut := self.cut.get(word)) else [word] for word in others]
+        others = list(map(self.cut.get, others, others))
         lengths = np.ones(len(words), np.int64)
-        lengths[unknown] = list(map(len, others))
-        others = list(chain.from_iterable(others))
+        lengths[unknown] += np.fromiter(map(str.count, others, repeat("\n")), np.int64, len(others))
+        others = "\n".join(others).split("\n") if others else []
         new = set(others).difference(self.young.number)
         self._learn([part for part in new if len(part) <= SHORT_PART])
         names, long = self.young.parts, [part for part in new if len(part) > SHORT_PART]
